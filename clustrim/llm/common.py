@@ -85,9 +85,11 @@ class Scratch:
             base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         self.base = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.written = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}-{len(self.paths)}"
+        self.written += 1
+        path = f"{self.base}/{name}-{self.written}"
         with settings(self.spark, {_CLEAN: "true", _BATCH: str(16 << 20)}):
             df.write.parquet(path)
         self.paths[name] = path

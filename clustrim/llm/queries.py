@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import minhash, substring
 from .common import documents
 
 #: The word pattern and its SQL form.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op2_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir), 85, 3).drop("n_links")
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substring.digest(documents(spark, sf_dir), 20)
 
@@ -26,9 +30,24 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+SQL_MINHASH = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, hash(list_slice(words, s, s + 2)) AS h FROM (
+       SELECT doc_id, words, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [1] ELSE range(1, len(words) - 1) END) AS s FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node),
+comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN comp ON comp.node = w.doc_id
+"""
+
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }
 SQL = {
+    "op2_minhash_near_dedup": SQL_MINHASH,
     "op8_substring_dedup": SQL_SUBSTRING,
 }
