@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, substring
+from . import minhash, substring, suffix
 from .common import documents
 
 #: The word pattern and its SQL form.
@@ -13,6 +13,10 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir), 85, 3).drop("n_links")
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    return suffix.digest(documents(spark, sf_dir), 400)
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substring.digest(documents(spark, sf_dir), 20)
 
@@ -45,6 +49,7 @@ FROM w LEFT JOIN n USING (doc_id) JOIN comp ON comp.node = w.doc_id
 
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }
 SQL = {
