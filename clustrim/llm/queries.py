@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import minhash, substring, suffix
+from . import minhash, mixing, quality, substring, suffix
 from .common import documents
 
 #: The word pattern and its SQL form.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir), 85, 3).drop("n_links")
 
@@ -17,6 +21,10 @@ def op6_suffix_array_dedup(spark, sf_dir):
     return suffix.digest(documents(spark, sf_dir), 400)
 
 
+def op7_source_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).drop("copies")
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substring.digest(documents(spark, sf_dir), 20)
 
@@ -47,12 +55,32 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id
 FROM w LEFT JOIN n USING (doc_id) JOIN comp ON comp.node = w.doc_id
 """
 
+SQL_MIXING = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, len({WORDS})::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS u FROM documents),
+s AS MATERIALIZED (SELECT source, source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+      FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+lv AS (SELECT 0 AS k, (SELECT sum(source_size)::DOUBLE / sum(w) FROM s) AS level
+       UNION ALL
+       SELECT k + 1, (SELECT (sum(source_size) - sum(CASE WHEN w * level > 3 * source_size THEN 3 * source_size ELSE 0 END))::DOUBLE
+                             / sum(CASE WHEN w * level > 3 * source_size THEN 0 ELSE w END) FROM s)
+       FROM lv WHERE k < 30),
+t AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, w * (SELECT max(level) FROM lv)) AS target FROM s),
+r AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size + 1e-9) END AS base FROM t),
+c AS (SELECT d.*, r.* EXCLUDE (source), sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id) AS run FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target,
+       (size * (base + CASE WHEN run - size / 2 <= target - base * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
+"""
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_source_mixing": op7_source_mixing,
     "op8_substring_dedup": op8_substring_dedup,
 }
 SQL = {
     "op2_minhash_near_dedup": SQL_MINHASH,
+    "op7_source_mixing": SQL_MIXING,
     "op8_substring_dedup": SQL_SUBSTRING,
 }
