@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, quality, substring, suffix
+from . import hostrank, leak, licenses, minhash, mixing, quality, substring, suffix
 from .common import documents
 
 #: The word pattern and its SQL form.
@@ -17,6 +17,10 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir), 85, 3).drop("n_links")
 
 
+def op5_host_rank_filter(spark, sf_dir):
+    return hostrank.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("trust", "distrust")
+
+
 def op6_suffix_array_dedup(spark, sf_dir):
     return suffix.digest(documents(spark, sf_dir), 400)
 
@@ -29,6 +33,14 @@ def op8_substring_dedup(spark, sf_dir):
     return substring.digest(documents(spark, sf_dir), 20)
 
 
+def op9_benchmark_decontamination(spark, sf_dir):
+    return leak.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_license_scan(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
 SQL_SUBSTRING = rf"""
 WITH w AS (SELECT doc_id, {WORDS} AS words FROM documents),
 wins AS (SELECT doc_id, s, array_to_string(list_slice(words, s, s + 19), ' ') AS win
@@ -75,12 +87,17 @@ FROM c
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_host_rank_filter": op5_host_rank_filter,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_license_scan": op10_license_scan,
 }
 SQL = {
     "op2_minhash_near_dedup": SQL_MINHASH,
     "op7_source_mixing": SQL_MIXING,
     "op8_substring_dedup": SQL_SUBSTRING,
+    "op5_host_rank_filter": hostrank.sql(),
+    "op10_license_scan": licenses.sql(),
 }
