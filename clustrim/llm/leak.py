@@ -70,6 +70,24 @@ def nearest(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def nearest_whole(a: str, b: str) -> int:
+    """Edit distance of two whole texts, bit-parallel."""
+    if not a or not b:
+        return max(len(a), len(b))
+    masks, m = peq(a), len(a)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    for c in b:
+        eq = masks.get(c, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = down | ~(xh | up) & full, up & xh
+        score += bool(ph & top) - bool(mh & top)
+        ph, mh = (ph << 1 | 1) & full, mh << 1 & full
+        up, down = mh | ~(xv | ph) & full, ph & xv
+    return score
+
+
 class Matcher:
     """All passages of a block of items."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hostrank, leak, licenses, minhash, mixing, quality, substring, suffix
+from . import editprint, hostrank, leak, licenses, minhash, mixing, quality, substring, suffix
 from .common import documents
 
 #: The word pattern and its SQL form.
@@ -17,6 +17,10 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir), 85, 3).drop("n_links")
 
 
+def op3_edit_fingerprint(spark, sf_dir):
+    return editprint.digest(documents(spark, sf_dir))
+
+
 def op5_host_rank_filter(spark, sf_dir):
     return hostrank.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("trust", "distrust")
 
@@ -87,6 +91,7 @@ FROM c
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_edit_fingerprint": op3_edit_fingerprint,
     "op5_host_rank_filter": op5_host_rank_filter,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_source_mixing": op7_source_mixing,
