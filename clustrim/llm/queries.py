@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import editprint, hostrank, leak, licenses, minhash, mixing, quality, substring, suffix
+from . import editprint, hmm, hostrank, leak, licenses, minhash, mixing, quality, substring, suffix
 from .common import documents
 
 #: The word pattern and its SQL form.
@@ -21,6 +21,10 @@ def op3_edit_fingerprint(spark, sf_dir):
     return editprint.digest(documents(spark, sf_dir))
 
 
+def op4_hmm_scoring(spark, sf_dir):
+    return hmm.score(documents(spark, sf_dir))
+
+
 def op5_host_rank_filter(spark, sf_dir):
     return hostrank.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("trust", "distrust")
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_edit_fingerprint": op3_edit_fingerprint,
+    "op4_hmm_scoring": op4_hmm_scoring,
     "op5_host_rank_filter": op5_host_rank_filter,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_source_mixing": op7_source_mixing,
