@@ -68,12 +68,16 @@ def rates(src: DataFrame, steps: int = 60) -> DataFrame:
     return src.withColumn("rate", F.when((s > 0) & (t > 0), F.exp(m)).otherwise(0.0))
 
 
+def source_key() -> Column:
+    """Orders as the source by code point, null last."""
+    return F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
+
+
 def mix(docs: DataFrame, weights=(5, 2, 1), limit: int = 3) -> DataFrame:
-    """Per row of `docs`: doc_id, size, source_size, target, taken, copies."""
+    """Per row of `docs`: doc_id, skey, size, source_size, target, taken, copies."""
     scratch = Scratch(docs.sparkSession)
-    skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch.write(docs.select("doc_id", skey.alias("skey"), size.alias("size"), hash_place("doc_id").alias("u")), "rows")
+    rows = scratch.write(docs.select("doc_id", source_key().alias("skey"), size.alias("size"), hash_place("doc_id").alias("u")), "rows")
     src = rates(targets(rows, scratch, weights, limit))
     src = src.withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("need", F.col("target") - F.col("base") * F.col("source_size"))
     src = scratch.write(src, "rates")
@@ -103,4 +107,11 @@ def mix(docs: DataFrame, weights=(5, 2, 1), limit: int = 3) -> DataFrame:
     here = F.struct("u", "doc_id")
     more = F.when(F.col("at1").isNull(), True).when(bin2 != F.col("at2"), bin2 < F.col("at2")).otherwise(F.coalesce(here <= F.col("stop"), F.lit(False)))
     out = rows.join(src, "skey").withColumn("copies", (F.col("base") + more.cast("int")).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select("doc_id", "skey", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def take(docs: DataFrame, weights=(5, 2, 1), limit: int = 3) -> DataFrame:
+    """`docs`, all columns, one row a copy taken, numbered from 1 in `copy` (which replaces such a column)."""
+    plan = mix(docs, weights, limit).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("skey").alias("__key"), F.col("copies").alias("__copies")).distinct()
+    found = docs.drop("copy").join(plan, docs["doc_id"].eqNullSafe(F.col("__id")) & (source_key() == F.col("__key")))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__id", "__key", "__copies")

@@ -34,7 +34,7 @@ def op6_suffix_array_dedup(spark, sf_dir):
 
 
 def op7_source_mixing(spark, sf_dir):
-    return mixing.mix(documents(spark, sf_dir)).drop("copies")
+    return mixing.mix(documents(spark, sf_dir)).drop("copies", "skey")
 
 
 def op8_substring_dedup(spark, sf_dir):
