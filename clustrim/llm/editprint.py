@@ -28,7 +28,7 @@ from .common import BASE, Scratch, id_out, keyed, mix, partitions
 
 PERIOD, SAMPLES, SEED = 8192, 32, 20240229
 #: Characters (texts and edited texts apart) that one batch of walks holds.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 5_000_000
 
 _rng = np.random.default_rng(SEED)
 _MOVE = _rng.integers(0, 2, (PERIOD, 256)).astype(np.int64)
