@@ -203,28 +203,71 @@ class Model:
         return Model(s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True))
 
 
-def _encoded(head, batches, keep_words: bool):
-    """Batches of about BATCH_WORDS words: rows, slots and symbol sequences (end included), words."""
-    rows, seqs, slots, words, held = [], [], [], [], 0
+_ENCODED = "doc_id long, held_out boolean, version long, n_tokens long, known long, all_log double, in_log double, rooms double, ids binary, rare array<long>, times array<long>"
+#: Words that are encoded at once.
+CHUNK_WORDS = 200_000
+
+
+def _encode(held):
+    """Rows (doc_id, held_out, version, text) -> symbols (16 bits each, end included), sums over the head's words, rare words."""
+    import pyarrow as pa
+
+    def rows(h, meta, texts):
+        log_c, inner = np.log10(h.c + 1.0), h.symbol > OWN
+        room, end = np.log10(h.bucket_c + h.bucket_v + 1.0), np.log10(h.n_end + 1.0)
+        known, all_log, in_log, rooms, ids, rare, times = [], [], [], [], [], [], []
+        for w in texts:
+            s, y = h.encode(w)
+            good = s[s >= 0]
+            known.append(len(good) + (h.n_end > 0))
+            all_log.append(log_c[good].sum() + end)
+            in_log.append(log_c[good[inner[good]]].sum())
+            rooms.append(room[y[y > OWN] - OWN - 1].sum())
+            u, c = np.unique(hashes([w[j] for j in np.flatnonzero(s < 0).tolist()]), return_counts=True)
+            rare.append(u.view(np.int64))
+            times.append(c.astype(np.int64))
+            ids.append(np.append(y, 0).astype(np.uint16).tobytes())
+        ends = pa.array(np.cumsum([0] + [len(x) for x in rare]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (rare, times)]
+        cols = list(zip(*meta, strict=True))
+        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(known, pa.int64())]
+        arrays += [pa.array(np.array(x, float)) for x in (all_log, in_log, rooms)] + [pa.array(ids, pa.binary())] + lists
+        return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _ENCODED.split(", ")])
+
+    def run(batches):
+        meta, texts, size = [], [], 0
+        for batch in batches:
+            for i, o, v, t in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "held_out", "version")], text_bytes(batch.column("text")), strict=True):
+                meta.append((i, o, v))
+                texts.append(t.lower().split())
+                size += len(texts[-1])
+                if size >= CHUNK_WORDS:
+                    yield rows(held.value, meta, texts)
+                    meta, texts, size = [], [], 0
+        if meta:
+            yield rows(held.value, meta, texts)
+
+    return run
+
+
+def _sequences(batches):
+    """Groups of about BATCH_WORDS symbols: the other columns' rows, the symbol sequences."""
+    meta, seqs, size = [], [], 0
     for batch in batches:
-        other = [batch.column(c).to_pylist() for c in batch.schema.names if c != "text"]
-        for k, t in enumerate(text_bytes(batch.column("text"))):
-            w = t.lower().split()
-            s, y = head.encode(w)
-            rows.append([c[k] for c in other])
-            seqs.append(np.append(y, 0))
-            slots.append(s)
-            words.append(w if keep_words else None)
-            held += len(w) + 1
-            if held >= BATCH_WORDS:
-                yield rows, seqs, slots, words
-                rows, seqs, slots, words, held = [], [], [], [], 0
-    if rows:
-        yield rows, seqs, slots, words
-
-
-def fit(train: DataFrame, head: Head, held, scratch: Scratch, n_train: int) -> Model:
-    """`train`: doc_id, text.  `held`: the broadcast head."""
+        other = [batch.column(c).to_pylist() for c in batch.schema.names if c != "ids"]
+        for k, x in enumerate(batch.column("ids").to_pylist()):
+            meta.append([c[k] for c in other])
+            seqs.append(np.frombuffer(x, np.uint16))
+            size += len(seqs[-1])
+            if size >= BATCH_WORDS:
+                yield meta, seqs
+                meta, seqs, size = [], [], 0
+    if seqs:
+        yield meta, seqs
+
+
+def fit(train: DataFrame, head: Head, n_train: int) -> Model:
+    """`train`: doc_id, ids (symbols) of the training documents."""
     import pyarrow as pa
 
     symbols = OWN + 1 + HASHED
@@ -235,20 +278,16 @@ def fit(train: DataFrame, head: Head, held, scratch: Scratch, n_train: int) -> M
     prior[OWN + 1 :] = head.bucket_c
     prior = (prior + 1) / (prior + 1).sum()
 
-    def encode(batches):
-        for _, seqs, _, _ in _encoded(held.value, batches, False):
-            yield pa.RecordBatch.from_arrays([pa.array([s.astype(np.int32).tobytes() for s in seqs if len(s) <= SAMPLE_WORDS], pa.binary())], names=["ids"])
-
     share = int(min(1.0, SAMPLE_DOCS / max(n_train, 1)) * (1 << 20))
-    sample = train.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share).select("text").mapInArrow(encode, "ids binary").toArrow()
-    seqs = sorted(np.frombuffer(x, np.int32).tobytes() for x in sample.column("ids").to_pylist())
+    sample = train.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share).where(F.length("ids") <= 2 * SAMPLE_WORDS).select("ids").toArrow()
+    seqs = sorted(sample.column("ids").to_pylist())
     rng = np.random.default_rng(11)
     move = np.full((STATES, STATES), 0.02) + np.eye(STATES)
     model = Model(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), None)
     e = prior * rng.gamma(1.0, size=(STATES, symbols)) + 0.1 * prior
     model.emit = e / e.sum(1, keepdims=True)
     if seqs:
-        packed = Packed([np.frombuffer(x, np.int32).astype(np.int64) for x in seqs])
+        packed = Packed([np.frombuffer(x, np.uint16) for x in seqs])
         for _ in range(SAMPLE_ROUNDS):
             model = Model.estimate(*model.expect(packed), prior)
 
@@ -258,7 +297,7 @@ def fit(train: DataFrame, head: Head, held, scratch: Scratch, n_train: int) -> M
 
         def expect(batches, now=now):
             total = None
-            for _, seqs, _, _ in _encoded(held.value, batches, False):
+            for _, seqs in _sequences(batches):
                 got = now.value.expect(Packed(seqs))
                 total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
             if total is not None:
@@ -275,7 +314,7 @@ def fit(train: DataFrame, head: Head, held, scratch: Scratch, n_train: int) -> M
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["piece", "sums"])
 
         kind = "piece int, sums binary"
-        stats = train.select("text").mapInArrow(expect, kind).repartition("piece").mapInArrow(add, kind).toArrow()
+        stats = train.select("ids").mapInArrow(expect, kind).repartition("piece").mapInArrow(add, kind).toArrow()
         pieces = dict(zip(stats.column("piece").to_pylist(), stats.column("sums").to_pylist(), strict=True))
         if not pieces:
             break
@@ -295,50 +334,29 @@ def score(docs: DataFrame, mod: int = 7, out_class: int = 2) -> DataFrame:
     n_train = docs.select("doc_id").where(crc_mod(mod) != out_class).count()
     table = counts(train, scratch)
     head, cut, n_words, v_words = head_of(table, n_train)
-    held = spark.sparkContext.broadcast(head)
-    model = fit(train, head, held, scratch, n_train)
-    now = spark.sparkContext.broadcast(model)
     n_all, v_all = n_words + n_train, v_words + bool(n_train)
+    body = rows.select("doc_id", "held_out", F.xxhash64("text").alias("version"), "text")
+    coded = scratch.write(body.mapInArrow(_encode(spark.sparkContext.broadcast(head)), _ENCODED), "coded")
+    now = spark.sparkContext.broadcast(fit(coded.where("not held_out").select("doc_id", "ids"), head, n_train))
 
     def run(batches):
-        h = held.value
-        log_c = np.log10(h.c + 1.0)
-        inner = h.symbol > OWN
-        room = np.log10(h.bucket_c + h.bucket_v + 1.0)
-        end = np.log10(h.n_end + 1.0)
-        for meta, seqs, slots, words in _encoded(h, batches, True):
+        for meta, seqs in _sequences(batches):
             packed = Packed(seqs)
             like = np.empty(len(seqs))
             like[packed.order] = now.value.forward(packed, False)[0] / np.log(10)
-            known, all_log, in_log, rooms, rare, times = [], [], [], [], [], []
-            for s, y, w in zip(slots, seqs, words, strict=True):
-                k = s >= 0
-                good = s[k]
-                known.append(len(good) + (h.n_end > 0))
-                all_log.append(log_c[good].sum() + end)
-                in_log.append(log_c[good[inner[good]]].sum())
-                bucket = y[y > OWN] - OWN - 1
-                rooms.append(room[bucket].sum())
-                lost = np.flatnonzero(~k)
-                u, c = np.unique(hashes([w[j] for j in lost.tolist()]), return_counts=True)
-                rare.append(u.view(np.int64))
-                times.append(c.astype(np.int64))
-            ends = pa.array(np.cumsum([0] + [len(x) for x in rare]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (rare, times)]
             cols = list(zip(*meta, strict=True))
-            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64()), pa.array([len(s) for s in seqs], pa.int64()), pa.array(known, pa.int64())]
-            arrays += [pa.array(np.array(x, float)) for x in (all_log, in_log, rooms, like)] + lists
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "version", "n_tokens", "known", "all_log", "in_log", "rooms", "hmm", "rare", "times"])
+            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, types, strict=True)], pa.array(like)], names=[*names, "hmm"])
 
-    kind = "doc_id long, held_out boolean, version long, n_tokens long, known long, all_log double, in_log double, rooms double, hmm double, rare array<long>, times array<long>"
-    body = rows.select("doc_id", "held_out", F.xxhash64("text").alias("version"), "text")
-    got = scratch.write(body.mapInArrow(run, kind), "scored")
-    rare = got.select("doc_id", "version", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("doc_id", "version", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
+    names = ["doc_id", "held_out", "version", "n_tokens", "known", "all_log", "in_log", "rooms"]
+    kind = ", ".join(_ENCODED.split(", ")[:8]) + ", hmm double"
+    got = coded.select(*names, "ids").mapInArrow(run, kind)
+    rare = coded.select("doc_id", "version", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("doc_id", "version", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     tail = table.where(F.col("bin") < cut).select("h", "c")
     rare = rare.join(tail, "h").groupBy("doc_id", "version", "h").agg(F.first("times").alias("times"), F.first("c").alias("c"))
     log = F.col("times") * F.log10(F.col("c") + 1.0)
     rare = rare.groupBy("doc_id", "version").agg(F.sum("times").alias("r_known"), F.sum(log).alias("r_log"))
-    out = got.drop("rare", "times").join(rare, ["doc_id", "version"], "left").na.fill(0, ["r_known"]).na.fill(0.0, ["r_log"])
+    out = got.join(rare, ["doc_id", "version"], "left").na.fill(0, ["r_known"]).na.fill(0.0, ["r_log"])
     return out.select(
         id_out().alias("doc_id"),
         "held_out",
