@@ -1,4 +1,525 @@
-"""Registered queries over the point tables and their SQL forms."""
+"""Registered queries over the point tables and their SQL forms.
+
+Views: E, `embeddings` in 64 dimensions; P, `part` in two (size, price / 20), with equal points; L, `lineitem`
+in four, without a key.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import assign as A
+from ..operators import metrics as M
+from ..operators import neighbours as N
+from ..operators import prep, sampling
+from ..sources import points as src
+from . import grid, report
+from . import solvers as V
+
+SEED = 42
+#: Centres of the fixed-centre queries on P and L.
+P5 = [[5.0, 46.0], [15.0, 50.0], [25.0, 47.0], [35.0, 52.0], [45.0, 48.0]]
+L3 = [[10.0, 15.0, 2.0, 4.0], [25.0, 35.0, 5.0, 4.0], [40.0, 60.0, 8.0, 4.0]]
+Z, R = 20, 1.0
+
+E_SQL = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label::VARCHAR AS label FROM embeddings)"
+P_SQL = "p AS MATERIALIZED (SELECT p_partkey AS id, p_size::DOUBLE AS x0, p_retailprice / 20.0::DOUBLE AS x1, p_type AS label FROM part)"
+L_SQL = "l AS (SELECT l_quantity::DOUBLE AS x0, l_extendedprice / 1000.0::DOUBLE AS x1, l_discount * 100.0::DOUBLE AS x2, l_tax * 100.0::DOUBLE AS x3, l_returnflag AS label FROM lineitem)"
+
+
+def _u(salt: str, key: str = "id", seed: int = SEED) -> str:
+    return f"((('0x' || substr(md5('{seed}:{salt}:' || {key}), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE)"
+
+
+def _near(centres, view: str, extra: str = "") -> str:
+    """(..., d2, cluster) of the nearest literal centre."""
+    d = [" + ".join(f"(x{j} - {c!r}::DOUBLE) * (x{j} - {c!r}::DOUBLE)" for j, c in enumerate(cc)) for cc in centres]
+    least = f"least({', '.join(d)})"
+    case = "CASE " + " ".join(f"WHEN {x} = {least} THEN {i}" for i, x in enumerate(d)) + " END"
+    return f"a AS MATERIALIZED (SELECT *, {least} AS d2, {case} AS cluster FROM {view}{extra})"
+
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _x(df: DataFrame, d: int) -> DataFrame:
+    return df.select(*[c for c in df.columns if c != "x"], *[F.col("x")[j].alias(f"x{j}") for j in range(d)])
+
+
+# --- sources and preparation ------------------------------------------------------------------
+
+
+@query(f"WITH {E_SQL} SELECT id, len(x)::INTEGER AS dim, label, round(list_sum(list_transform(x, lambda v: v * v)), 5) AS norm2 FROM e")
+def scan_points(spark, sf_dir):
+    return src.embeddings(spark, sf_dir).select("id", F.size("x").alias("dim"), "label", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v), 5).alias("norm2"))
+
+
+@query(f"WITH {L_SQL}, s AS (SELECT {', '.join(f'avg(x{j}) AS m{j}, stddev_pop(x{j}) AS s{j}' for j in range(4))} FROM l) SELECT {', '.join(f'round((x{j} - m{j}) / CASE s{j} WHEN 0 THEN 1 ELSE s{j} END, 6) AS z{j}' for j in range(4))} FROM l, s")
+def zscore(spark, sf_dir):
+    z = prep.zscore(src.lines(spark, sf_dir))
+    return z.select(*[F.round(F.col("x")[j], 6).alias(f"z{j}") for j in range(4)])
+
+
+@query(
+    f"WITH {P_SQL}, n AS (SELECT count(*) // 100 AS m, max(id) AS last FROM p), i AS (SELECT last + unnest(range(1, m + 1)) AS id FROM n)"
+    f" SELECT id, x0, x1, label, false AS is_outlier FROM p UNION ALL SELECT id, {_u('x0')} * 10.0 - 5.0, {_u('x1')} * 10.0 - 5.0, '-1', true FROM i"
+)
+def inject_outliers(spark, sf_dir):
+    return _x(prep.inject(src.parts(spark, sf_dir), 0.01, 5.0, SEED), 2)
+
+
+@query(f"WITH {P_SQL}, c AS (SELECT label, row_number() OVER (ORDER BY count(*), label) <= 2 AS is_outlier FROM p GROUP BY label) SELECT id, label, is_outlier FROM p JOIN c USING (label)")
+def class_rank_outliers(spark, sf_dir):
+    return prep.classes_as_outliers(src.parts(spark, sf_dir), smallest=2).select("id", "label", "is_outlier")
+
+
+@query(f"WITH {P_SQL}, c AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) > 3 AS is_outlier FROM p GROUP BY label) SELECT id, label, is_outlier FROM p JOIN c USING (label)")
+def largest_class_inliers(spark, sf_dir):
+    return prep.classes_as_outliers(src.parts(spark, sf_dir), all_but_largest=3).select("id", "label", "is_outlier")
+
+
+@query(f"WITH {P_SQL} SELECT id, label, (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS code FROM p")
+def label_codes(spark, sf_dir):
+    return prep.label_codes(src.parts(spark, sf_dir)).select("id", "label", "code")
+
+
+# --- distances and assignment -----------------------------------------------------------------
+
+
+def _anchored(spark, sf_dir, f):
+    e = src.embeddings(spark, sf_dir)
+    one = e.orderBy("id").limit(1).select(F.col("x").alias("y"))
+    return e.crossJoin(F.broadcast(one)).select("id", F.round(f(F.col("x"), F.col("y")), 5).alias("d"))  # one row
+
+
+_ANCHOR = f"WITH {E_SQL}, y AS (SELECT x AS y FROM e ORDER BY id LIMIT 1), t AS (SELECT id, list_transform(list_zip(x, y), lambda v: abs(v[1] - v[2])) AS v FROM e, y) SELECT id, round({{}}, 5) AS d FROM t"
+
+
+@query(_ANCHOR.format("list_sum(v)"))
+def dist_l1(spark, sf_dir):
+    return _anchored(spark, sf_dir, C.l1)
+
+
+@query(_ANCHOR.format("sqrt(list_sum(list_transform(v, lambda w: w * w)))"))
+def dist_l2(spark, sf_dir):
+    return _anchored(spark, sf_dir, C.l2)
+
+
+@query(_ANCHOR.format("pow(list_sum(list_transform(v, lambda w: pow(w, 3))), 1.0 / 3)"))
+def dist_lp3(spark, sf_dir):
+    return _anchored(spark, sf_dir, lambda a, b: C.lp(a, b, 3.0))
+
+
+@query(f"WITH {P_SQL}, a AS (SELECT x0 AS y0, x1 AS y1 FROM p ORDER BY {_u('minmax')}, id LIMIT 32), d AS (SELECT (x0 - y0) * (x0 - y0) + (x1 - y1) * (x1 - y1) AS d2 FROM p, a) SELECT sqrt(min(d2)) AS min_d, sqrt(max(d2)) AS max_d FROM d WHERE d2 > 0")
+def minmax_dist(spark, sf_dir):
+    """Least and largest non-zero distance from 32 hash-drawn anchors."""
+    p = src.parts(spark, sf_dir)
+    anchors = [r["x"] for r in p.select("id", "x", C.uniform(SEED, "minmax").alias("u")).orderBy("u", "id").limit(32).collect()]
+    d = p.select(F.explode(F.array(*[C.squared_to(F.col("x"), a) for a in anchors])).alias("d2")).where("d2 > 0")
+    return d.agg(F.sqrt(F.min("d2")).alias("min_d"), F.sqrt(F.max("d2")).alias("max_d"))
+
+
+@query(f"WITH {P_SQL}, {_near(P5, 'p')} SELECT id, cluster, d2 FROM a")
+def assign_nearest(spark, sf_dir):
+    return A.assign(src.parts(spark, sf_dir), P5).select("id", "cluster", "d2")
+
+
+@query(f"WITH {E_SQL}, c AS (SELECT x AS y FROM e ORDER BY id LIMIT 10) SELECT id, round(min(list_sum(list_transform(list_zip(x, y), lambda v: (v[1] - v[2]) * (v[1] - v[2])))), 5) AS d2 FROM e, c GROUP BY id")
+def min_dist(spark, sf_dir):
+    e = src.embeddings(spark, sf_dir)
+    centres = [r["x"] for r in e.orderBy("id").limit(10).collect()]
+    return A.assign(e, centres).select("id", F.round("d2", 5).alias("d2"))
+
+
+@query(f"WITH {L_SQL}, {_near(L3, 'l')} SELECT cluster, count(*) AS n FROM a GROUP BY cluster")
+def assign_counts(spark, sf_dir):
+    return A.assign(src.lines(spark, sf_dir), L3).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+# --- neighbours -------------------------------------------------------------------------------
+
+_E_PAIRS = "d AS (SELECT a.id, b.id AS j, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda v: (v[1] - v[2]) * (v[1] - v[2])))) AS d FROM e a JOIN e b ON a.id <> b.id)"
+_P_PAIRS = "d AS (SELECT a.id, b.id AS j, (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) AS d2, sqrt(d2) AS d FROM p a JOIN p b ON a.id <> b.id)"
+_RANKED = "k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, j) AS rank FROM d)"
+_P_RANKED = "k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, j) AS rank FROM d)"
+
+
+@query(f"WITH {P_SQL}, {_P_PAIRS}, {_P_RANKED} SELECT id, j, rank::INTEGER AS rank, d FROM k WHERE rank <= 5")
+def knn_k(spark, sf_dir):
+    return N.knn(src.parts(spark, sf_dir), 5)
+
+
+@query(f"WITH {E_SQL}, {_E_PAIRS}, {_RANKED} SELECT id, round(d, 5) AS score FROM k WHERE rank = 10")
+def knn_radius(spark, sf_dir):
+    return N.radius(src.embeddings(spark, sf_dir), 10).select("id", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {E_SQL}, {_E_PAIRS}, {_RANKED} SELECT id, round(sum(d), 5) AS score FROM k WHERE rank BETWEEN 6 AND 15 GROUP BY id")
+def knn_band_sum(spark, sf_dir):
+    return N.band_sum(src.embeddings(spark, sf_dir), 5, 3).select("id", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {P_SQL}, {_P_PAIRS}, {_P_RANKED} SELECT id, d AS score FROM k WHERE rank = {2 * Z} ORDER BY d DESC, id LIMIT {Z}")
+def knn_topz_outliers(spark, sf_dir):
+    return N.top(N.radius(src.parts(spark, sf_dir), 2 * Z), Z)
+
+
+@query(f"WITH {P_SQL}, {_P_PAIRS}, {_P_RANKED} SELECT id, round(sum(d), 6) AS score FROM k WHERE rank BETWEEN {Z + 1} AND {2 * Z} GROUP BY id ORDER BY 2 DESC, id LIMIT {Z}")
+def knn_band_outliers(spark, sf_dir):
+    return N.top(N.band_sum(src.parts(spark, sf_dir), Z, 2).select("id", F.round("score", 6).alias("score")), Z)
+
+
+@query(f"WITH {P_SQL}, {_P_PAIRS}, {_P_RANKED} SELECT id, d AS score FROM k WHERE rank = 10 ORDER BY d DESC, id LIMIT {Z}")
+def knn_fixed_outliers(spark, sf_dir):
+    return N.top(N.radius(src.parts(spark, sf_dir), 10), Z)
+
+
+_BALL = f"n AS MATERIALIZED (SELECT a.id, count(*) AS n FROM p a JOIN p b ON (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) <= {R * R} GROUP BY a.id)"
+
+
+@query(f"WITH {P_SQL}, {_BALL} SELECT id, n FROM n")
+def ball_count(spark, sf_dir):
+    return N.ball_counts(src.parts(spark, sf_dir), R)
+
+
+@query(f"WITH {P_SQL}, {_BALL} SELECT id FROM n WHERE n >= 6")
+def heavy_points(spark, sf_dir):
+    return N.heavy(src.parts(spark, sf_dir), R, 6).select("id")
+
+
+@query(f"WITH {P_SQL}, {_BALL}, h AS (SELECT * FROM p WHERE id IN (SELECT id FROM n WHERE n >= 6)) SELECT id FROM p a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) <= {R * R})")
+def far_from_heavy(spark, sf_dir):
+    p = src.parts(spark, sf_dir)
+    return N.far_from(p, N.heavy(p, R, 6), R).select("id")
+
+
+# --- aggregates -------------------------------------------------------------------------------
+
+
+@query(f"WITH {L_SQL}, {_near(L3, 'l')} SELECT cluster, count(*) AS n, {', '.join(f'round(avg(x{j}), 6) AS m{j}' for j in range(4))} FROM a GROUP BY cluster")
+def cluster_means(spark, sf_dir):
+    a = A.assign(src.lines(spark, sf_dir), L3)
+    return a.groupBy("cluster").agg(F.count("*").alias("n"), *[F.round(F.avg(F.col("x")[j]), 6).alias(f"m{j}") for j in range(4)])
+
+
+@query(f"WITH {L_SQL}, {_near(L3, 'l')} SELECT cluster, {', '.join(f'round(sum(x{j} * (1 + x0)) / sum(1 + x0), 6) AS m{j}' for j in range(4))} FROM a GROUP BY cluster")
+def weighted_means(spark, sf_dir):
+    a = A.assign(src.lines(spark, sf_dir), L3).withColumn("w", F.col("x")[0] + 1)
+    m = A.means(a, 3, 4, "w")
+    return spark.createDataFrame([(c, *[round(v, 6) for v in m[c][1]]) for c in sorted(m)], "cluster int, m0 double, m1 double, m2 double, m3 double")
+
+
+_TOP = f"t AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY d2 DESC, id) <= {Z} AS is_outlier FROM a)"
+
+
+@query(f"WITH {P_SQL}, {_near(P5, 'p')}, {_TOP} SELECT cluster, round(avg(x0), 6) AS m0, round(avg(x1), 6) AS m1 FROM t WHERE NOT is_outlier GROUP BY cluster")
+def inlier_means(spark, sf_dir):
+    a = A.split_top(A.assign(src.parts(spark, sf_dir), P5), Z).where("not is_outlier")
+    return a.groupBy("cluster").agg(*[F.round(F.avg(F.col("x")[j]), 6).alias(f"m{j}") for j in range(2)])
+
+
+@query(f"WITH {P_SQL}, {_near(P5, 'p')}, {_TOP} SELECT id, cluster, d2, is_outlier FROM t")
+def final_assignment(spark, sf_dir):
+    return A.finish(src.parts(spark, sf_dir).drop("label"), P5, Z).assignments
+
+
+@query(f"WITH {P_SQL}, {_near(P5, 'p')}, {_TOP} SELECT round(sum(d2) FILTER (NOT is_outlier), 4) AS cost, round(sum(d2) FILTER (is_outlier), 4) AS outliers_cost FROM t")
+def trimmed_cost(spark, sf_dir):
+    a = A.split_top(A.assign(src.parts(spark, sf_dir), P5), Z)
+    return a.agg(F.round(F.sum(F.when(~F.col("is_outlier"), F.col("d2"))), 4).alias("cost"), F.round(F.sum(F.when(F.col("is_outlier"), F.col("d2"))), 4).alias("outliers_cost"))
+
+
+@query(f"WITH {P_SQL}, {_near(P5, 'p')}, {_TOP} SELECT cluster, count(*) AS n FROM t WHERE NOT is_outlier GROUP BY cluster")
+def cluster_sizes(spark, sf_dir):
+    return A.finish(src.parts(spark, sf_dir), P5, Z).cluster_sizes()
+
+
+@query(f"WITH {P_SQL}, {_near(P5, 'p')}, e AS (SELECT min(d2) AS edge FROM (SELECT d2 FROM a ORDER BY d2 DESC LIMIT {int(1.5 * Z) + 1})) SELECT round(greatest(5 / (1 - sum(d2) FILTER (d2 >= edge) / sum(d2)), 1), 6) AS factor FROM a, e")
+def ose_factor(spark, sf_dir):
+    a = A.assign(src.parts(spark, sf_dir), P5)
+    return spark.createDataFrame([(round(A.overseed(a, 0.5, 5, Z), 6),)], "factor double")
+
+
+def _judged(spark, sf_dir):
+    p = prep.classes_as_outliers(src.parts(spark, sf_dir), smallest=1).withColumnRenamed("is_outlier", "is_true")
+    return A.split_top(A.assign(p, P5), 200)
+
+
+_JUDGED = f"{P_SQL}, {_near(P5, 'p')}, c AS (SELECT label, row_number() OVER (ORDER BY count(*), label) <= 1 AS is_true FROM p GROUP BY label), t AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY d2 DESC, id) <= 200 AS is_outlier FROM a JOIN c USING (label))"
+
+
+@query(f"WITH {_JUDGED}, n AS (SELECT count(*) FILTER (is_true AND is_outlier) AS tp, count(*) FILTER (NOT is_true AND is_outlier) AS fp, count(*) FILTER (is_true AND NOT is_outlier) AS fn FROM t) SELECT round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM n")
+def precision_recall_f1(spark, sf_dir):
+    return M.outlier_scores(_judged(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+_CELLS = f"{_JUDGED}, i AS MATERIALIZED (SELECT label, cluster, count(*)::DOUBLE AS n FROM t WHERE NOT is_outlier GROUP BY ALL), ra AS (SELECT sum(n) AS n FROM i GROUP BY label), rb AS (SELECT sum(n) AS n FROM i GROUP BY cluster)"
+_PAIRS_SUM = ", ".join(f"(SELECT sum(n * (n - 1) / 2) FROM {t}) AS {a}" for t, a in (("i", "pab"), ("ra", "pa"), ("rb", "pb")))
+
+
+@query(f"WITH {_CELLS}, s AS (SELECT {_PAIRS_SUM}, (SELECT sum(n) FROM i) AS t) SELECT round((pab - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 6) AS ari FROM s")
+def ari(spark, sf_dir):
+    return M.agreement(_judged(spark, sf_dir).where("not is_outlier")).select(F.round("ari", 6).alias("ari"))
+
+
+@query(f"WITH {_CELLS}, s AS (SELECT (SELECT sum(n) FROM i) AS t, (SELECT sum(n * ln(n)) FROM i) AS iab, (SELECT sum(n * ln(n)) FROM ra) AS ia, (SELECT sum(n * ln(n)) FROM rb) AS ib) SELECT round((ln(t) + (iab - ia - ib) / t) / ((2 * ln(t) - ia / t - ib / t) / 2), 6) AS nmi FROM s")
+def nmi(spark, sf_dir):
+    return M.agreement(_judged(spark, sf_dir).where("not is_outlier")).select(F.round("nmi", 6).alias("nmi"))
+
+
+# --- sampling ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {P_SQL} SELECT x0, x1 FROM p ORDER BY {_u('uar')}, id LIMIT 10")
+def uar_seed(spark, sf_dir):
+    return spark.createDataFrame(sampling.uniform_seeds(src.parts(spark, sf_dir), 10, SEED), "x0 double, x1 double")
+
+
+def _d2_sql(k: int) -> str:
+    parts = [P_SQL, f"c0 AS MATERIALIZED (SELECT x0, x1 FROM p ORDER BY {_u('d2-0')}, id LIMIT 1)", "m0 AS MATERIALIZED (SELECT p.*, (p.x0 - c.x0) * (p.x0 - c.x0) + (p.x1 - c.x1) * (p.x1 - c.x1) AS d2 FROM p, c0 c)"]
+    for i in range(1, k):
+        u = _u(f"d2-{i}")
+        parts.append(f"c{i} AS MATERIALIZED (SELECT x0, x1 FROM m{i - 1} WHERE d2 > 0 ORDER BY -ln({u}) / d2, id LIMIT 1)")
+        parts.append(f"m{i} AS MATERIALIZED (SELECT m.id, m.x0, m.x1, m.label, least(m.d2, (m.x0 - c.x0) * (m.x0 - c.x0) + (m.x1 - c.x1) * (m.x1 - c.x1)) AS d2 FROM m{i - 1} m, c{i} c)")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {i} AS round, x0, x1 FROM c{i}" for i in range(k))
+
+
+@query(_d2_sql(5))
+def d2_seed(spark, sf_dir):
+    got = sampling.d2_seeds(src.parts(spark, sf_dir), 5, SEED)
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(got)], "round int, x0 double, x1 double")
+
+
+@query(
+    f"WITH {P_SQL}, {_near(P5, 'p')}, s AS (SELECT sum(d2) AS total, count(*) AS n FROM a), w AS (SELECT id, d2 / (2 * total) + 0.5 / n AS w FROM a, s)"
+    + " UNION ".join(f" SELECT * FROM (SELECT id FROM w ORDER BY -ln({_u(f'mixed-1-{i}')}) / w, id LIMIT 1)" for i in range(10))
+)
+def robust_oversample(spark, sf_dir):
+    """One round of draws, half by squared distance and half uniform."""
+    a = A.assign(src.parts(spark, sf_dir), P5)
+    total, n = a.agg(F.sum("d2"), F.count("*")).first()
+    got = sampling.draw(a, F.col("d2") / F.lit(2 * total) + F.lit(0.5 / n), SEED, [f"mixed-1-{i}" for i in range(10)])
+    return spark.createDataFrame(sorted({(i,) for i, _ in got}), "id long")
+
+
+@query(
+    f"WITH {P_SQL}, {_near(P5, 'p')}, s AS (SELECT min(d2) AS cap FROM (SELECT d2 FROM a ORDER BY d2 DESC LIMIT {Z})), w AS (SELECT id, least(d2, cap) AS w FROM a, s WHERE d2 > 0)"
+    + " UNION ".join(f" SELECT * FROM (SELECT id FROM w ORDER BY -ln({_u(f'fast-1-{i}')}) / w, id LIMIT 1)" for i in range(5))
+)
+def fast_sample_round(spark, sf_dir):
+    a = A.assign(src.parts(spark, sf_dir), P5)
+    cap = a.select("d2").orderBy(F.desc("d2")).limit(Z).agg(F.min("d2")).first()[0]
+    got = sampling.draw(a, F.least(F.col("d2"), F.lit(cap)), SEED, [f"fast-1-{i}" for i in range(5)])
+    return spark.createDataFrame(sorted({(i,) for i, _ in got}), "id long")
+
+
+@query(f"WITH {P_SQL} SELECT id FROM p ORDER BY {_u('coreset')}, id LIMIT 100")
+def uniform_coreset(spark, sf_dir):
+    return sampling.uniform_coreset(src.parts(spark, sf_dir), Z, 100, SEED)[0].select("id")
+
+
+@query(f"WITH {P_SQL} SELECT id FROM p WHERE {_u('bernoulli')} <= least(2.5 * 5 * ln((SELECT count(*) FROM p)) / 200, 1)")
+def bernoulli_coreset(spark, sf_dir):
+    return sampling.bernoulli_coreset(src.parts(spark, sf_dir), 5, 200, SEED)[0].select("id")
+
+
+@query("SELECT (e - 10)::INTEGER AS step, pow(2.0, e) AS guess FROM (SELECT unnest(range(10, 31)) AS e)")
+def opt_guesses(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(sampling.opt_guesses())), "step int, guess double")
+
+
+# --- iterations -------------------------------------------------------------------------------
+
+
+def _lloyd_sql(rounds: int, z: int, empty_zero: bool, weight: str) -> str:
+    parts = [P_SQL, "c0(cluster, y0, y1) AS (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(P5)) + ")"]
+    for t in range(rounds):
+        parts.append(f"d{t} AS MATERIALIZED (SELECT p.*, cluster, (x0 - y0) * (x0 - y0) + (x1 - y1) * (x1 - y1) AS d2 FROM p, c{t} QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, cluster) = 1)")
+        parts.append(f"t{t} AS MATERIALIZED (SELECT * FROM d{t} QUALIFY row_number() OVER (ORDER BY d2 DESC, id) > {z})")
+        new = lambda j: f"coalesce(sum(x{j} * {weight}) / sum({weight}), {'0' if empty_zero else f'any_value(y{j})'})"  # noqa: E731,B023
+        parts.append(f"c{t + 1} AS MATERIALIZED (SELECT c.cluster, {new(0)} AS y0, {new(1)} AS y1 FROM c{t} c LEFT JOIN t{t} ON t{t}.cluster = c.cluster GROUP BY c.cluster)")
+    return f"WITH {', '.join(parts)} SELECT cluster::INTEGER AS cluster, round(y0, 6) AS x0, round(y1, 6) AS x1 FROM c{rounds}"
+
+
+def _centres(spark, centres):
+    return spark.createDataFrame([(i, *[round(v, 6) for v in c]) for i, c in enumerate(centres)], "cluster int, x0 double, x1 double")
+
+
+@query(_lloyd_sql(3, 0, True, "1"))
+def lloyd_3(spark, sf_dir):
+    return _centres(spark, A.lloyd(src.parts(spark, sf_dir), P5, 3, tol=-1.0)[0])
+
+
+@query(_lloyd_sql(1, 0, True, "(1 + x0)"))
+def weighted_lloyd_1(spark, sf_dir):
+    return _centres(spark, A.lloyd(src.parts(spark, sf_dir).withColumn("w", F.col("x")[0] + 1), P5, 1, weight="w")[0])
+
+
+@query(_lloyd_sql(3, Z, False, "1"))
+def kmeansmm_3(spark, sf_dir):
+    return _centres(spark, A.trimmed_lloyd(src.parts(spark, sf_dir), P5, Z, 3)[0])
+
+
+@query(f"WITH {P_SQL}, {_near(P5, 'p')}, r AS (SELECT *, row_number() OVER (ORDER BY d2 DESC, id) AS far FROM a QUALIFY far <= 30), o AS (SELECT id, (row_number() OVER (ORDER BY d2, id) - 1) // 3 AS slice FROM r) SELECT id, slice::INTEGER AS slice FROM o")
+def recall_slices(spark, sf_dir):
+    """The excluded points, nearest first, in slices of three."""
+    from pyspark.sql.window import Window
+
+    a = A.split_top(A.assign(src.parts(spark, sf_dir), P5), 30).where("is_outlier")
+    return a.select("id", F.floor((F.row_number().over(Window.orderBy("d2", "id")) - 1) / 3).cast("int").alias("slice"))
+
+
+def _solved(name, view, k, z, **options):
+    def run(spark, sf_dir):
+        points = view(spark, sf_dir).select("id", "x").persist()
+        s = V.SOLVERS[name](**options).run(points, k, z)
+        return s.assignments
+
+    return run
+
+
+for _key, _name, _options in [
+    ("random", "Random", {}),
+    ("kmeanspp", "KMeans++", {}),
+    ("kmeansmm", "KMeans--", {}),
+    ("okmeans", "OKMeans", {}),
+    ("okmeans2", "OKMeans2", {}),
+    ("okmeans_fixed", "OKMeansBad", {}),
+    ("okmeans_uncapped", "OKMeansFAISS", {}),
+    ("okmeans2_uncapped", "OKMeans2FAISS", {}),
+    ("okmeans_fixed_uncapped", "OKMeansBadFAISS", {}),
+    ("nkmeans", "NKMeans", {"iters": 2, "lo": 2}),
+    ("robust_kmeanspp", "RobustKMeans++", {"delta": 0.2}),
+    ("ikmeans", "IKMeans", {}),
+    ("tikmeans", "TIKMeans", {}),
+    ("coreset_kmeanspp", "CoresetKMeans++", {"size": 500}),
+    ("coreset_okmeans", "CoresetOKMeans", {"size": 500}),
+    ("coreset_okmeans2", "CoresetOKMeans2", {"size": 500}),
+    ("coreset_okmeans_uncapped", "CoresetOKMeansFAISS", {"size": 500}),
+    ("coreset_okmeans2_uncapped", "CoresetOKMeans2FAISS", {"size": 500}),
+    ("coreset_okmeans_fixed", "CoresetOKMeansBadFAISS", {"size": 500}),
+    ("coreset_nkmeans", "CoresetNKMeans", {"size": 500}),
+    ("coreset_nkmeans_uncapped", "CoresetNKMeansFAISS", {"size": 500}),
+]:
+    QUERIES[_key] = _solved(_name, src.parts, 3, Z, **_options)
+
+# --- harness and reports ----------------------------------------------------------------------
+
+
+def _values(rows) -> str:
+    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
+    return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+
+
+@query(f"WITH d(i, dataset) AS (VALUES {_values(list(enumerate(x[0] for x in grid.DATASETS)))}), a(j, algorithm) AS (VALUES {_values(list(enumerate(x[0] for x in grid.PRESETS)))}) SELECT dataset, algorithm, s::INTEGER AS seed, (row_number() OVER (ORDER BY i, j, s) - 1)::INTEGER AS task_id FROM d, a, (SELECT unnest(range(10)) AS s)")
+def task_grid(spark, sf_dir):
+    return grid.task_grid(spark)
+
+
+_SWEPT = ["OKMeansBadFAISS", "OKMeansFAISS", "OKMeans2FAISS"]
+
+
+@query(f"WITH d(i, dataset) AS (VALUES {_values(list(enumerate(x[0] for x in grid.DATASETS)))}), a(j, algorithm) AS (VALUES {_values(list(enumerate(_SWEPT)))}), f(c) AS (VALUES {_values([(c,) for c in grid.FACTORS])}) SELECT dataset, algorithm, c, s::INTEGER AS seed, (row_number() OVER (ORDER BY i, j, c, s) - 1)::INTEGER AS task_id FROM d, a, f, (SELECT unnest(range(10)) AS s)")
+def param_grid(spark, sf_dir):
+    return grid.task_grid(spark, algorithms=_SWEPT, factors=grid.FACTORS)
+
+
+@query(
+    f"WITH d(gb, minutes) AS (VALUES {_values([x[3:] for x in grid.DATASETS])}), a(f, c) AS (VALUES {_values([x[1:] for x in grid.PRESETS])})"
+    " SELECT count(*) * 10 AS tasks, round(max(gb * f + 2), 6) AS max_memory_gb, round(sum(minutes * c) * 10, 6) AS minutes, round(sum(minutes * c) * 10 / 8, 6) AS parallel_minutes, ceil(count(*) * 10 / 50)::BIGINT AS jobs FROM d, a"
+)
+def resource_plan(spark, sf_dir):
+    return grid.resource_plan(spark)
+
+
+#: A small result table: task_id, dataset, algorithm, c, seed, status, dataset_size, cost, recall, precision, f1, ari, nmi, time_s.
+_ROWS = [
+    (t, d, a, c, s, st, n, cost, rec, pre, f1, ari_, nmi_, sec)
+    for t, (d, a, c, s, st, n, cost, rec, pre, f1, ari_, nmi_, sec) in enumerate(
+        [
+            ("A", "u", 3, 0, "completed", 100, 1.0, 0.5, 0.5, 0.5, 0.25, None, 2.0),
+            ("A", "u", 3, 1, "completed", 100, 3.0, 0.75, 0.5, 0.6, None, None, 4.0),
+            ("A", "v", 3, 0, "completed", 100, 2.0, 1.0, 1.0, 1.0, 0.5, 0.5, 1.0),
+            ("A", "v", 5, 1, "error", 100, None, None, None, None, None, None, None),
+            ("B", "u", 3, 0, "timeout", 900, None, None, None, None, None, None, None),
+            ("B", "u", 5, 1, "error", 900, None, None, None, None, None, None, None),
+            ("B", "v", 5, 0, "completed", 900, 8.0, 0.25, 0.5, 0.3, 0.75, 0.5, 16.0),
+            ("B", "v", 5, 1, "completed", 900, 8.0, 0.5, 0.5, 0.5, 0.75, 0.25, 8.0),
+            ("C", "u", 3, 0, "completed", 400, 5.0, 0.5, 0.25, 0.3, 0.5, 0.5, 3.0),
+            ("C", "v", 3, 0, "skipped", 400, None, None, None, None, None, None, None),
+        ]
+    )
+]
+_RESULT_COLS = "task_id, dataset, algorithm, c, seed, status, dataset_size, cost, recall, precision, f1, ari, nmi, time_s"
+_RESULT_SQL = f"r({_RESULT_COLS}) AS (VALUES {_values(_ROWS)})"
+
+
+def _results(spark):
+    kinds = "int string string int int string long double double double double double double double".split()
+    return spark.createDataFrame(_ROWS, ", ".join(f"`{n}` {k}" for n, k in zip(_RESULT_COLS.split(", "), kinds, strict=True)))
+
+
+def _cube_sql(keys: str) -> str:
+    return f"SELECT {keys}, count(*) AS n_runs, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in report.FIELDS) + f" FROM r WHERE status = 'completed' GROUP BY {keys}"
+
+
+@query(f"WITH {_RESULT_SQL} {_cube_sql('dataset, algorithm')}")
+def stats_cube(spark, sf_dir):
+    return report.cube(_results(spark), "dataset", "algorithm")
+
+
+@query(f"WITH {_RESULT_SQL} {_cube_sql('dataset, algorithm, c')}")
+def sensitivity_cube(spark, sf_dir):
+    return report.cube(_results(spark), "dataset", "algorithm", "c")
+
+
+@query(f"WITH {_RESULT_SQL} SELECT dataset, algorithm, task_id, cost, recall, time_s FROM r WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY dataset, algorithm ORDER BY cost, task_id) = 1")
+def best_run(spark, sf_dir):
+    return report.best_run(_results(spark))
+
+
+_DENSE = "g AS (SELECT dataset, algorithm FROM (SELECT unnest(['A', 'B', 'C', 'D']) AS dataset), (SELECT unnest(['u', 'v']) AS algorithm))"
+
+
+@query(
+    f"WITH {_RESULT_SQL}, {_DENSE}, s AS (SELECT dataset, algorithm, list(status ORDER BY task_id) AS st FROM r GROUP BY ALL) SELECT dataset, algorithm, CASE WHEN list_contains(st, 'completed') THEN 'completed' WHEN list_contains(st, 'timeout') THEN 'timeout' WHEN list_contains(st, 'skipped_timeout') THEN 'skipped' WHEN list_contains(st, 'error') THEN 'error' WHEN st IS NULL THEN 'not_run' ELSE st[1] END AS status FROM g LEFT JOIN s USING (dataset, algorithm)"
+)
+def status_rollup(spark, sf_dir):
+    pairs = spark.createDataFrame([(d, a) for d in "ABCD" for a in "uv"], "dataset string, algorithm string")
+    return report.status_of(_results(spark), pairs)
+
+
+_STATS = f"{_RESULT_SQL}, s AS ({_cube_sql('dataset, algorithm')})"
+
+
+@query(f"WITH {_STATS}, k AS (SELECT algorithm, row_number() OVER (PARTITION BY dataset ORDER BY cost_mean, algorithm) AS a, row_number() OVER (PARTITION BY dataset ORDER BY recall_mean DESC, algorithm) AS b, row_number() OVER (PARTITION BY dataset ORDER BY time_s_mean, algorithm) AS c FROM s) SELECT algorithm, round(avg(a), 6) AS cost_rank, round(avg(b), 6) AS recall_rank, round(avg(c), 6) AS time_rank FROM k GROUP BY algorithm")
+def avg_rank(spark, sf_dir):
+    return report.average_ranks(report.cube(_results(spark), "dataset", "algorithm"))
+
+
+@query(f"WITH {_STATS} SELECT dataset, algorithm, cost_mean <= min(cost_mean) OVER w * 1.01 AS cost_best, recall_mean >= max(recall_mean) OVER w - 0.01 AS recall_best, time_s_mean <= min(time_s_mean) OVER w * 1.1 AS time_best FROM s WINDOW w AS (PARTITION BY dataset)")
+def near_best(spark, sf_dir):
+    return report.near_best(report.cube(_results(spark), "dataset", "algorithm"))
+
+
+@query(f"WITH {_RESULT_SQL}, s AS ({_cube_sql('dataset, algorithm, c')}), q AS (SELECT *, cost_mean / min(cost_mean) OVER (PARTITION BY dataset) AS q FROM s) SELECT algorithm, c, round(avg(q), 6) AS relative_mean, round(stddev_pop(q), 6) AS relative_std FROM q GROUP BY algorithm, c")
+def relative_cost(spark, sf_dir):
+    return report.relative_cost(report.cube(_results(spark), "dataset", "algorithm", "c"))
+
+
+@query(f"WITH {_RESULT_SQL} SELECT algorithm, dataset_size::BIGINT AS dataset_size, round(avg(time_s), 6) AS time_mean, round(stddev_pop(time_s), 6) AS time_std FROM r WHERE status = 'completed' GROUP BY algorithm, dataset_size")
+def scalability(spark, sf_dir):
+    return report.scalability(_results(spark))
