@@ -195,15 +195,15 @@ def ball_count(spark, sf_dir):
     return N.ball_counts(src.parts(spark, sf_dir), R)
 
 
-@query(f"WITH {P_SQL}, {_BALL} SELECT id FROM n WHERE n >= 6")
+@query(f"WITH {P_SQL}, {_BALL} SELECT id FROM n WHERE n >= 14")
 def heavy_points(spark, sf_dir):
-    return N.heavy(src.parts(spark, sf_dir), R, 6).select("id")
+    return N.heavy(src.parts(spark, sf_dir), R, 14).select("id")
 
 
-@query(f"WITH {P_SQL}, {_BALL}, h AS (SELECT * FROM p WHERE id IN (SELECT id FROM n WHERE n >= 6)) SELECT id FROM p a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) <= {R * R})")
+@query(f"WITH {P_SQL}, {_BALL}, h AS (SELECT * FROM p WHERE id IN (SELECT id FROM n WHERE n >= 14)) SELECT id FROM p a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) <= {R * R})")
 def far_from_heavy(spark, sf_dir):
     p = src.parts(spark, sf_dir)
-    return N.far_from(p, N.heavy(p, R, 6), R).select("id")
+    return N.far_from(p, N.heavy(p, R, 14), R).select("id")
 
 
 # --- aggregates -------------------------------------------------------------------------------
