@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
 #: Entries of the per-worker word cache; it is emptied when full, so its memory is bounded.
-WORD_CACHE = 300_000
+WORD_CACHE = 100_000
 #: Input bytes that one hash partition is meant to hold.
 PARTITION_BYTES = 16 << 20
 

@@ -119,6 +119,19 @@ def score_texts(texts: list[bytes], w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
+def score_all(texts: list[bytes], w: np.ndarray) -> np.ndarray:
+    """score_texts, about a megabyte of text at a time."""
+    out, a = [np.zeros(0)], 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) <= 1 << 20):
+            size += len(texts[b])
+            b += 1
+        out.append(score_texts(texts[a:b], w))
+        a = b
+    return np.concatenate(out)
+
+
 def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, score) per row; doc_id as id_in gives it."""
     import pyarrow as pa
@@ -128,16 +141,8 @@ def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches):
         w = held.value.astype(np.float64)
         for batch in batches:
-            texts, out, a = text_bytes(batch.column("text")), [], 0
-            while a < len(texts):  # long texts are taken a few at a time
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= 4 << 20):
-                    size += len(texts[b])
-                    b += 1
-                out.append(score_texts(texts[a:b], w))
-                a = b
             cols = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*[n for n in batch.schema.names if n != "text"], "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(score_all(text_bytes(batch.column("text")), w))], names=[*[n for n in batch.schema.names if n != "text"], "score"])
 
     rest = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
@@ -153,6 +158,19 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, mod: int =
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """`docs`, all columns, without what the classifier rejects."""
-    w = train(docs, labels)
-    body = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    return scores(body, w).where(F.col("score") >= threshold).select("row.*")
+    import pyarrow as pa
+
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels).astype(np.float32))
+    at = docs.columns.index("text")
+    body = docs.select(F.struct(*docs.columns).alias("row"))
+
+    def run(batches):
+        w = held.value.astype(np.float64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                texts = [t or b"" for t in text_bytes(part.column("row").flatten()[at])]
+                keep = pa.array(score_all(texts, w) >= threshold)
+                yield part.filter(keep)
+
+    return body.mapInArrow(run, body.schema).select("row.*")
