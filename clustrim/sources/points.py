@@ -11,8 +11,29 @@ from pyspark.sql import types as T
 
 POINTS = T.StructType([T.StructField("id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("label", T.StringType()), T.StructField("is_outlier", T.BooleanType())])
 #: Benchmark result rows, one a task.
-RESULT = T.StructType.fromDDL(
-    "task_id INT, dataset STRING, algorithm STRING, seed INT, status STRING, error STRING, dataset_size LONG, dataset_dim INT, true_outliers LONG, k INT, cost DOUBLE, outliers_cost DOUBLE, time_s DOUBLE, elapsed_ms DOUBLE, recall DOUBLE, `precision` DOUBLE, f1 DOUBLE, ari DOUBLE, nmi DOUBLE, detected_outliers LONG, num_centers INT, algo_codename STRING, algo_fullname STRING, extra MAP<STRING,STRING>, c INT, param_name STRING, param_value DOUBLE"
+RESULT = T.StructType(
+    [
+        T.StructField(name, kind)
+        for kind, names in [
+            (T.IntegerType(), "task_id"),
+            (T.StringType(), "dataset algorithm"),
+            (T.IntegerType(), "seed"),
+            (T.StringType(), "status error"),
+            (T.LongType(), "dataset_size"),
+            (T.IntegerType(), "dataset_dim"),
+            (T.LongType(), "true_outliers"),
+            (T.IntegerType(), "k"),
+            (T.DoubleType(), "cost outliers_cost time_s elapsed_ms recall precision f1 ari nmi"),
+            (T.LongType(), "detected_outliers"),
+            (T.IntegerType(), "num_centers"),
+            (T.StringType(), "algo_codename algo_fullname"),
+            (T.MapType(T.StringType(), T.StringType()), "extra"),
+            (T.IntegerType(), "c"),
+            (T.StringType(), "param_name"),
+            (T.DoubleType(), "param_value"),
+        ]
+        for name in names.split()
+    ]
 )
 #: 37 numeric columns of the 42-column connection records; 1, 2, 3 are names, 41 the label.
 NUMERIC_42 = [0, *range(4, 12), *range(12, 21), *range(22, 41)]
