@@ -17,18 +17,18 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     """(node, component) for every node of `edges` (a, b); component is the smallest node reachable.
 
     Self loops only name a node.  A node in no edge is not returned.  Hubs are safe: the smallest
-    neighbour comes from a partial aggregate, and it is joined back by a join that splits hot keys.
+    neighbour comes from a partial aggregate and is written, so that the join back has two plain exchanges,
+    whose hot keys Spark can split.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = scratch.write(e, "edges")
     last = None
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        star = both.join(_nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        star = both.join(scratch.write(_nearest(both), "near"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         loops = e.where("u = v")
         star = scratch.write(star.union(loops).distinct(), "star")
-        near = _nearest(star)
-        small = star.join(near, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
+        small = star.join(scratch.write(_nearest(star), "near"), "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
         new = scratch.write(small.distinct(), "edges")
         state = new.where("u != v").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         scratch.drop("star")

@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     base = scratch.write(keyed(docs).mapInArrow(_sign(width), "doc_id long, n_shingles long, k1 long, k2 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"), "base")
 
     # 2: equal sets
-    one = base.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    one = scratch.write(base.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "one")
     member = base.where("n_shingles > 0").join(one, ["n_shingles", "k1", "k2"])
     same = scratch.write(member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
     reps = scratch.write(member.where("doc_id = rep").select("doc_id", "n_shingles", "s0", "s1", "s2", "s3", "bands").dropDuplicates(["doc_id", "n_shingles"]), "reps")
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     # 3: stars of the buckets
     keys = reps.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("bucket"))
     groups = keys.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    slots = scratch.write(keys.join(groups.drop("n"), "bucket"), "slots")
+    slots = scratch.write(keys.join(scratch.write(groups.drop("n"), "groups"), "bucket"), "slots")
     pairs = slots.where("doc_id != centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
     wanted = slots.select("doc_id").distinct()
     sets = scratch.write(keyed(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, items array<long>").dropDuplicates(["doc_id"]), "sets")
@@ -242,10 +242,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     part = components(links, scratch)
     held = slots.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     held = scratch.write(held, "held")
+    # aggregates are written before they are joined back: a join of two plain exchanges can split hot keys
     open_ = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.min("doc_id").alias("first"))
     open_ = open_.where("lo < hi").groupBy("n", "x", "first").agg(F.min("bucket").alias("bucket"))  # equal buckets once
     sizes = reps.select("doc_id", "n_shingles")
-    todo = held.join(open_.select("bucket"), "bucket").select("bucket", "doc_id").join(sizes, "doc_id")
+    todo = held.join(scratch.write(open_.select("bucket"), "open"), "bucket").select("bucket", "doc_id").join(sizes, "doc_id")
     weight = todo.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
     weight = weight.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int").alias("blocks"))
     todo = todo.select("bucket", "doc_id").join(weight, "bucket")
