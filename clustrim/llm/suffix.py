@@ -165,7 +165,8 @@ def repeat_marks(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFr
     for step in ("next1", "next2"):
         cur = cur.withColumn("rank", F.xxhash64("rank", step)).drop(step)
         seen = cur.groupBy("rank").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("k")).where("k > 1").select("rank")
-        cur = scratch.write(cur.join(seen, "rank"), step)
+        # written first: a join of two plain exchanges can split a hot rank
+        cur = scratch.write(cur.join(scratch.write(seen, "seen"), "rank"), step)
     scratch.drop("runs", "next1")
     classes = cur.groupBy("rank", "whole").agg(F.count("*").alias("k"), F.max("again").alias("again"), F.min(F.struct("doc_id", "start", "count")).alias("one"))
     classes = scratch.write(classes, "classes")
