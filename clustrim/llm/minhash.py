@@ -246,10 +246,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     open_ = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.min("doc_id").alias("first"))
     open_ = open_.where("lo < hi").groupBy("n", "x", "first").agg(F.min("bucket").alias("bucket"))  # equal buckets once
     sizes = reps.select("doc_id", "n_shingles")
-    todo = held.join(scratch.write(open_.select("bucket"), "open"), "bucket").select("bucket", "doc_id").join(sizes, "doc_id")
+    todo = scratch.write(held.join(scratch.write(open_.select("bucket"), "open"), "bucket").select("bucket", "doc_id").join(sizes, "doc_id"), "todo")
     weight = todo.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
     weight = weight.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    todo = todo.select("bucket", "doc_id").join(weight, "bucket")
+    todo = todo.select("bucket", "doc_id").join(scratch.write(weight, "weight"), "bucket")
     block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")
     todo = todo.withColumn("block", block).select("bucket", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     todo = todo.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "doc_id")
