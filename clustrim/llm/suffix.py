@@ -173,7 +173,7 @@ def repeat_marks(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFr
     full = scratch.write(cur.join(classes.where("k > 1").select("rank", "whole"), ["rank", "whole"]).select("doc_id", "start", "count"), "full")
     groups = classes.groupBy("rank").agg(F.count("*").alias("n"), F.min("k").alias("least"), F.max("again").alias("again"))
     groups = groups.where("(least = 1 and n > 1) or again").select("rank")
-    open_ = classes.join(groups, "rank").select("one.*").groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
+    open_ = classes.join(scratch.write(groups, "groups"), "rank").select("one.*").groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
     single = keyed(docs).join(scratch.write(open_, "open"), "doc_id").mapInArrow(_windows(length, n), PACKED)
     single = scratch.write(single.repartitionById(n, F.col("part")).mapInArrow(_repeated(n), PACKED), "single")
     return full, single, n
