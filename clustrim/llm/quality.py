@@ -3,11 +3,12 @@
 Features are hashed word unigrams and bigrams, of the words and of their shapes (runs of letters,
 capitals, digits and each other sign collapsed), so that unseen words still tell.  A document's value
 for a feature is its share of the document's n-grams of that kind, scaled; its score is a sparse dot
-product.  Training sees at most about `max_train` labelled documents, picked by hash, whole texts; the
-weights (2^BUCKET_BITS floats) have a fixed size and are broadcast.
+product.  Training sees about `max_train` labelled documents at most, picked by hash, whole texts; where
+their features take more than `MAX_TRAIN_BYTES`, a part of them picked by hash again.  The weights
+(2^BUCKET_BITS floats) have a fixed size and are broadcast.
 
 Defined cases: null or empty text has no features and scores the bias alone; labels that are null are
-not used; a document labelled twice is used once for each label row; with no usable label every score is
+not used; a document labelled twice is used once for each different label; with no usable label every score is
 0.5; documents without a doc_id are scored but never trained on.
 """
 
@@ -20,11 +21,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, WORD_CACHE, crc_mod, hashes, id_in, mix, text_bytes
+from .common import BASE, WORD_CACHE, Scratch, crc_mod, hashes, id_in, mix, text_bytes
 
 BUCKET_BITS = 18
 #: Expected labelled documents in the training sample, and passes over them.
 MAX_TRAIN, EPOCHS = 8192, 3
+#: Expected bytes of the sample's features on the driver; one document has 2^(BUCKET_BITS + 3) at most.
+MAX_TRAIN_BYTES = 192 << 20
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-3
 SCALE = 8.0
 
@@ -94,13 +97,17 @@ def _rows(batches):
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.ndarray:
     """Weights and, last, the bias.  `labels`: doc_id, quality (0 or 1), training rows only."""
-    labels = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    labels = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     total = labels.count()
     share = min(1.0, max_train / max(total, 1))
     sample = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20)))
     docs = docs.select(id_in().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # the sample's expected size is max_train rows of 12 bytes
-    got = docs.join(F.broadcast(sample), "doc_id").mapInArrow(_rows, "doc_id long, quality int, blob binary").toArrow()
+    got = docs.join(F.broadcast(sample), "doc_id").mapInArrow(_rows, "doc_id long, quality int, blob binary")
+    got = Scratch(docs.sparkSession).write(got, "sample")
+    size = got.agg(F.sum(F.length("blob"))).first()[0] or 0
+    kept = min(1.0, MAX_TRAIN_BYTES / max(size, 1))
+    got = got.where(F.pmod(F.xxhash64("doc_id", "blob"), F.lit(1 << 20)) < int(kept * (1 << 20))).toArrow()
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("quality").to_pylist(), got.column("blob").to_pylist(), strict=True))
     order = np.random.default_rng(7)
     model = Ftrl(1 << BUCKET_BITS)
