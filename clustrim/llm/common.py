@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: Entries of the per-worker word cache; it is emptied when full, so its memory is bounded.
 WORD_CACHE = 100_000
-#: Input bytes that one hash partition is meant to hold.
-PARTITION_BYTES = 16 << 20
+#: Input bytes that one hash bucket is meant to hold, and the most shuffle partitions that buckets are dealt to.
+BUCKET_BYTES, MAX_TASKS = 16 << 20, 60_000
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -52,15 +52,15 @@ def crc_mod(mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def partitions(docs: DataFrame, per: int = PARTITION_BYTES) -> int:
-    """Hash partitions for work over all of `docs`: follows its size, at least the session's setting."""
+def buckets_for(docs: DataFrame, per: int = BUCKET_BYTES) -> int:
+    """Hash buckets for work over all of `docs`: follows its size, at least the session's shuffle partitions."""
     spark = docs.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
         size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:  # plan statistics are an optimisation only
         return least
-    return max(least, min(60_000, math.ceil(size / per))) if size < 1 << 60 else least
+    return max(least, math.ceil(size / per)) if size < 1 << 60 else least
 
 
 @contextlib.contextmanager
@@ -198,18 +198,23 @@ def unplanes(raw: memoryview, n: int, dtype) -> np.ndarray:
 PACKED = "part int, n int, payload binary"
 
 
+def stretches(keys: np.ndarray):
+    """(key, first, end) of every stretch of equal neighbours."""
+    if len(keys):
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        yield from zip(keys[edges[:-1]].tolist(), edges[:-1], edges[1:], strict=True)
+
+
 def pack(part: np.ndarray, n_parts: int, docs: np.ndarray, starts: np.ndarray, prints: np.ndarray | None = None):
-    """One row per partition number: (doc, start[, fingerprint]) of its entries, in the given order."""
+    """One row per bucket: (doc, start[, fingerprint]) of its entries, in the given order."""
     import pyarrow as pa
 
-    order = np.argsort(part.astype(np.uint16), kind="stable")  # radix
-    edges = np.searchsorted(part[order], np.arange(n_parts + 1))
-    docs, starts = docs[order], starts[order].astype(np.uint32)
+    order = np.argsort(part.astype(np.uint16) if n_parts <= 1 << 16 else part, kind="stable")  # radix up to 16 bits
+    part, docs, starts = part[order], docs[order], starts[order].astype(np.uint32)
     if prints is not None:
         prints = prints[order]
     numbers, counts, blobs = [], [], []
-    for p in np.flatnonzero(edges[1:] > edges[:-1]):
-        a, b = edges[p], edges[p + 1]
+    for p, a, b in stretches(part):
         d = docs[a:b].copy()
         d[1:] -= docs[a : b - 1]
         blobs.append(b"".join([planes(d), planes(starts[a:b])] + ([prints[a:b].tobytes()] if prints is not None else [])))
@@ -225,24 +230,44 @@ def unpack(n: int, payload, prints: bool):
     return (docs, starts, np.frombuffer(raw[12 * n :], np.uint64)) if prints else (docs, starts)
 
 
-def unpack_all(batches, prints: bool = True):
-    """All entries of a partition: int64 docs, uint32 starts[, uint64 prints]."""
-    got = [unpack(n, p, prints) for b in batches for n, p in zip(b.column("n").to_pylist(), b.column("payload").to_pylist(), strict=True)]
-    if not got:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint32, np.uint64)[: 2 + prints])
-    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+def dealt(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """`rows` dealt out by bucket (`part`, below n), buckets one after the other in each shuffle partition.
+
+    Tasks work through their buckets one at a time, so their memory follows a bucket, not a partition.
+    """
+    tasks = min(n, MAX_TASKS)
+    out = rows.repartitionById(tasks, F.pmod("part", F.lit(tasks)))
+    return out.sortWithinPartitions("part", *order) if order or tasks < n else out
+
+
+def _joined(got: list) -> tuple:
+    out = tuple(np.concatenate(x) for x in zip(*got, strict=True))
+    got.clear()
+    return out
+
+
+def unpack_buckets(batches, prints: bool = True):
+    """All entries of one bucket after the other: int64 docs, uint32 starts[, uint64 prints]."""
+    now, got = None, []
+    for batch in batches:
+        for part, n, p in zip(*[batch.column(c).to_pylist() for c in ("part", "n", "payload")], strict=True):
+            if got and part != now:
+                yield _joined(got)
+            now = part
+            got.append(unpack(n, p, prints))
+    if got:
+        yield _joined(got)
 
 
 def with_marks(docs: DataFrame, marks: DataFrame, n: int) -> DataFrame:
-    """Deal packed marks and the texts out by document, marks first in each partition.
+    """Deal packed marks and the texts out by document, marks first in each bucket.
 
     docs: keyed, further columns stay.  Result: part, n, payload (marks), then the documents' columns.
     """
     extra = [c for c in docs.columns]
     left = marks.select("part", "n", "payload", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in extra])
     right = docs.select(bucket_column("doc_id", n).alias("part"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("payload"), *extra)
-    both = left.unionByName(right).repartitionById(n, F.col("part"))
-    return both.sortWithinPartitions(F.col("n").asc_nulls_last())
+    return dealt(left.unionByName(right), n, F.col("n").asc_nulls_last())
 
 
 def marked(batches):
@@ -250,27 +275,31 @@ def marked(batches):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    got_d, got_s, index = [], [], None
+    now, got_d, got_s, index = None, [], [], None
     for batch in batches:
-        is_mark = pc.is_valid(batch.column("n"))
-        for n, p in zip(pc.filter(batch.column("n"), is_mark).to_pylist(), pc.filter(batch.column("payload"), is_mark).to_pylist(), strict=True):
-            d, s = unpack(n, p, False)
-            got_d.append(d)
-            got_s.append(s)
-        rows = pa.Table.from_batches([batch]).filter(pc.invert(is_mark)).combine_chunks().to_batches()
-        if not rows:
-            continue
-        if index is None:
-            d = np.concatenate(got_d) if got_d else np.zeros(0, np.int64)
-            s = np.concatenate(got_s) if got_s else np.zeros(0, np.uint32)
-            order = np.argsort(d, kind="stable")
-            index = d[order], s[order]
-            got_d, got_s = [], []
-        for r in rows:
-            if r.num_rows:
-                ids = r.column("doc_id").to_numpy(zero_copy_only=False)
-                lo, hi = np.searchsorted(index[0], ids), np.searchsorted(index[0], ids, side="right")
-                yield r, [index[1][a:b].astype(np.int64) for a, b in zip(lo, hi, strict=True)]
+        for part, first, end in stretches(batch.column("part").to_numpy()):
+            if part != now:
+                now, got_d, got_s, index = part, [], [], None
+            piece = batch.slice(first, end - first)
+            is_mark = pc.is_valid(piece.column("n"))
+            for n, p in zip(pc.filter(piece.column("n"), is_mark).to_pylist(), pc.filter(piece.column("payload"), is_mark).to_pylist(), strict=True):
+                d, s = unpack(n, p, False)
+                got_d.append(d)
+                got_s.append(s)
+            rows = pa.Table.from_batches([piece]).filter(pc.invert(is_mark)).combine_chunks().to_batches()
+            if not rows:
+                continue
+            if index is None:
+                d = np.concatenate(got_d) if got_d else np.zeros(0, np.int64)
+                s = np.concatenate(got_s) if got_s else np.zeros(0, np.uint32)
+                order = np.argsort(d, kind="stable")
+                index = d[order], s[order]
+                got_d, got_s = [], []
+            for r in rows:
+                if r.num_rows:
+                    ids = r.column("doc_id").to_numpy(zero_copy_only=False)
+                    lo, hi = np.searchsorted(index[0], ids), np.searchsorted(index[0], ids, side="right")
+                    yield r, [index[1][a:b].astype(np.int64) for a, b in zip(lo, hi, strict=True)]
 
 
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:

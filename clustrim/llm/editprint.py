@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Scratch, id_out, keyed, mix, partitions
+from .common import BASE, MAX_TASKS, Scratch, buckets_for, id_out, keyed, mix
 
 PERIOD, SAMPLES, SEED = 8192, 32, 20240229
 #: Characters (texts and edited texts apart) that one batch of walks holds.
@@ -140,7 +140,7 @@ def _work(batches):
 def digest(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = keyed(docs)
-    n = partitions(docs)
+    n = min(buckets_for(docs), MAX_TASKS)
     cuts = np.array(sorted(set(rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or [])), np.int64)
 
     @F.pandas_udf("int")

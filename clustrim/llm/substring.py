@@ -1,7 +1,7 @@
 """Substring dedup: Rabin-Karp hashes of every window of `length` words, counted in Spark.
 
 Each document task hashes all its windows; (hash, doc, start) entries travel packed, dealt out by
-hash; each hash partition sorts its entries, finds the repeated hashes and marks all but the first
+hash; each hash bucket sorts its entries, finds the repeated hashes and marks all but the first
 occurrence, by (doc_id, start); the marks travel back packed by document, where they merge into
 maximal removal intervals.
 
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Scratch, bucket_of, covered, hashes, id_out, keyed, keyed_columns, marked, pack, partitions, rolling, text_bytes, unpack_all, window_hash, with_marks
+from .common import PACKED, Scratch, bucket_of, buckets_for, covered, dealt, hashes, id_out, keyed, keyed_columns, marked, pack, rolling, text_bytes, unpack_buckets, window_hash, with_marks
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Words that are hashed and packed at once.
@@ -37,7 +37,7 @@ def _windows(n_parts: int, length: int):
             local = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             prints = window_hash(prefix, np.repeat(first, counts) + local, length)
             docs = np.repeat(np.array(ids, np.int64), counts)
-            part = (prints >> np.uint64(40)) % np.uint64(n_parts)
+            part = (prints >> np.uint64(24)) % np.uint64(n_parts)
             return pack(part.astype(np.int64), n_parts, docs, local, prints)
 
         ids, texts, held = [], [], 0
@@ -61,35 +61,33 @@ def _later(n_buckets: int):
     """Marks of all but the first of equal windows."""
 
     def run(batches):
-        docs, starts, prints = unpack_all(batches)
-        if not len(prints):
-            return
-        order = np.argsort(prints)
-        p = prints[order]
-        same = p[1:] == p[:-1]
-        twin = np.zeros(len(p), bool)
-        twin[1:] |= same
-        twin[:-1] |= same
-        keep = order[twin]
-        docs, starts, prints = docs[keep], starts[keep], prints[keep]
-        order = np.lexsort((starts, docs, prints))
-        docs, starts, prints = docs[order], starts[order], prints[order]
-        head = np.ones(len(prints), bool)
-        head[1:] = prints[1:] != prints[:-1]
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-        later = (docs != docs[lead]) | (starts != starts[lead])
-        if later.any():
-            order = np.lexsort((starts[later], docs[later]))
-            docs, starts = docs[later][order], starts[later][order]
-            yield pack(bucket_of(docs, n_buckets), n_buckets, docs, starts)
+        for docs, starts, prints in unpack_buckets(batches):
+            order = np.argsort(prints)
+            p = prints[order]
+            same = p[1:] == p[:-1]
+            twin = np.zeros(len(p), bool)
+            twin[1:] |= same
+            twin[:-1] |= same
+            keep = order[twin]
+            docs, starts, prints = docs[keep], starts[keep], prints[keep]
+            order = np.lexsort((starts, docs, prints))
+            docs, starts, prints = docs[order], starts[order], prints[order]
+            head = np.ones(len(prints), bool)
+            head[1:] = prints[1:] != prints[:-1]
+            lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+            later = (docs != docs[lead]) | (starts != starts[lead])
+            if later.any():
+                order = np.lexsort((starts[later], docs[later]))
+                docs, starts = docs[later][order], starts[later][order]
+                yield pack(bucket_of(docs, n_buckets), n_buckets, docs, starts)
 
     return run
 
 
 def repeat_marks(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, int]:
     """Packed (doc_id, start) of the windows that also start earlier, by document bucket; bucket count."""
-    n = partitions(docs)
-    out = keyed(docs).mapInArrow(_windows(n, length), PACKED).repartitionById(n, F.col("part")).mapInArrow(_later(n), PACKED)
+    n = buckets_for(docs)
+    out = dealt(keyed(docs).mapInArrow(_windows(n, length), PACKED), n).mapInArrow(_later(n), PACKED)
     return scratch.write(out, "marks"), n
 
 

@@ -10,7 +10,7 @@ run, about one per 128 bytes, and
    suffixes whose rank is unique;
 2. runs equal in their whole extent are one class: a class of two or more repeats in full;
 3. only runs alone in their class, and one run of each class beside them, go on to single windows:
-   (rank, next) at the full length, again sorted by hash partition; repeated ones are marked;
+   (rank, next) at the full length, again sorted by hash bucket; repeated ones are marked;
 4. marks travel back packed by document and merge into maximal runs.
 
 Texts of any content work: ties (periodic text) only make runs longer, and a run that may repeat
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, PACKED, Scratch, bucket_of, covered, id_out, keyed, marked, mix, pack, partitions, rolling, text_bytes, unpack_all, window_hash, with_marks
+from .common import BASE, PACKED, Scratch, bucket_of, buckets_for, covered, dealt, id_out, keyed, marked, mix, pack, rolling, text_bytes, unpack_buckets, window_hash, with_marks
 
 #: Width, in gram positions, of the window whose smallest gram is picked; a power of two.
 SPREAD = 256
@@ -112,7 +112,7 @@ def _windows(length: int, n_parts: int):
 
         def flush():
             d, s, p = np.concatenate(docs), np.concatenate(starts), np.concatenate(prints)
-            part = (p >> np.uint64(40)) % np.uint64(n_parts)
+            part = (p >> np.uint64(24)) % np.uint64(n_parts)
             return pack(part.astype(np.int64), n_parts, d, s, p)
 
         for batch in batches:
@@ -137,29 +137,27 @@ def _windows(length: int, n_parts: int):
 
 def _repeated(n_buckets: int):
     def run(batches):
-        docs, starts, prints = unpack_all(batches)
-        if not len(prints):
-            return
-        order = np.lexsort((starts, docs, prints))
-        docs, starts, prints = docs[order], starts[order], prints[order]
-        head = np.ones(len(prints), bool)
-        head[1:] = prints[1:] != prints[:-1]
-        place = head.copy()
-        place[1:] |= (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1])
-        group = np.cumsum(head) - 1
-        keep = place & (np.bincount(group, place)[group] > 1)
-        docs, starts = docs[keep], starts[keep]
-        if len(docs):
-            order = np.lexsort((starts, docs))
-            docs, starts = docs[order], starts[order]
-            yield pack(bucket_of(docs, n_buckets), n_buckets, docs, starts)
+        for docs, starts, prints in unpack_buckets(batches):
+            order = np.lexsort((starts, docs, prints))
+            docs, starts, prints = docs[order], starts[order], prints[order]
+            head = np.ones(len(prints), bool)
+            head[1:] = prints[1:] != prints[:-1]
+            place = head.copy()
+            place[1:] |= (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1])
+            group = np.cumsum(head) - 1
+            keep = place & (np.bincount(group, place)[group] > 1)
+            docs, starts = docs[keep], starts[keep]
+            if len(docs):
+                order = np.lexsort((starts, docs))
+                docs, starts = docs[order], starts[order]
+                yield pack(bucket_of(docs, n_buckets), n_buckets, docs, starts)
 
     return run
 
 
 def repeat_marks(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
     """Whole repeated runs (doc_id, start, count), packed single repeated starts, bucket count."""
-    n = partitions(docs)
+    n = buckets_for(docs)
     cur = keyed(docs).mapInArrow(_runs(length), _RUNS)
     cur = scratch.write(cur, "runs")
     for step in ("next1", "next2"):
@@ -175,7 +173,7 @@ def repeat_marks(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFr
     groups = groups.where("(least = 1 and n > 1) or again").select("rank")
     open_ = classes.join(scratch.write(groups, "groups"), "rank").select("one.*").groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
     single = keyed(docs).join(scratch.write(open_, "open"), "doc_id").mapInArrow(_windows(length, n), PACKED)
-    single = scratch.write(single.repartitionById(n, F.col("part")).mapInArrow(_repeated(n), PACKED), "single")
+    single = scratch.write(dealt(single, n).mapInArrow(_repeated(n), PACKED), "single")
     return full, single, n
 
 

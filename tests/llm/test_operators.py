@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from clustrim.llm import editprint, graph, hmm, hostrank, leak, licenses, minhash, mixing, quality, queries, substring, suffix
+from clustrim.llm import common, editprint, graph, hmm, hostrank, leak, licenses, minhash, mixing, quality, queries, substring, suffix
 from clustrim.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -87,6 +87,14 @@ def test_quality_learns_and_handles_odd_rows(spark, docs, none):
     assert set(quality.keep_good(docs, labels, 0.0).columns) == set(docs.columns) and quality.keep_good(docs, labels, 0.0).count() == len(ROWS)
 
 
+def test_quality_sample_is_bounded(spark, docs, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] * 3, "doc_id long, quality int")
+    want = quality.train(docs, labels)
+    assert np.array_equal(want, quality.train(docs, labels.distinct()))
+    monkeypatch.setattr(quality, "MAX_TRAIN_BYTES", 0)
+    assert not quality.train(docs, labels).any()
+
+
 def test_quality_held_out_accuracy(spark):
     got = queries.op1_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (got.predicted == got.quality).mean() > 0.9
@@ -306,6 +314,18 @@ def test_word_repeats_brute(spark, docs, none):
     assert by[0]["text"] == BASE and by[1]["text"].strip() == "" and by[3]["text"] is None and BASE not in by[9]["text"] and by[9]["n_chars"] == len(by[9]["text"])
 
 
+def test_repeats_with_several_buckets_a_task(spark, monkeypatch):
+    """More buckets than shuffle partitions: the same results."""
+    data = {**dict(ROWS), 30: LONG[500:9000]}
+    data[8] = LONG[:12_000]
+    docs = table(spark, list(data.items()))
+    monkeypatch.setattr(common, "MAX_TASKS", 3)
+    monkeypatch.setattr(substring, "buckets_for", lambda docs: 50)
+    monkeypatch.setattr(suffix, "buckets_for", lambda docs: 70_000)
+    assert rows(substring.digest(docs, 20)) == words_brute(data, 20)
+    assert rows(suffix.digest(docs)) == bytes_brute({i: (t or "").encode() for i, t in data.items()}, 400)
+
+
 # --- 7
 
 
