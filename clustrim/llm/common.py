@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: Entries of the per-worker word cache; it is emptied when full, so its memory is bounded.
 WORD_CACHE = 100_000
+#: Rows that `marked` hands on at once.
+MARKED_ROWS = 1000
 #: Input bytes that one hash bucket is meant to hold, and the most shuffle partitions that buckets are dealt to.
 BUCKET_BYTES, MAX_TASKS = 16 << 20, 60_000
 
@@ -276,7 +278,7 @@ def marked(batches):
     import pyarrow.compute as pc
 
     now, got_d, got_s, index = None, [], [], None
-    for batch in batches:
+    for batch in (whole.slice(a, MARKED_ROWS) for whole in batches for a in range(0, whole.num_rows, MARKED_ROWS)):
         for part, first, end in stretches(batch.column("part").to_numpy()):
             if part != now:
                 now, got_d, got_s, index = part, [], [], None

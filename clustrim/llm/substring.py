@@ -33,7 +33,7 @@ def _windows(n_parts: int, length: int):
             sizes = np.fromiter((len(w) for w in texts), np.int64, len(texts))
             counts = np.maximum(sizes - length + 1, 0)
             first = np.cumsum(sizes) - sizes
-            prefix = rolling(hashes([x for w in texts for x in w]))
+            prefix = rolling(np.concatenate(texts))
             local = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             prints = window_hash(prefix, np.repeat(first, counts) + local, length)
             docs = np.repeat(np.array(ids, np.int64), counts)
@@ -46,7 +46,7 @@ def _windows(n_parts: int, length: int):
                 w = t.split()
                 if len(w) >= length:
                     ids.append(i)
-                    texts.append(w)
+                    texts.append(hashes(w))
                     held += len(w)
                     if held >= CHUNK_WORDS:
                         yield flush()
