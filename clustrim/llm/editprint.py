@@ -21,10 +21,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, MAX_TASKS, Scratch, buckets_for, id_out, keyed, mix
+from .graph import components
+from .leak import nearest_whole
 
 PERIOD, SAMPLES, SEED = 8192, 32, 20240229
 #: Characters (texts and edited texts apart) that one batch of walks holds.
@@ -160,43 +163,148 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.withColumn("doc_id", id_out())
 
 
-# --- near pairs -------------------------------------------------------------------------------
+# --- near groups ------------------------------------------------------------------------------
 
-BAND = 8
+#: Digits of a band and the step from one band to the next; rows and characters of a block of a bucket.
+BAND, BAND_STEP = 8, 4
+BLOCK_ROWS, BLOCK_CHARS = 256, 4_000_000
 
 
 def bands(fingerprint: str) -> list[str]:
-    """Bit-sampled band keys: runs of BAND digits of each full octave of the walk."""
+    """Bit-sampled band keys: overlapping runs of BAND digits from the octaves past the dense ones."""
     first = 2 * SAMPLES
-    return [f"{a}:{fingerprint[a : a + BAND]}" for a in range(first, len(fingerprint) - BAND + 1, BAND)]
+    return [f"{a}:{fingerprint[a : a + BAND]}" for a in range(first, len(fingerprint) - BAND + 1, BAND_STEP)] or [f"={fingerprint}"]
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """Links (doc_id, other, similarity) of each document to the smallest one of every bucket it is in.
-
-    Similarity is 1 - edit distance / longer length, verified by the bit-parallel distance on whole texts.
-    Texts whose walk stays under 2 * SAMPLES + BAND samples are linked only when equal.
-    """
+def _banded(batches):
+    """doc_id, text -> doc_id, sha (of the text), n_chars, band keys; empty texts have none."""
     import pyarrow as pa
 
-    from .leak import nearest_whole
+    def flush(ids, texts):
+        m, _ = prints(texts)
+        keys = [[xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in bands(as_text(m[:, k]))] if t else [] for k, t in enumerate(texts)]
+        cols = [pa.array(ids, pa.int64()), pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "sha", "n_chars", "bands"])
 
-    scratch = Scratch(docs.sparkSession)
-    found = scratch.write(digest(docs).select("doc_id", "fingerprint").where("doc_id is not null"), "prints")
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids.append(i)
+            texts.append(t)
+            held += len(t)
+            if held >= BATCH_CHARS:
+                yield flush(ids, texts)
+                ids, texts, held = [], [], 0
+    if ids:
+        yield flush(ids, texts)
 
-    @F.pandas_udf("array<string>")
-    def keys(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: bands(x) or [f"={x}"])
 
-    slots = found.select("doc_id", F.explode(keys("fingerprint")).alias("key")).select("doc_id", F.xxhash64("key").alias("bucket"))
-    centres = slots.groupBy("bucket").agg(F.min("doc_id").alias("other"), F.count("*").alias("n")).where("n > 1")
-    pairs = slots.join(centres, "bucket").where("doc_id != other").select("doc_id", "other").distinct()
-    text = keyed(docs).dropDuplicates(["doc_id"])
-    both = pairs.join(text, "doc_id").join(text.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text")), "other")
+def alike(a: str, b: str, least: float) -> bool:
+    """1 - edit distance / longer length >= `least`, by the bit-parallel distance on whole texts."""
+    longer = max(len(a), len(b), 1)
+    return abs(len(a) - len(b)) <= (1 - least) * longer + 1e-9 and 1 - nearest_whole(a, b) / longer >= least - 1e-12
 
-    def verify(batches):
+
+def _verify_stars(least: float):
+    import pyarrow as pa
+
+    def run(batches):
         for b in batches:
-            sims = [1 - nearest_whole(x, y) / max(len(x), len(y), 1) for x, y in zip(b.column("text").to_pylist(), b.column("other_text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("other"), pa.array(sims, pa.float64())], names=["doc_id", "other", "similarity"])
+            ok = [alike(x, y, least) for x, y in zip(b.column("text").to_pylist(), b.column("centre_text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("centre")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
 
-    return both.select("doc_id", "other", "text", "other_text").mapInArrow(verify, "doc_id long, other long, similarity double").where(F.col("similarity") >= least)
+def _verify_blocks(least: float):
+    """Rows sorted by (bucket, bi, bj): links that join components which are still apart, one forest a block pair."""
+    import pyarrow as pa
+
+    def solve(rows):
+        parent = {c: c for _, c, _, _ in rows}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        # character counts bound the distance from below
+        counts = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 63, minlength=64) for _, _, _, t in rows], np.int64)
+        across = len({block for _, _, block, _ in rows}) > 1
+        found = []
+        for i in range(1, len(rows)):
+            gap = counts[:i] - counts[i]
+            bound = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1))
+            longer = np.maximum(counts[:i].sum(1), counts[i].sum())
+            for j in np.flatnonzero(bound <= (1 - least) * longer + 1e-9).tolist():
+                a, b = rows[i], rows[j]
+                if across and a[2] == b[2] or root(a[1]) == root(b[1]):
+                    continue
+                if alike(a[3], b[3], least):
+                    parent[root(a[1])] = root(b[1])
+                    found.append((a[0], b[0]))
+        x, y = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            at = {c: batch.column(c).to_pylist() for c in ("bucket", "bi", "bj", "rep", "component", "block", "text")}
+            for k, *row in zip(zip(at["bucket"], at["bi"], at["bj"], strict=True), at["rep"], at["component"], at["block"], at["text"], strict=True):
+                if k != key and rows:
+                    yield solve(rows)
+                    rows = []
+                key = k
+                rows.append(row)
+        if rows:
+            yield solve(rows)
+
+    return run
+
+
+def near_groups(docs: DataFrame, least: float = 0.95) -> DataFrame:
+    """Per row of `docs`: doc_id, component_id (smallest doc_id reachable over links), kept (both equal).
+
+    Texts are linked when 1 - edit distance / longer length >= `least`, verified on whole texts, and they
+    share a band; equal texts always are.  Band buckets first link their members to their smallest one; those
+    whose members are then still apart go to blocks of bounded size, each pair of blocks in a group of its
+    own, which gives back a forest, so rows grow with the members.  Every pair that shares a band is linked
+    or found unlike, unless other links join it already.  Empty texts are linked with nothing; rows that
+    share a doc_id are one node; a null doc_id is a node that comes before all others, its component null.
+    """
+    scratch = Scratch(docs.sparkSession)
+    base = scratch.write(keyed(docs).mapInArrow(_banded, "doc_id long, sha binary, n_chars long, bands array<long>"), "banded")
+
+    # equal texts
+    rep = scratch.write(base.where("n_chars > 0").groupBy("sha").agg(F.min("doc_id").alias("rep")), "rep")
+    member = base.join(rep, "sha")
+    same = scratch.write(member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
+    firsts = scratch.write(member.where("doc_id = rep").dropDuplicates(["sha"]).select("rep", "sha", "n_chars", "bands"), "firsts")
+    keys = firsts.select("rep", "sha", F.col("n_chars"), F.explode(F.array_distinct("bands")).alias("bucket"))
+
+    # stars; aggregates are written before they are joined back, so that hot keys can be split
+    groups = scratch.write(keys.groupBy("bucket").agg(F.min_by("sha", F.struct("rep", "sha")).alias("centre_sha"), F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
+    slots = scratch.write(keys.join(groups, "bucket"), "slots")
+    whole = keyed(docs).select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "text")
+    texts = scratch.write(whole.join(slots.select("sha").distinct(), "sha", "left_semi").dropDuplicates(["sha"]), "texts")
+    pairs = scratch.write(slots.where("sha != centre_sha").select("rep", "sha", "centre", "centre_sha").distinct(), "pairs")
+    pairs = pairs.join(texts, "sha").join(texts.select(F.col("sha").alias("centre_sha"), F.col("text").alias("centre_text")), "centre_sha")
+    links = scratch.write(pairs.select("rep", "centre", "text", "centre_text").mapInArrow(_verify_stars(least), "a long, b long"), "links")
+
+    # buckets still apart
+    part = components(links, scratch)
+    held = slots.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "sha", "n_chars", F.coalesce("component", "rep").alias("component"))
+    held = scratch.write(held, "held")
+    apart = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.bit_xor(F.xxhash64("sha")).alias("x"), F.min("sha").alias("first")).where("lo < hi")
+    apart = apart.groupBy("n", "chars", "x", "first").agg(F.min("bucket").alias("bucket"))  # equal buckets once
+    weight = scratch.write(apart.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")), "weight")
+    todo = held.join(weight, "bucket").withColumn("block", F.pmod(F.xxhash64("sha", F.lit(7)), F.col("blocks")).cast("int"))
+    todo = todo.select("bucket", "rep", "sha", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    todo = todo.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+    todo = todo.join(texts, "sha").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "rep", "sha")
+    more = scratch.write(todo.mapInArrow(_verify_blocks(least), "a long, b long"), "more")
+
+    final = components(links.union(more).union(same).distinct(), scratch)
+    out = base.select("doc_id").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select(id_out().alias("doc_id"), id_out("component_id").alias("component_id"), "kept")

@@ -190,10 +190,66 @@ def test_walks_do_not_depend_on_their_batch():
     assert editprint.likeness(m[:, :1], m[:, 1:2], w)[0] > editprint.likeness(m[:, :1], m[:, 2:3], w)[0] + 0.2
 
 
-def test_near_pairs(spark):
-    t = prose(400, 21)
-    got = editprint.near_pairs(table(spark, [(1, t), (2, t + " end"), (3, prose(400, 22))])).collect()
-    assert [(r["doc_id"], r["other"]) for r in got] == [(2, 1)]
+def edits(text, n, seed):
+    r, out = random.Random(seed), list(text)
+    for _ in range(n):
+        out[r.randrange(len(out))] = r.choice(["", "q", "xy"])
+    return "".join(out)
+
+
+def groups_brute(data, least):
+    """Components over all pairs of non-empty texts."""
+    ids = [i if i is not None else -(2**63) for i, _ in data]
+    comp = {i: i for i in ids}
+
+    def root(i):
+        return i if comp[i] == i else root(comp[i])
+
+    for a, (_, s) in enumerate(data):
+        for b, (_, t) in enumerate(data[:a]):
+            longer = max(len(s or ""), len(t or ""))
+            if s and t and (s == t or longer < 5000 and abs(len(s) - len(t)) <= (1 - least) * longer and 1 - distance(s, t) / longer >= least):
+                x, y = sorted((root(ids[a]), root(ids[b])))
+                comp[y] = x
+    return sorted({(i, root(i)) for i in ids})
+
+
+def groups_got(df, least=0.95):
+    fix = lambda v: -(2**63) if v is None else v
+    got = editprint.near_groups(df, least).collect()
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
+    return sorted({(fix(r["doc_id"]), fix(r["component_id"])) for r in got})
+
+
+def test_near_groups_brute(spark, docs, none):
+    assert groups_got(docs) == groups_brute(ROWS, 0.95)
+    assert editprint.near_groups(docs).count() == len(ROWS) and groups_got(none) == []
+
+
+@pytest.mark.parametrize("block_rows", [4, 256])
+def test_near_groups_that_link_only_through_their_base(spark, monkeypatch, block_rows):
+    """Copies of a base share buckets but link to it alone, so stars on the smallest doc_id miss them."""
+    monkeypatch.setattr(editprint, "BLOCK_ROWS", block_rows)
+    base = prose(110, 31)
+    head, tail = base[:250], base[250:]
+    data = [(90, base)] + [(k, head + edits(tail, 18, k)) for k in range(14)] + [(k, prose(110, k)) for k in range(200, 206)]
+    want = groups_brute(data, 0.95)
+    assert dict(want)[90] == 0 and groups_got(table(spark, data)) == want
+    stars = [(k, t) for k, t in data if k]
+    assert sum(1 - distance(data[1][1], t) / max(len(t), len(data[1][1])) >= 0.95 for k, t in stars if k < 14) < 13
+
+
+@pytest.mark.parametrize("one_in", [66, 40])
+def test_near_groups_recall(spark, one_in):
+    """Pairs of texts with about one edit in `one_in` characters: share of the links that are found."""
+    data = []
+    for k in range(150):
+        t = prose(150, 1000 + k)
+        data += [(2 * k, t), (2 * k + 1, edits(t, len(t) // one_in, k))]
+    text = dict(data)
+    near = [i for i in text if i % 2 and editprint.alike(text[i], text[i - 1], 0.95)]
+    got = dict(groups_got(table(spark, data)))
+    assert len(near) > 100 and sum(got[i] == i - 1 for i in near) >= 0.9 * len(near)
 
 
 # --- 4
