@@ -11,7 +11,7 @@ from clustrim.llm import leak, minhash, mixing, quality, substring
 from clustrim.llm.common import Scratch
 
 #: Words of a passage that the substring stage removes when it also stands earlier.
-PASSAGE_WORDS = 40
+PASSAGE_WORDS = 20
 
 
 def quality_classifier(spark, docs, sf_dir):

@@ -477,3 +477,12 @@ def test_pipeline(spark, docs):
             assert {r["doc_id"]: len(words(r["text"])) for r in new.collect()} == want
         now = new
     assert sorted(map(str, cp.run(spark, SF).collect())) == sorted(map(str, now.collect()))
+
+
+def test_pipeline_removes_short_repeats(spark):
+    import corpus_pipeline as cp
+
+    short = prose(30, 81)
+    data = [(1, prose(50, 82) + " " + short), (2, short + " " + prose(50, 83))]
+    got = {r["doc_id"]: len(words(r["text"])) for r in cp.substring_dedup(spark, table(spark, data), SF).collect()}
+    assert got == {1: 80, 2: 50}
