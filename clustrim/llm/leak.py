@@ -1,8 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts are compared lower-cased with runs of white space as one space.  A test item is taken in passages:
-itself if it has at most `PASSAGE` words, else overlapping windows of that many words, so that a part of
-an item is caught too.  A passage of n characters may differ by k = floor(n * RATE) edits; of its k + 1
+itself and, if it has more than `PASSAGE` words, every window of that many words, so that a part of an
+item is caught too.  A passage of n characters may differ by k = floor(n * RATE) edits; of its k + 1
 pieces at least one must then occur unchanged.  An automaton finds all pieces in one pass over the text;
 each hit is verified by Myers' bit-parallel distance around its diagonal.
 
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import id_in, id_out
 
-PASSAGE, STEP, MIN_WORDS = 16, 8, 5
+PASSAGE, MIN_WORDS = 16, 5
 RATE = 0.05
-#: Characters of test items that are matched in one pass.
-BLOCK_CHARS = 4_000_000
+#: Characters of test items that are matched in one pass; each stands in up to PASSAGE windows.
+BLOCK_CHARS = 500_000
 
 
 def plain(text: str) -> str:
@@ -35,8 +35,7 @@ def passages(item: str) -> list[str]:
     words = plain(item).split(" ")
     if len(words) <= PASSAGE:
         return [" ".join(words)]
-    starts = [*range(0, len(words) - PASSAGE, STEP), len(words) - PASSAGE]
-    return [" ".join(words[a : a + PASSAGE]) for a in starts]
+    return [" ".join(words), *(" ".join(words[a : a + PASSAGE]) for a in range(len(words) - PASSAGE + 1))]
 
 
 def pieces(passage: str, k: int) -> list[tuple[int, str]]:

@@ -455,6 +455,18 @@ def test_scan_finds_every_template_anywhere(spark):
     assert {(k, n) for k, (n, _) in enumerate(licenses.TEMPLATES * 3)} <= got
 
 
+def test_leaks_whole_items_and_parts_off_the_grid(spark):
+    r = random.Random(90)
+    item = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(38)]
+    whole = ["######" if k in (11, 26) else w for k, w in enumerate(item)]  # 12 of 13 edits; 6 of 5 in any window
+    off = " ".join(item[3:19])  # 16 words that start at no multiple of 8
+    many = " ".join("######" if k in (5, 15, 30) else w for k, w in enumerate(item))
+    data = [(1, prose(20, 93) + " " + " ".join(whole) + " " + prose(20, 94)), (2, "xyz " * 30 + off + " xyz" * 30), (3, " ".join(whole[1:])), (4, many), (5, prose(90, 96))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_passages"], r["distance"]) for r in leak.leaks(table(spark, data), bench).collect()}
+    assert got == {1: (1, 12), 2: (1, 0)}
+
+
 # --- pipeline
 
 
