@@ -2,8 +2,9 @@
 
 Trust starts from the hosts with allowed pages and follows the links; distrust starts from the hosts
 with blocked pages and follows them backwards (who links to bad hosts is suspect).  Both are
-personalised PageRanks, iterated in Spark over the host edges that the pages' absolute links give; a host
-whose share of distrust is above `threshold` is blocked.
+personalised PageRanks, iterated in Spark over the host edges that the pages' absolute links give until no
+host's rank moves by more than `SETTLED` of itself, so that every host that a seed reaches has its share; a
+host whose share of distrust is above `threshold` is blocked.
 
 Defined cases: a null url, or one without ://, has empty host and path, no rule, and is judged by the
 method like any host; null html has no links; links of a page to its own host do not count; hosts that
@@ -21,7 +22,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""
-DAMPING, ROUNDS, SETTLED = 0.85, 12, 1e-9
+DAMPING, SETTLED = 0.85, 1e-9
+#: Ranks that have not settled by then are an error.
+MAX_ROUNDS = 10_000
+#: Rounds of the SQL form, which cannot stop by itself; it agrees where the ranks settle within them.
+ROUNDS = 12
 
 
 def host_of(url: Column) -> Column:
@@ -41,31 +46,37 @@ def by_rule(host: Column, path: Column, rules, value) -> Column:
     return out
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping=DAMPING, rounds=ROUNDS, settled=SETTLED) -> DataFrame:
-    """(host, trust, distrust) from edges (src, dst, n) and seeds (host, good, bad), each seed column summing to 1 or 0."""
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping=DAMPING, rounds=MAX_ROUNDS, settled=SETTLED) -> DataFrame:
+    """(host, trust, distrust) from edges (src, dst, n) and seeds (host, good, bad), each seed column summing to 1 or 0.
+
+    A host without links onward hands its rank back to the seeds.  That only scales all ranks alike, so the
+    rounds leave it out and the result is scaled to the sum of the seeds.
+    """
     e = edges
     out_ = e.groupBy("src").agg(F.sum("n").alias("out"))
     in_ = e.groupBy("dst").agg(F.sum("n").alias("inn"))
     e = scratch.write(e.join(out_, "src").join(in_, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("f"), (F.col("n") / F.col("inn")).alias("b")), "edges")
-    has_out, has_in = e.select(F.col("src").alias("host"), F.lit(1).alias("o")).distinct(), e.select(F.col("dst").alias("host"), F.lit(1).alias("i")).distinct()
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("host")).union(seeds.select("host")).distinct()
-    nodes = nodes.join(seeds, "host", "left").join(has_out, "host", "left").join(has_in, "host", "left")
-    nodes = scratch.write(nodes.select("host", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad"), F.col("o").isNotNull().alias("o"), F.col("i").isNotNull().alias("i")), "nodes")
-    rank = nodes.select("host", F.col("good").alias("t"), F.col("bad").alias("d"))
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("host")).union(seeds.select("host")).distinct().join(seeds, "host", "left")
+    rank = scratch.write(nodes.select("host", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad")).select("*", F.col("good").alias("t"), F.col("bad").alias("d")), "rank")
     for _ in range(rounds):
-        now = scratch.write(nodes.join(rank, "host"), "rank")
-        loose = now.agg(F.sum(F.when(~F.col("o"), F.col("t"))).alias("t"), F.sum(F.when(~F.col("i"), F.col("d"))).alias("d")).first()
-        ahead = e.join(now.select(F.col("host").alias("src"), "t"), "src").select(F.col("dst").alias("host"), (F.col("t") * F.col("f")).alias("t"), F.lit(0.0).alias("d"))
-        back = e.join(now.select(F.col("host").alias("dst"), "d"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("d") * F.col("b")).alias("d"))
+        ahead = e.join(rank.where("t > 0").select(F.col("host").alias("src"), "t"), "src").select(F.col("dst").alias("host"), (F.col("t") * F.col("f")).alias("t"), F.lit(0.0).alias("d"))
+        back = e.join(rank.where("d > 0").select(F.col("host").alias("dst"), "d"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("d") * F.col("b")).alias("d"))
         flow = ahead.union(back).groupBy("host").agg(F.sum("t").alias("ft"), F.sum("d").alias("fd"))
-        step = lambda seed, flow, lost: (1 - damping + damping * lost) * F.col(seed) + damping * F.coalesce(flow, F.lit(0.0))
-        new = now.join(flow, "host", "left").select("host", step("good", "ft", loose["t"] or 0.0).alias("t"), step("bad", "fd", loose["d"] or 0.0).alias("d"), F.col("t").alias("t0"), F.col("d").alias("d0"))
-        new = scratch.write(new, "next")
-        moved = new.agg(F.max(F.abs(F.col("t") - F.col("t0")) + F.abs(F.col("d") - F.col("d0"))).alias("m")).first()["m"] or 0.0
-        rank = new.select("host", "t", "d")
-        if moved < settled:
+        step = lambda seed, flow: F.col(seed) + damping * F.coalesce(flow, F.lit(0.0))
+        new = rank.join(flow, "host", "left").select("host", "good", "bad", step("good", "ft").alias("t"), step("bad", "fd").alias("d"), F.col("t").alias("t0"), F.col("d").alias("d0"))
+        before = scratch.paths.pop("rank")
+        new = scratch.write(new, "rank")
+        scratch.paths["before"] = before
+        scratch.drop("before")
+        moved = new.agg(F.count_if((F.abs(F.col("t") - F.col("t0")) > settled * F.col("t")) | (F.abs(F.col("d") - F.col("d0")) > settled * F.col("d"))).alias("m")).first()["m"]
+        rank = new.drop("t0", "d0")
+        if not moved:
             break
-    return rank.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
+    else:
+        raise RuntimeError("host ranks did not settle")
+    sums = rank.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum("t").alias("t"), F.sum("d").alias("d")).first()
+    scaled = lambda c, seed: F.col(c) * F.lit((sums[seed] or 0.0) / (sums[c] or 1.0))
+    return rank.select("host", scaled("t", "good").alias("trust"), scaled("d", "bad").alias("distrust"))
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:

@@ -323,6 +323,33 @@ def test_rules_and_links(spark):
     assert hostrank.judge(df.limit(0)).count() == 0 and hostrank.judge(df).count() == len(pages)
 
 
+def test_ranks_settle_on_long_chains(spark):
+    chain = [(f"c{k:02d}.net", f"c{k + 1:02d}.net") for k in range(15)]
+    edges = [*chain, ("c15.net", "bad.net"), ("x.net", "y.net"), ("y.net", "x.net"), ("y.net", "bad.net"), ("ok.net", "x.net"), ("ok.net", "ok2.net"), ("ok2.net", "y.net")]
+    seeds = [("bad.net", 0.0, 1.0), ("ok.net", 1.0, 0.0)]
+    hosts = sorted({h for e in edges for h in e})
+    at = {h: k for k, h in enumerate(hosts)}
+    links = np.zeros((len(hosts),) * 2)
+    for a, b in edges:
+        links[at[a], at[b]] = 1
+
+    def solved(m, seed):
+        """Dense PageRank; hosts without links hand back to the seeds."""
+        s = np.zeros(len(hosts))
+        s[at[seed]] = 1
+        p = np.array([row / row.sum() if row.sum() else s for row in m])
+        return np.linalg.solve(np.eye(len(hosts)) - 0.85 * p.T, 0.15 * s)
+
+    trust, distrust = solved(links, "ok.net"), solved(links.T, "bad.net")
+    df = hostrank.propagate(spark.createDataFrame([(*e, 1) for e in edges], "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, good double, bad double"), Scratch(spark), settled=1e-4)
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in df.collect()}
+    for h in hosts:
+        assert np.allclose(got[h], (trust[at[h]], distrust[at[h]]), rtol=1e-2, atol=0)
+    assert got["c00.net"][1] > 0
+    with pytest.raises(RuntimeError):
+        hostrank.propagate(spark.createDataFrame([(*e, 1) for e in edges], "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, good double, bad double"), Scratch(spark), rounds=2)
+
+
 # --- 6 and 8
 
 
