@@ -4,8 +4,8 @@ Counts: exact, of every word of the training documents, kept as a table that gro
 Emission symbols: the end of a text, the OWN most frequent words each for itself, all other words by one
 of HASHED buckets; within a bucket a word has its smoothed share of the bucket's counts, so the model is
 a proper distribution over words (unknown words together take one part of each bucket).
-Training: latent states start from a bounded hash sample on the driver; then Baum-Welch rounds over all
-training documents: each task runs scaled forward-backward over its texts, the expected counts are summed
+Training: the states start from the counts of all words, shaken apart; then Baum-Welch rounds over all
+training documents until the likelihood settles: each task runs scaled forward-backward over its texts, the expected counts are summed
 over the partitions in Spark, and only the summed statistics (STATES x symbols) come back.
 Scoring: the scaled forward recursion gives the exact likelihood of the symbols; words beyond the broadcast
 head (at most HEAD words, a proven bound) get their counts by a join with the count table.
@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 from .common import WORD_CACHE, Scratch, crc_mod, hashes, id_in, id_out, text_bytes
 
 STATES, OWN, HASHED, HEAD = 6, 16_384, 1024, 131_072
-#: Documents (expected) and words of one of them that the initial estimate sees; its rounds.
-SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_ROUNDS = 1500, 1500, 12
-ROUNDS = 2
+#: Rounds end when the log likelihood moves by less than this share of itself; MAX_ROUNDS without that are an error.
+SETTLED, MAX_ROUNDS = 1e-4, 1000
 #: Weight of the unigram prior in an emission row, and of each transition.
 PRIOR, MOVE_PRIOR = 50.0, 1.0
 BATCH_WORDS = 1_500_000
@@ -176,7 +175,11 @@ class Model:
 
     def expect(self, p: Packed):
         """Expected start, transition and emission counts."""
-        _, alpha, scale = self.forward(p, True)
+        return self.expect_like(p)[:3]
+
+    def expect_like(self, p: Packed):
+        """Those of `expect`, and the log likelihood."""
+        like, alpha, scale = self.forward(p, True)
         table = np.ascontiguousarray(self.emit.T)
         moves = np.zeros((STATES, STATES))
         beta = np.zeros((0, STATES))
@@ -193,7 +196,7 @@ class Model:
             alpha[o : o + m] *= back
         symbols = self.emit.shape[1]
         emits = np.stack([np.bincount(p.ids, alpha[:, k], symbols) for k in range(STATES)])
-        return alpha[: p.width[0]].sum(0), moves * self.move, emits
+        return alpha[: p.width[0]].sum(0), moves * self.move, emits, like.sum()
 
     @staticmethod
     def estimate(start, moves, emits, prior: np.ndarray) -> Model:
@@ -266,7 +269,7 @@ def _sequences(batches):
         yield meta, seqs
 
 
-def fit(train: DataFrame, head: Head, n_train: int) -> Model:
+def fit(train: DataFrame, head: Head) -> Model:
     """`train`: doc_id, ids (symbols) of the training documents."""
     import pyarrow as pa
 
@@ -278,30 +281,23 @@ def fit(train: DataFrame, head: Head, n_train: int) -> Model:
     prior[OWN + 1 :] = head.bucket_c
     prior = (prior + 1) / (prior + 1).sum()
 
-    share = int(min(1.0, SAMPLE_DOCS / max(n_train, 1)) * (1 << 20))
-    sample = train.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share).where(F.length("ids") <= 2 * SAMPLE_WORDS).select("ids").toArrow()
-    seqs = sorted(sample.column("ids").to_pylist())
     rng = np.random.default_rng(11)
     move = np.full((STATES, STATES), 0.02) + np.eye(STATES)
     model = Model(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), None)
     e = prior * rng.gamma(1.0, size=(STATES, symbols)) + 0.1 * prior
     model.emit = e / e.sum(1, keepdims=True)
-    if seqs:
-        packed = Packed([np.frombuffer(x, np.uint16) for x in seqs])
-        for _ in range(SAMPLE_ROUNDS):
-            model = Model.estimate(*model.expect(packed), prior)
 
-    spark = train.sparkSession
-    for _ in range(ROUNDS):
+    spark, last = train.sparkSession, None
+    for _ in range(MAX_ROUNDS):
         now = spark.sparkContext.broadcast(model)
 
         def expect(batches, now=now):
             total = None
             for _, seqs in _sequences(batches):
-                got = now.value.expect(Packed(seqs))
+                got = now.value.expect_like(Packed(seqs))
                 total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
             if total is not None:
-                flat = np.concatenate([x.reshape(-1) for x in total])
+                flat = np.concatenate([np.reshape(x, -1) for x in total])
                 cuts = range(0, len(flat), PIECE)
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([flat[a : a + PIECE].tobytes() for a in cuts], pa.binary())], names=["piece", "sums"])
 
@@ -320,7 +316,12 @@ def fit(train: DataFrame, head: Head, n_train: int) -> Model:
             break
         flat = np.concatenate([np.frombuffer(pieces[k]) for k in sorted(pieces)])
         a, b = STATES, STATES + STATES * STATES
-        model = Model.estimate(flat[:a], flat[a:b].reshape(STATES, STATES), flat[b:].reshape(STATES, symbols), prior)
+        model = Model.estimate(flat[:a], flat[a:b].reshape(STATES, STATES), flat[b:-1].reshape(STATES, symbols), prior)
+        if last is not None and abs(flat[-1] - last) <= SETTLED * abs(last):
+            break
+        last = flat[-1]
+    else:
+        raise RuntimeError("the model did not settle")
     return model
 
 
@@ -337,7 +338,7 @@ def score(docs: DataFrame, mod: int = 7, out_class: int = 2) -> DataFrame:
     n_all, v_all = n_words + n_train, v_words + bool(n_train)
     body = rows.select("doc_id", "held_out", F.xxhash64("text").alias("version"), "text")
     coded = scratch.write(body.mapInArrow(_encode(spark.sparkContext.broadcast(head)), _ENCODED), "coded")
-    now = spark.sparkContext.broadcast(fit(coded.where("not held_out").select("doc_id", "ids"), head, n_train))
+    now = spark.sparkContext.broadcast(fit(coded.where("not held_out").select("doc_id", "ids"), head))
 
     def run(batches):
         for meta, seqs in _sequences(batches):

@@ -297,6 +297,31 @@ def test_model_is_a_distribution():
     assert np.allclose(m.emit.sum(1), 1) and np.allclose(m.move.sum(1), 1)
 
 
+def test_model_settles_on_long_documents(spark):
+    r = np.random.default_rng(3)
+    base, seqs = hmm.OWN + 1, []
+    for _ in range(6):
+        state, out = 0, []
+        for _ in range(2000):
+            state = state if r.random() < 0.9 else int(r.integers(3))
+            out.append(base + 20 * state + int(r.integers(20)))
+        seqs.append(np.array([*out, 0], np.uint16))
+    counts = np.bincount(np.concatenate(seqs).astype(int), minlength=base + hmm.HASHED)[base:].astype(float)
+    none = np.array([], np.uint64)
+    head = hmm.Head(none, none.astype(np.int64), none.astype(bool), counts, (counts > 0).astype(float), len(seqs))
+    model = hmm.fit(spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(seqs)], "doc_id long, ids binary"), head)
+    packed = hmm.Packed(seqs)
+    like = lambda m: m.forward(packed, False)[0].sum()
+    prior = np.zeros(base + hmm.HASHED)
+    prior[0], prior[base:] = len(seqs), counts
+    prior = (prior + 1) / (prior + 1).sum()
+    more = hmm.Model.estimate(*model.expect(packed), prior)
+    assert abs(like(more) - like(model)) <= 1.5e-4 * abs(like(model))
+    once = packed.ids
+    flat = np.bincount(once, minlength=len(prior))[once] / len(once)
+    assert like(model) > np.log(flat).sum() + 0.02 * abs(np.log(flat).sum())
+
+
 # --- 5
 
 
