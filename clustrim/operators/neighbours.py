@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import uniform
+
 BLOCK = 2048
 
 
@@ -73,6 +75,27 @@ def knn(points: DataFrame, k: int, max_k: int | None = 500, others: DataFrame |
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "j", "rank", F.sqrt("d2").alias("d"))
 
 
+def minmax(points: DataFrame, max_anchors: int = 10_000, seed: int = 42) -> DataFrame:
+    """(min_d, max_d): least and largest non-zero distance of the points to min(n, max_anchors) hash-drawn anchors."""
+    blocks = max(1, math.ceil(points.count() / BLOCK))
+    anchors = points.select("id", "x", uniform(seed, "minmax").alias("u")).orderBy("u", "id").limit(max_anchors)
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, o = pdf[pdf["query"]], pdf[~pdf["query"]]
+        out = []
+        if not q.empty and not o.empty:
+            m = np.stack(o["x"].to_numpy())
+            for a in range(0, len(q), 512):
+                d = exact(np.stack(q["x"].iloc[a : a + 512].to_numpy()), m)
+                d = d[d > 0]
+                if d.size:
+                    out.append((d.min(), d.max()))
+        return pd.DataFrame(out, columns=["lo", "hi"], dtype="float64")
+
+    ranges = _paired(anchors, points, blocks).groupBy("bi", "bj").applyInPandas(ends, "lo double, hi double")
+    return ranges.agg(F.sqrt(F.min("lo")).alias("min_d"), F.sqrt(F.max("hi")).alias("max_d"))
+
+
 def radius(points: DataFrame, k: int, max_k: int | None = 500) -> DataFrame:
     """(id, score): distance to the last of the k neighbours."""
     return knn(points, k, max_k).groupBy("id").agg(F.max_by("d", "rank").alias("score"))

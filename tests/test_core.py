@@ -63,6 +63,15 @@ def test_blocks_agree(spark, monkeypatch):
     assert sorted(map(tuple, N.knn(p, 7).collect())) == one
 
 
+def test_minmax_takes_all_points_as_anchors(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 40)
+    xs = np.random.default_rng(8).normal(size=(150, 2)).round(4)
+    xs[7] = xs[3]
+    d = np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(2))
+    got = N.minmax(points(spark, xs.tolist())).first()
+    assert math.isclose(got["min_d"], d[d > 0].min(), rel_tol=1e-9) and math.isclose(got["max_d"], d.max(), rel_tol=1e-9)
+
+
 def test_tie_takes_smaller_id(spark):
     s = A.finish(points(spark, [-1, 0, 1]), [[0.0]], 1)
     assert [r["id"] for r in s.outliers().collect()] == [0]
