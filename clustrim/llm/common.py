@@ -171,6 +171,57 @@ def window_hash(prefix: np.ndarray, starts: np.ndarray, length) -> np.ndarray:
     return mix((prefix[starts + length] - prefix[starts]) * down[starts])
 
 
+_SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+_LOWER = _SYMBOL.copy()  # A-Z as a-z
+_LOWER[65:91] = _SYMBOL[97:123]
+#: Words whose bytes are hashed at once.
+SLICE_WORDS = 250_000
+
+
+def byte_prefix(raw: np.ndarray) -> np.ndarray:
+    """`rolling` over bytes."""
+    return rolling(_SYMBOL[raw])
+
+
+def slices(column, size: int = 1 << 20):
+    """Runs of an Arrow string column of about `size` bytes, one text at least."""
+    import pyarrow.compute as pc
+
+    ends, a = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield column.slice(a, b - a)
+        a = b
+
+
+def word_hashes(column, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of an Arrow string column, text after text, and the words of each text.
+
+    Words are runs without ASCII white space; a null text has none.  All in array operations: no Python
+    object a word.  Memory beside the result follows SLICE_WORDS, also within one long text.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    lists = pc.ascii_split_whitespace(column)
+    ends = lists.offsets.to_numpy()
+    flat = lists.flatten()
+    spans = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    raw = np.frombuffer(flat.buffers()[2] or b"", np.uint8)
+    size = np.diff(spans)
+    real = size > 0  # leading and trailing white space leaves empty words
+    out, table = np.empty(len(size), np.uint64), _LOWER if lower else _SYMBOL
+    for a in range(0, len(size), SLICE_WORDS):
+        s = spans[a : a + SLICE_WORDS + 1] - spans[a]
+        prefix = rolling(table[raw[spans[a] : spans[a] + s[-1]]])
+        n = s[1:] - s[:-1]
+        out[a : a + len(n)] = window_hash(prefix, s[:-1], n) + n.astype(np.uint64)
+    before = np.concatenate([[0], np.cumsum(real)])
+    at = ends - ends[0]
+    return out[real], before[at[1:]] - before[at[:-1]]
+
+
 # --- exchanges --------------------------------------------------------------------------------
 
 

@@ -5,12 +5,15 @@ Emission symbols: the end of a text, the OWN most frequent words each for itself
 of HASHED buckets; within a bucket a word has its smoothed share of the bucket's counts, so the model is
 a proper distribution over words (unknown words together take one part of each bucket).
 Training: the states start from the counts of all words, shaken apart; then Baum-Welch rounds over all
-training documents until the likelihood settles: each task runs scaled forward-backward over its texts, the expected counts are summed
-over the partitions in Spark, and only the summed statistics (STATES x symbols) come back.
-Scoring: the scaled forward recursion gives the exact likelihood of the symbols; words beyond the broadcast
-head (at most HEAD words, a proven bound) get their counts by a join with the count table.
+training documents until the likelihood settles: each task runs scaled forward-backward over its texts, the
+expected counts are summed over the partitions in Spark, and only the summed statistics (STATES x symbols)
+come back.  A text of more than SPAN symbols is trained on whole, in consecutive pieces, of which only the
+first counts as a start, so that memory and the number of steps are bounded.
+Scoring: the scaled forward recursion gives the exact likelihood of the whole text's symbols; words beyond
+the broadcast head (at most HEAD words, a proven bound) get their counts by a join with the count table.
 
-Sequences of one batch advance in lockstep, longest first.
+Sequences of one batch advance in lockstep, longest first, state by state, so that every step is a few
+array operations over all sequences that are long enough.
 
 Defined cases: null or empty text is one token, the end; no training documents: N = V = 0, every word is
 unknown; rows that share a doc_id are scored one by one; a null doc_id counts as the empty string for the
@@ -20,18 +23,23 @@ held-out rule; extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, Scratch, crc_mod, hashes, id_in, id_out, text_bytes
+from .common import Scratch, crc_mod, id_in, id_out, slices, word_hashes
 
 STATES, OWN, HASHED, HEAD = 6, 16_384, 1024, 131_072
 #: Rounds end when the log likelihood moves by less than this share of itself; MAX_ROUNDS without that are an error.
 SETTLED, MAX_ROUNDS = 1e-4, 1000
+#: Symbols of a piece in training; longer texts are taken in such pieces, whole.
+SPAN = 4096
+#: Tasks of a training round, for each core.
+TASKS_A_CORE = 2
 #: Weight of the unigram prior in an emission row, and of each transition.
 PRIOR, MOVE_PRIOR = 50.0, 1.0
-BATCH_WORDS = 1_500_000
+BATCH_WORDS = 2_000_000
+#: Words that are counted at once, before their counts are handed on.
+COUNT_WORDS = 4_000_000
 #: Emission statistics travel in pieces of this many numbers.
 PIECE = 4096
 
@@ -48,15 +56,13 @@ def _count(batches):
 
     held, size = [], 0
     for batch in batches:
-        for t in text_bytes(batch.column("text")):
-            w = t.lower().split()
-            if w:
-                held.append(hashes(w))
-                size += len(w)
-                if size >= 4_000_000:
-                    yield flush()
-                    held, size = [], 0
-    if held:
+        for column in slices(batch.column("text")):
+            held.append(word_hashes(column, True)[0])
+            size += len(held[-1])
+            if size >= COUNT_WORDS:
+                yield flush()
+                held, size = [], 0
+    if size:
         yield flush()
 
 
@@ -70,35 +76,22 @@ class Head:
     """What every task needs of the counts: bounded, broadcast."""
 
     def __init__(self, h: np.ndarray, c: np.ndarray, own: np.ndarray, bucket_c, bucket_v, n_end: int):
-        self.slot = None
+        self.order = self.sorted = None
         self.h, self.c = h, c
         self.symbol = np.where(own, 0, OWN + 1 + (h % np.uint64(HASHED)).astype(np.int64)).astype(np.int32)
         self.symbol[own] = 1 + np.arange(own.sum())
         self.bucket_c, self.bucket_v, self.n_end = bucket_c, bucket_v, n_end
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Slot in the head (or -1) and symbol of each word."""
-        if self.slot is None:
-            self.slot = _Slots(self.h)
-        code = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        known = code >= 0
-        symbol = np.where(known, self.symbol[np.where(known, code, 0)] if len(self.symbol) else 0, OWN - code)
-        return np.where(known, code, -1), symbol
-
-
-class _Slots(dict):
-    """word -> slot, or -(1 + bucket) for a word beyond the head."""
-
-    def __init__(self, h: np.ndarray):
-        self.index = {x: k for k, x in enumerate(h.tolist())}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        k = self.index.get(h)
-        k = self[word] = -(1 + h % HASHED) if k is None else k
-        return k
+    def encode(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot in the head (or -1) and symbol of each word hash."""
+        if self.order is None:
+            self.order = np.argsort(self.h)
+            self.sorted = np.append(self.h[self.order], np.uint64(2**64 - 1))
+        at = np.searchsorted(self.sorted[:-1], words)
+        known = (self.sorted[at] == words) & (at < len(self.h))
+        slot = np.where(known, self.order[np.minimum(at, max(len(self.h) - 1, 0))] if len(self.h) else 0, -1)
+        rest = OWN + 1 + (words % np.uint64(HASHED)).astype(np.int64)
+        return slot, np.where(known, self.symbol[slot] if len(self.h) else 0, rest)
 
 
 def head_of(table: DataFrame, n_docs: int) -> tuple[Head, int, int, int]:
@@ -136,67 +129,73 @@ def _bucket():
 
 
 class Packed:
-    """Symbol sequences laid out step by step, longest first."""
+    """Symbol sequences laid out step by step, longest first: at step t the lanes that are longer than t."""
 
-    def __init__(self, seqs: list[np.ndarray]):
-        n = np.array([len(s) for s in seqs], np.int64)
-        self.order = np.argsort(-n, kind="stable")
-        size = n[self.order]
-        flat = np.concatenate([seqs[k] for k in self.order])
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.order = np.argsort(-sizes, kind="stable")
+        size = sizes[self.order]
+        first = (np.cumsum(sizes) - sizes)[self.order]
         steps = int(size[0])
-        self.width = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")  # sequences longer than t
+        self.width = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
         self.at = np.cumsum(self.width) - self.width
         local = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         lane = np.repeat(np.arange(len(size)), size)
-        self.ids = np.empty(len(flat), np.int64)
-        self.ids[self.at[local] + lane] = flat
+        self.ids = np.empty(len(flat), np.intp)
+        self.ids[self.at[local] + lane] = flat[np.repeat(first, size) + local]
+
+    @staticmethod
+    def of(seqs: list[np.ndarray]) -> Packed:
+        return Packed(np.concatenate(seqs), np.array([len(x) for x in seqs], np.int64))
 
 
 class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
-    def forward(self, p: Packed, keep: bool):
-        """Natural log likelihood by sequence (in packed order); the scaled forward rows and scales if kept."""
-        out = np.zeros(p.width[0])
-        table = np.ascontiguousarray(self.emit.T)
-        alpha = np.empty((len(p.ids), STATES)) if keep else None
-        scale = np.empty(len(p.ids)) if keep else None
-        a = None
+    def forward(self, p: Packed) -> np.ndarray:
+        """Natural log likelihood of each sequence, in packed order: the scaled forward recursion."""
+        out, move, a = np.zeros(p.width[0]), np.ascontiguousarray(self.move.T), None
         for o, m in zip(p.at.tolist(), p.width.tolist(), strict=True):
-            e = table[p.ids[o : o + m]]
-            a = self.start * e if a is None else (a[:m] @ self.move) * e
-            s = a.sum(1)
-            a /= s[:, None]
+            e = np.take(self.emit, p.ids[o : o + m], axis=1)
+            a = self.start[:, None] * e if a is None else (move @ a[:, :m]) * e
+            s = a.sum(0)
+            a /= s
             out[:m] += np.log(s)
-            if keep:
-                alpha[o : o + m], scale[o : o + m] = a, s
-        return out, alpha, scale
-
-    def expect(self, p: Packed):
-        """Expected start, transition and emission counts."""
-        return self.expect_like(p)[:3]
-
-    def expect_like(self, p: Packed):
-        """Those of `expect`, and the log likelihood."""
-        like, alpha, scale = self.forward(p, True)
-        table = np.ascontiguousarray(self.emit.T)
-        moves = np.zeros((STATES, STATES))
-        beta = np.zeros((0, STATES))
-        for t in range(len(p.width) - 1, -1, -1):
-            o, m = int(p.at[t]), int(p.width[t])
-            back = np.ones((m, STATES))
-            k = len(beta)
+        return out
+
+    def expect(self, p: Packed, opens: np.ndarray | None = None):
+        """Expected start, transition and emission counts, and the log likelihood.
+
+        `opens`: which sequences (not in packed order) begin a text; only these count as starts.  Single
+        precision inside a batch: every row is scaled to sum to one, and the sums are double.
+        """
+        start, move, emit = (x.astype(np.float32) for x in (self.start, self.move, self.emit))
+        back_move, ahead = np.ascontiguousarray(move), np.ascontiguousarray(move.T)
+        alpha, scale, a = np.empty((STATES, len(p.ids)), np.float32), np.empty(len(p.ids), np.float32), None
+        steps = list(zip(p.at.tolist(), p.width.tolist(), strict=True))
+        for o, m in steps:
+            e = np.take(emit, p.ids[o : o + m], axis=1)
+            a = start[:, None] * e if a is None else (ahead @ a[:, :m]) * e
+            s = a.sum(0)
+            a /= s
+            alpha[:, o : o + m], scale[o : o + m] = a, s
+        moves, beta = np.zeros((STATES, STATES)), np.zeros((STATES, 0), np.float32)
+        for o, m in reversed(steps):
+            k = beta.shape[1]
+            x = np.take(emit, p.ids[o : o + m], axis=1)
+            x /= scale[o : o + m]
             if k:
-                back[:k] = beta @ self.move.T
-                moves += alpha[o : o + k].T @ beta
-            x = table[p.ids[o : o + m]] * back
-            x /= scale[o : o + m, None]
+                back = back_move @ beta
+                moves += alpha[:, o : o + k] @ beta.T
+                x[:, :k] *= back
+                alpha[:, o : o + k] *= back
             beta = x
-            alpha[o : o + m] *= back
         symbols = self.emit.shape[1]
-        emits = np.stack([np.bincount(p.ids, alpha[:, k], symbols) for k in range(STATES)])
-        return alpha[: p.width[0]].sum(0), moves * self.move, emits, like.sum()
+        emits = np.stack([np.bincount(p.ids, alpha[k], symbols) for k in range(STATES)])
+        lead = alpha[:, : p.width[0]]
+        if opens is not None:
+            lead = lead[:, opens[p.order]]
+        return lead.sum(1, dtype=float), moves * self.move, emits, float(np.log(scale).sum(dtype=float))
 
     @staticmethod
     def estimate(start, moves, emits, prior: np.ndarray) -> Model:
@@ -207,66 +206,100 @@ class Model:
 
 
 _ENCODED = "doc_id long, held_out boolean, version long, n_tokens long, known long, all_log double, in_log double, rooms double, ids binary, rare array<long>, times array<long>"
-#: Words that are encoded at once.
-CHUNK_WORDS = 200_000
 
 
 def _encode(held):
     """Rows (doc_id, held_out, version, text) -> symbols (16 bits each, end included), sums over the head's words, rare words."""
     import pyarrow as pa
 
-    def rows(h, meta, texts):
+    def rows(h, part):
         log_c, inner = np.log10(h.c + 1.0), h.symbol > OWN
         room, end = np.log10(h.bucket_c + h.bucket_v + 1.0), np.log10(h.n_end + 1.0)
-        known, all_log, in_log, rooms, ids, rare, times = [], [], [], [], [], [], []
-        for w in texts:
-            s, y = h.encode(w)
-            good = s[s >= 0]
-            known.append(len(good) + (h.n_end > 0))
-            all_log.append(log_c[good].sum() + end)
-            in_log.append(log_c[good[inner[good]]].sum())
-            rooms.append(room[y[y > OWN] - OWN - 1].sum())
-            u, c = np.unique(hashes([w[j] for j in np.flatnonzero(s < 0).tolist()]), return_counts=True)
-            rare.append(u.view(np.int64))
-            times.append(c.astype(np.int64))
-            ids.append(np.append(y, 0).astype(np.uint16).tobytes())
-        ends = pa.array(np.cumsum([0] + [len(x) for x in rare]), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (rare, times)]
-        cols = list(zip(*meta, strict=True))
-        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(known, pa.int64())]
-        arrays += [pa.array(np.array(x, float)) for x in (all_log, in_log, rooms)] + [pa.array(ids, pa.binary())] + lists
+        flat, n = word_hashes(part.column("text"), True)
+        texts = part.num_rows
+        doc = np.repeat(np.arange(texts), n)
+        slot, symbol = h.encode(flat)
+        sums = lambda at, v=None: np.bincount(doc[at], v, texts)
+        good = np.flatnonzero(slot >= 0)
+        hit = slot[good]
+        deep = inner[hit]
+        other = np.flatnonzero(symbol > OWN)
+        known = sums(good).astype(np.int64) + (h.n_end > 0)
+        all_log, in_log = sums(good, log_c[hit]) + end, sums(good[deep], log_c[hit[deep]])
+        rooms = sums(other, room[symbol[other] - OWN - 1])
+        # words beyond the head, each once a text, with its count there
+        far = np.flatnonzero(slot < 0)
+        key, own = flat[far], doc[far]
+        order = np.lexsort((key, own))
+        key, own = key[order], own[order]
+        lead = np.ones(len(key), bool)
+        lead[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+        first = np.flatnonzero(lead)
+        times = np.diff(np.append(first, len(key)))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(own[first], minlength=texts))])
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (key[first].view(np.int64), times.astype(np.int64))]
+        ids = np.zeros(len(flat) + texts, np.uint16)  # the end is symbol 0
+        ids[np.arange(len(flat)) + doc] = symbol
+        edges = np.concatenate([[0], np.cumsum(2 * (n + 1))]).astype(np.int32)
+        blob = pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+        arrays = [*[part.column(c) for c in ("doc_id", "held_out", "version")], pa.array(n + 1), pa.array(known)]
+        arrays += [pa.array(x.astype(float)) for x in (all_log, in_log, rooms)] + [blob] + lists
         return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _ENCODED.split(", ")])
 
     def run(batches):
-        meta, texts, size = [], [], 0
         for batch in batches:
-            for i, o, v, t in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "held_out", "version")], text_bytes(batch.column("text")), strict=True):
-                meta.append((i, o, v))
-                texts.append(t.lower().split())
-                size += len(texts[-1])
-                if size >= CHUNK_WORDS:
-                    yield rows(held.value, meta, texts)
-                    meta, texts, size = [], [], 0
-        if meta:
-            yield rows(held.value, meta, texts)
+            at = 0
+            for column in slices(batch.column("text")):
+                yield rows(held.value, batch.slice(at, len(column)))
+                at += len(column)
 
     return run
 
 
+def _symbols(column) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of a binary Arrow column, and the length of each sequence."""
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2] or b"", np.uint16)[edges[0] // 2 : edges[-1] // 2]
+    return flat, np.diff(edges) // 2
+
+
 def _sequences(batches):
-    """Groups of about BATCH_WORDS symbols: the other columns' rows, the symbol sequences."""
-    meta, seqs, size = [], [], 0
-    for batch in batches:
-        other = [batch.column(c).to_pylist() for c in batch.schema.names if c != "ids"]
-        for k, x in enumerate(batch.column("ids").to_pylist()):
-            meta.append([c[k] for c in other])
-            seqs.append(np.frombuffer(x, np.uint16))
-            size += len(seqs[-1])
-            if size >= BATCH_WORDS:
-                yield meta, seqs
-                meta, seqs, size = [], [], 0
-    if seqs:
-        yield meta, seqs
+    """Groups of about BATCH_WORDS symbols: record batches without `ids`, the symbols, the lengths."""
+    held, flats, sizes, total = [], [], [], 0
+
+    def group():
+        return held, np.concatenate(flats), np.concatenate(sizes).astype(np.int64)
+
+    for whole in batches:
+        at = whole.schema.get_field_index("ids")
+        ends = np.cumsum(_symbols(whole.column(at))[1], dtype=np.int64)
+        a = 0
+        while a < whole.num_rows:
+            spare = BATCH_WORDS - total + (int(ends[a - 1]) if a else 0)
+            b = max(a + 1, min(int(np.searchsorted(ends, spare, side="right")) + 1, whole.num_rows))
+            part = whole.slice(a, b - a)
+            flat, size = _symbols(part.column(at))
+            flats.append(flat)
+            sizes.append(size)
+            held.append(part)
+            total += len(flat)
+            a = b
+            if total >= BATCH_WORDS:
+                yield group()
+                held, flats, sizes, total = [], [], [], 0
+    if total:
+        yield group()
+
+
+def pieces_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of consecutive pieces of at most SPAN symbols, and which of them begin a text."""
+    n = -(-sizes // SPAN)
+    out = np.full(int(n.sum()), SPAN, np.int64)
+    last = np.cumsum(n) - 1
+    out[last] = sizes - (n - 1) * SPAN
+    opens = np.zeros(len(out), bool)
+    opens[last - n + 1] = True
+    return out, opens
 
 
 def fit(train: DataFrame, head: Head) -> Model:
@@ -288,13 +321,15 @@ def fit(train: DataFrame, head: Head) -> Model:
     model.emit = e / e.sum(1, keepdims=True)
 
     spark, last = train.sparkSession, None
+    tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
     for _ in range(MAX_ROUNDS):
         now = spark.sparkContext.broadcast(model)
 
         def expect(batches, now=now):
             total = None
-            for _, seqs in _sequences(batches):
-                got = now.value.expect_like(Packed(seqs))
+            for _, flat, sizes in _sequences(batches):
+                sizes, opens = pieces_of(sizes)
+                got = now.value.expect(Packed(flat, sizes), opens)
                 total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
             if total is not None:
                 flat = np.concatenate([np.reshape(x, -1) for x in total])
@@ -310,7 +345,8 @@ def fit(train: DataFrame, head: Head) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["piece", "sums"])
 
         kind = "piece int, sums binary"
-        stats = train.select("ids").mapInArrow(expect, kind).repartition("piece").mapInArrow(add, kind).toArrow()
+        # a few tasks a core, however many files: the sums that travel grow with the tasks
+        stats = train.select("ids").coalesce(tasks).mapInArrow(expect, kind).repartition("piece").mapInArrow(add, kind).toArrow()
         pieces = dict(zip(stats.column("piece").to_pylist(), stats.column("sums").to_pylist(), strict=True))
         if not pieces:
             break
@@ -341,13 +377,15 @@ def score(docs: DataFrame, mod: int = 7, out_class: int = 2) -> DataFrame:
     now = spark.sparkContext.broadcast(fit(coded.where("not held_out").select("doc_id", "ids"), head))
 
     def run(batches):
-        for meta, seqs in _sequences(batches):
-            packed = Packed(seqs)
-            like = np.empty(len(seqs))
-            like[packed.order] = now.value.forward(packed, False)[0] / np.log(10)
-            cols = list(zip(*meta, strict=True))
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, types, strict=True)], pa.array(like)], names=[*names, "hmm"])
+        for held, flat, sizes in _sequences(batches):
+            packed = Packed(flat, sizes)
+            like = np.empty(len(sizes))
+            like[packed.order] = now.value.forward(packed) / np.log(10)
+            at = 0
+            for part in held:
+                own = pa.array(like[at : at + part.num_rows])
+                at += part.num_rows
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], own], names=[*names, "hmm"])
 
     names = ["doc_id", "held_out", "version", "n_tokens", "known", "all_log", "in_log", "rooms"]
     kind = ", ".join(_ENCODED.split(", ")[:8]) + ", hmm double"

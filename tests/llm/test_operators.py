@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clustrim.llm import common, editprint, graph, hmm, hostrank, leak, licenses, minhash, mixing, quality, queries, substring, suffix
@@ -273,23 +274,84 @@ def test_word_model(docs, none):
     assert len(got) == len(ROWS) and hmm.score(none).count() == 0
 
 
+def plain_forward(m, seq):
+    """Probability of a sequence, state by state."""
+    a = m.start * m.emit[:, seq[0]]
+    for x in seq[1:]:
+        a = np.array([(a * m.move[:, j]).sum() * m.emit[j, x] for j in range(len(a))])
+    return a.sum()
+
+
 def test_forward_is_exact_and_expectation_agrees():
     r = np.random.default_rng(1)
     k, n = hmm.STATES, 7
     m = hmm.Model(r.dirichlet(np.ones(k)), r.dirichlet(np.ones(k), k), r.dirichlet(np.ones(n), k))
     seqs = [r.integers(0, n, size) for size in (1, 3, 4)]
-    p = hmm.Packed(seqs)
-    like, _, _ = m.forward(p, False)
+    p = hmm.Packed.of(seqs)
+    like, want = m.forward(p), [np.zeros(k), np.zeros((k, k)), np.zeros((k, n))]
     for lane, s in enumerate(p.order):
-        total = 0.0
-        for path in np.ndindex(*[k] * len(seqs[s])):
-            q = m.start[path[0]] * m.emit[path[0], seqs[s][0]]
+        seq, total = seqs[s], 0.0
+        paths = []
+        for path in np.ndindex(*[k] * len(seq)):
+            q = m.start[path[0]] * m.emit[path[0], seq[0]]
             for t in range(1, len(path)):
-                q *= m.move[path[t - 1], path[t]] * m.emit[path[t], seqs[s][t]]
+                q *= m.move[path[t - 1], path[t]] * m.emit[path[t], seq[t]]
             total += q
-        assert math.isclose(like[lane], math.log(total), rel_tol=1e-9)
-    start, moves, emits = m.expect(p)
-    assert math.isclose(start.sum(), 3) and math.isclose(moves.sum(), 5) and math.isclose(emits.sum(), 8)
+            paths.append((path, q))
+        assert math.isclose(like[lane], math.log(total), rel_tol=1e-9) and math.isclose(plain_forward(m, seq), total)
+        for path, q in paths:
+            want[0][path[0]] += q / total
+            for t, i in enumerate(path):
+                want[2][i, seq[t]] += q / total
+                if t:
+                    want[1][path[t - 1], i] += q / total
+    got = m.expect(p)
+    assert all(np.allclose(x, y, rtol=1e-4, atol=1e-5) for x, y in zip(got, want, strict=False)) and math.isclose(got[3], like.sum(), rel_tol=1e-5)
+    opens = np.array([True, False, True])
+    assert math.isclose(m.expect(p, opens)[0].sum(), 2, rel_tol=1e-5)
+
+
+def test_long_texts_are_trained_in_pieces(monkeypatch):
+    monkeypatch.setattr(hmm, "SPAN", 4)
+    sizes, opens = hmm.pieces_of(np.array([1, 4, 5, 9]))
+    assert sizes.tolist() == [1, 4, 4, 1, 4, 4, 1] and opens.tolist() == [True, True, True, False, True, False, False]
+
+
+def test_scores_of_the_query_by_brute_force(spark, monkeypatch):
+    """The whole score, with words past the head and the own symbols: the fitted model's emissions times each word's share."""
+    data = [(k, " ".join([*(f"w{k}x{j}" for j in range(300)), *prose(60, k).split()])) for k in range(480)] + [(500, ""), (501, None), (502, "zz zz w3x4 w5x6 unseen")]
+    held, fit = {}, hmm.fit
+    monkeypatch.setattr(hmm, "fit", lambda train, head: held.setdefault("model", fit(train, head)))
+    got = {r["doc_id"]: r["score"] for r in hmm.score(table(spark, data)).collect()}
+    m = held["model"]
+    c = collections.Counter(w for i, t in data if zlib.crc32(str(i).encode()) % 7 != 2 for w in words(t))
+    assert len(c) > hmm.OWN
+    distinct = sorted({*c, *(w for _, t in data for w in words(t))})
+    code = dict(zip(distinct, common.word_hashes(pa.array([b" ".join(distinct).decode()]), False)[0].tolist(), strict=True))
+    level = lambda w: math.floor(math.log2(c[w]) * 8)
+    bins, total, bound = collections.Counter(level(w) for w in c), 0, 1 << 30
+    for b in sorted(bins, reverse=True):
+        total += bins[b]
+        if total > hmm.OWN:
+            break
+        bound = b
+    own = sorted((w for w in c if level(w) >= bound), key=lambda w: (-c[w], code[w]))
+    symbol = {w: 1 + k for k, w in enumerate(own)}
+    assert 0 < len(own) < len(c)
+    sums, kinds = collections.Counter(), collections.Counter()
+    for w in c:
+        if w not in symbol:
+            sums[code[w] % hmm.HASHED] += c[w]
+            kinds[code[w] % hmm.HASHED] += 1
+    exact = hmm.Model(*(x.astype(np.longdouble) for x in (m.start, m.move, m.emit)))
+    for i, t in [*data[::60], *data[-3:]]:
+        seq, share = [], 0.0
+        for w in words(t):
+            k = code[w] % hmm.HASHED
+            seq.append(symbol.get(w, hmm.OWN + 1 + k))
+            if w not in symbol:
+                share += math.log10((c[w] + 1) / (sums[k] + kinds[k] + 1))
+        assert math.isclose(float(np.log10(plain_forward(exact, [*seq, 0]))) + share, got[i], rel_tol=1e-6)
 
 
 def test_model_is_a_distribution():
@@ -310,12 +372,12 @@ def test_model_settles_on_long_documents(spark):
     none = np.array([], np.uint64)
     head = hmm.Head(none, none.astype(np.int64), none.astype(bool), counts, (counts > 0).astype(float), len(seqs))
     model = hmm.fit(spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(seqs)], "doc_id long, ids binary"), head)
-    packed = hmm.Packed(seqs)
-    like = lambda m: m.forward(packed, False)[0].sum()
+    packed = hmm.Packed.of(seqs)
+    like = lambda m: m.forward(packed).sum()
     prior = np.zeros(base + hmm.HASHED)
     prior[0], prior[base:] = len(seqs), counts
     prior = (prior + 1) / (prior + 1).sum()
-    more = hmm.Model.estimate(*model.expect(packed), prior)
+    more = hmm.Model.estimate(*model.expect(packed)[:3], prior)
     assert abs(like(more) - like(model)) <= 1.5e-4 * abs(like(model))
     once = packed.ids
     flat = np.bincount(once, minlength=len(prior))[once] / len(once)
