@@ -15,6 +15,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 NULL_ID = -(2**63)
 #: Entries of the per-worker word cache; it is emptied when full, so its memory is bounded.
@@ -77,6 +78,18 @@ def settings(spark: SparkSession, conf: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def ranked(df: DataFrame, by: list[str], scratch: Scratch, name: str = "rank") -> DataFrame:
+    """`df`, whose rows differ in `by`, with their rank (from 0) in that order.
+
+    A range sort numbers the rows of each partition; only one row a partition meets in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = scratch.write(df.repartitionByRange(n, *by).withColumn("pid", F.spark_partition_id()), "ranked")
+    sizes = df.groupBy("pid").count().withColumn("before", F.sum("count").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.row_number().over(Window.partitionBy("pid").orderBy(*by)) - 1
+    return df.withColumn("own", own).join(sizes.select("pid", F.coalesce("before", F.lit(0)).alias("before")), "pid").withColumn(name, F.col("own") + F.col("before")).drop("pid", "own", "before")
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder: they cut lineage and survive lost executors."""
 
@@ -249,6 +262,35 @@ def unplanes(raw: memoryview, n: int, dtype) -> np.ndarray:
 
 
 PACKED = "part int, n int, payload binary"
+#: Packed rows on their way to a hash bucket.  kind 0: entries; 1: entries whose hash stands in their chunk more
+#: than once and that stand for the others; 2: marks, which only pass through, to the document bucket `part`.
+EXCHANGE = PACKED + ", kind int"
+
+
+def chunk(kind: int, packed):
+    """Packed rows with their kind."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([*packed.columns, pa.array([kind] * packed.num_rows, pa.int32())], names=[*packed.schema.names, "kind"])
+
+
+def entry_buckets(batches):
+    """For the partitions of dealt EXCHANGE rows: (marks, None) as they come, (None, (docs, starts, prints, kind)) a bucket."""
+    import pyarrow.compute as pc
+
+    now, got = None, []
+    for batch in batches:
+        passing = pc.equal(batch.column("kind"), 2)
+        marks = batch.select(["part", "n", "payload"]).filter(passing)
+        if marks.num_rows:
+            yield marks, None
+        for part, n, p, kind in zip(*[pc.filter(batch.column(c), pc.invert(passing)).to_pylist() for c in ("part", "n", "payload", "kind")], strict=True):
+            if got and part != now:
+                yield None, _joined(got)
+            now = part
+            got.append((*unpack(n, p, True), np.full(n, kind, np.int8)))
+    if got:
+        yield None, _joined(got)
 
 
 def stretches(keys: np.ndarray):
@@ -299,19 +341,6 @@ def _joined(got: list) -> tuple:
     return out
 
 
-def unpack_buckets(batches, prints: bool = True):
-    """All entries of one bucket after the other: int64 docs, uint32 starts[, uint64 prints]."""
-    now, got = None, []
-    for batch in batches:
-        for part, n, p in zip(*[batch.column(c).to_pylist() for c in ("part", "n", "payload")], strict=True):
-            if got and part != now:
-                yield _joined(got)
-            now = part
-            got.append(unpack(n, p, prints))
-    if got:
-        yield _joined(got)
-
-
 def with_marks(docs: DataFrame, marks: DataFrame, n: int) -> DataFrame:
     """Deal packed marks and the texts out by document, marks first in each bucket.
 

@@ -37,7 +37,7 @@ SPAN = 4096
 TASKS_A_CORE = 2
 #: Weight of the unigram prior in an emission row, and of each transition.
 PRIOR, MOVE_PRIOR = 50.0, 1.0
-BATCH_WORDS = 2_000_000
+BATCH_WORDS = 1_000_000
 #: Words that are counted at once, before their counts are handed on.
 COUNT_WORDS = 4_000_000
 #: Emission statistics travel in pieces of this many numbers.

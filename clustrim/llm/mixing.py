@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, ranked
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash order, and of one histogram level.
@@ -33,18 +33,9 @@ def hash_place(*cols: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def _ranked(df: DataFrame, by: str, scratch: Scratch) -> DataFrame:
-    """`df` with rank (from 0) in the order of the distinct values `by`; only one row a partition meets."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = scratch.write(df.repartitionByRange(n, by).withColumn("pid", F.spark_partition_id()), "ranked")
-    sizes = df.groupBy("pid").count().withColumn("before", F.sum("count").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.row_number().over(Window.partitionBy("pid").orderBy(by)) - 1
-    return df.withColumn("own", own).join(sizes.select("pid", F.coalesce("before", F.lit(0)).alias("before")), "pid").withColumn("rank", F.col("own") + F.col("before")).drop("pid", "own", "before")
-
-
 def targets(sizes: DataFrame, scratch: Scratch, weights=(5, 2, 1), limit: int = 3) -> DataFrame:
     """(skey, source_size, target) from (skey, size)."""
-    src = _ranked(sizes.groupBy("skey").agg(F.sum("size").alias("source_size")), "skey", scratch)
+    src = ranked(sizes.groupBy("skey").agg(F.sum("size").alias("source_size")), ["skey"], scratch)
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
     src = scratch.write(src.select("skey", "source_size", w.alias("w")), "sources")
     first = src.agg(F.sum("source_size").alias("t"), F.sum("w").alias("w")).first()

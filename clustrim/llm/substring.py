@@ -1,9 +1,10 @@
 """Substring dedup: Rabin-Karp hashes of every window of `length` words, counted in Spark.
 
-Each document task hashes all its windows; (hash, doc, start) entries travel packed, dealt out by
-hash; each hash bucket sorts its entries, finds the repeated hashes and marks all but the first
-occurrence, by (doc_id, start); the marks travel back packed by document, where they merge into
-maximal removal intervals.
+Each document task hashes all its windows.  Of equal windows in one chunk of CHUNK_WORDS words all but the first, by
+(doc_id, start), are marked at once; the first travels on as a (hash, doc, start) entry, packed and dealt out by
+hash, so that no bucket gets a window more often than there are chunks, however common it is.  Each bucket
+sorts its entries and marks all but the first occurrence; the marks travel back packed by document, where
+they merge into maximal removal intervals.
 
 Defined cases: null or empty text has no words; texts shorter than a window lose nothing; rows that
 share a doc_id are versions of one document, so a window at the same place in two of them is one
@@ -20,39 +21,67 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Scratch, bucket_of, buckets_for, covered, dealt, hashes, id_out, keyed, keyed_columns, marked, pack, rolling, text_bytes, unpack_buckets, window_hash, with_marks
+from .common import EXCHANGE, PACKED, Scratch, bucket_of, buckets_for, chunk, covered, dealt, entry_buckets, id_out, keyed, keyed_columns, marked, pack, rolling, slices, text_bytes, window_hash, with_marks, word_hashes
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Words that are hashed and packed at once.
 CHUNK_WORDS = 1_000_000
 
 
+def _firsts(docs: np.ndarray, starts: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries to keep, one for each hash, the least by (doc, start); which stand at a later place."""
+    order = np.argsort(prints)
+    twin = np.zeros(len(order), bool)
+    same = prints[order[1:]] == prints[order[:-1]]
+    twin[1:] |= same
+    twin[:-1] |= same
+    lone, more = order[~twin], order[twin]
+    more = more[np.lexsort((starts[more], docs[more], prints[more]))]
+    head = np.ones(len(more), bool)
+    head[1:] = prints[more[1:]] != prints[more[:-1]]
+    lead = more[np.maximum.accumulate(np.where(head, np.arange(len(more)), 0))]
+    later = (docs[more] != docs[lead]) | (starts[more] != starts[lead])
+    return np.sort(np.concatenate([lone, more[head]])), more[later]
+
+
+def _marks(docs: np.ndarray, starts: np.ndarray, n_buckets: int):
+    order = np.lexsort((starts, docs))
+    docs, starts = docs[order], starts[order]
+    return pack(bucket_of(docs, n_buckets), n_buckets, docs, starts)
+
+
 def _windows(n_parts: int, length: int):
+    """Entries of the first windows of their kind in a chunk; the others are marks at once."""
+
     def run(batches):
         def flush():
-            sizes = np.fromiter((len(w) for w in texts), np.int64, len(texts))
+            words, sizes = (np.concatenate(x) for x in held[1:])
             counts = np.maximum(sizes - length + 1, 0)
             first = np.cumsum(sizes) - sizes
-            prefix = rolling(np.concatenate(texts))
             local = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            prints = window_hash(prefix, np.repeat(first, counts) + local, length)
-            docs = np.repeat(np.array(ids, np.int64), counts)
-            part = (prints >> np.uint64(24)) % np.uint64(n_parts)
-            return pack(part.astype(np.int64), n_parts, docs, local, prints)
-
-        ids, texts, held = [], [], 0
+            prints = window_hash(rolling(words), np.repeat(first, counts) + local, length)
+            docs = np.repeat(np.concatenate(held[0]), counts)
+            keep, later = _firsts(docs, local, prints)
+            if len(keep):
+                part = (prints[keep] >> np.uint64(24)) % np.uint64(n_parts)
+                yield chunk(0, pack(part.astype(np.int64), n_parts, docs[keep], local[keep], prints[keep]))
+            if len(later):
+                yield chunk(2, _marks(docs[later], local[later], n_parts))
+
+        held, size = [[], [], []], 0
         for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                w = t.split()
-                if len(w) >= length:
-                    ids.append(i)
-                    texts.append(hashes(w))
-                    held += len(w)
-                    if held >= CHUNK_WORDS:
-                        yield flush()
-                        ids, texts, held = [], [], 0
-        if ids:
-            yield flush()
+            at = 0
+            for column in slices(batch.column("text")):
+                words, sizes = word_hashes(column, False)
+                for x, y in zip(held, (batch.column("doc_id").slice(at, len(column)).to_numpy(), words, sizes), strict=True):
+                    x.append(y)
+                at += len(column)
+                size += len(words)
+                if size >= CHUNK_WORDS:
+                    yield from flush()
+                    held, size = [[], [], []], 0
+        if size:
+            yield from flush()
 
     return run
 
@@ -61,25 +90,14 @@ def _later(n_buckets: int):
     """Marks of all but the first of equal windows."""
 
     def run(batches):
-        for docs, starts, prints in unpack_buckets(batches):
-            order = np.argsort(prints)
-            p = prints[order]
-            same = p[1:] == p[:-1]
-            twin = np.zeros(len(p), bool)
-            twin[1:] |= same
-            twin[:-1] |= same
-            keep = order[twin]
-            docs, starts, prints = docs[keep], starts[keep], prints[keep]
-            order = np.lexsort((starts, docs, prints))
-            docs, starts, prints = docs[order], starts[order], prints[order]
-            head = np.ones(len(prints), bool)
-            head[1:] = prints[1:] != prints[:-1]
-            lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-            later = (docs != docs[lead]) | (starts != starts[lead])
-            if later.any():
-                order = np.lexsort((starts[later], docs[later]))
-                docs, starts = docs[later][order], starts[later][order]
-                yield pack(bucket_of(docs, n_buckets), n_buckets, docs, starts)
+        for marks, got in entry_buckets(batches):
+            if marks is not None:
+                yield marks
+                continue
+            docs, starts, prints, _ = got
+            _, later = _firsts(docs, starts, prints)
+            if len(later):
+                yield _marks(docs[later], starts[later], n_buckets)
 
     return run
 
@@ -87,7 +105,7 @@ def _later(n_buckets: int):
 def repeat_marks(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, int]:
     """Packed (doc_id, start) of the windows that also start earlier, by document bucket; bucket count."""
     n = buckets_for(docs)
-    out = dealt(keyed(docs).mapInArrow(_windows(n, length), PACKED), n).mapInArrow(_later(n), PACKED)
+    out = dealt(keyed(docs).mapInArrow(_windows(n, length), EXCHANGE), n).mapInArrow(_later(n), PACKED)
     return scratch.write(out, "marks"), n
 
 

@@ -1,25 +1,31 @@
-"""Suffix-array dedup over bytes: distributed prefix doubling on the suffixes that can matter.
-
-Ranking every byte position would move at least 8 bytes a position and round.  Instead the text picks
-its own positions: a window of `length` bytes is represented by the smallest hash among the GRAM-byte
-strings inside it, so equal windows pick equal strings.  Neighbouring windows with the same pick form a
-run, about one per 128 bytes, and
-
-1. prefix doubling ranks the picked suffixes: names of the first 36 bytes are paired with those at
-   offset 36, then at offset 72; Spark sorts and counts the (rank, next) pairs, reranks, and drops the
-   suffixes whose rank is unique;
-2. runs equal in their whole extent are one class: a class of two or more repeats in full;
-3. only runs alone in their class, and one run of each class beside them, go on to single windows:
-   (rank, next) at the full length, again sorted by hash bucket; repeated ones are marked;
-4. marks travel back packed by document and merge into maximal runs.
-
-Texts of any content work: ties (periodic text) only make runs longer, and a run that may repeat
-within itself always goes on to step 3.
+"""Suffix-array dedup over bytes: distributed prefix doubling on suffixes that the text picks.
+
+Ranking every byte position would move at least 8 bytes a position and round, some 13 times the input
+before the first doubling.  Instead a text picks its own suffixes, its anchors: each window of SPREAD
+positions picks the place of its least GRAM-byte hash (the first of equals), so equal strings pick equal
+places, about one in SPREAD / 2 bytes.  The windows of `length` bytes that pick one anchor are a run.
+
+1. The first rank of an anchor is the name of its SPREAD + GRAM bytes, which every window of its run
+   holds.  Suffixes with a unique rank are done: their windows repeat nowhere.
+2. Doubling: rank t covers 2^t anchors.  Spark pairs it with the rank 2^t anchors on, sorts the repeated
+   pairs and reranks.  A suffix leaves when its pair is unique or past the threshold, that is longer than
+   any run with its windows; rounds go on while any suffix is left.
+3. A run with its windows is the string over c anchors: the pair of its rank t and the rank t of the anchor
+   c - 2^t on, with 2^t <= c < 2^(t+1).  Runs with a repeated pair repeat in full.
+4. Other runs may repeat in part, at the ends of a longer repeat.  They, and one run of each repeated
+   pair beside them, are opened: single windows go by their names through hash buckets.  Windows that repeat
+   within the task that names them are marked at once and one of each goes on, so a bucket never holds a window
+   more often than there are chunks of CHUNK_WINDOWS.
+5. Marks travel back packed by document and merge into maximal runs.
+
+Why this is exact.  Equal windows have the same anchor place, so equal first ranks, and are compared in
+3 or 4.  From an anchor on, the next one depends only on the SPREAD + GRAM bytes behind it, so equal pairs
+mean equal strings.  One run never repeats itself: equal windows pick equal places in themselves.
 
 Defined cases: null or empty text: no bytes, no spans; shorter than `length`: nothing removed; rows that
-share a doc_id are versions of one document and match each other only at different places; a null
-doc_id is one more document.  Ranks are 64-bit names: two different strings share one with probability
-2^-64 a pair.
+share a doc_id but not the text are documents of their own; rows equal in both are one document, each
+returned; a null doc_id is one more document; extra columns are ignored.  Names of strings have 64 bits: two
+different strings share one with probability 2^-64 a pair.
 """
 
 from __future__ import annotations
@@ -29,152 +35,229 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BASE, PACKED, Scratch, bucket_of, buckets_for, covered, dealt, id_out, keyed, marked, mix, pack, rolling, text_bytes, unpack_buckets, window_hash, with_marks
+from .common import EXCHANGE, PACKED, Scratch, bucket_of, buckets_for, byte_prefix, chunk, covered, dealt, entry_buckets, marked, pack, ranked, text_bytes, window_hash, with_marks
 
-#: Width, in gram positions, of the window whose smallest gram is picked; a power of two.
-SPREAD = 256
-_SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+GRAM = 16
+#: Bytes of text whose anchors are found at once, and positions hashed at once within a longer text.
+FLUSH_BYTES, SEGMENT = 1 << 20, 1 << 20
 CHUNK_WINDOWS = 1_000_000
 
 
-def _prefix(text: bytes) -> np.ndarray:
-    return rolling(_SYMBOL[np.frombuffer(text, np.uint8)])
-
-
-def runs_of(text: bytes, length: int):
-    """Runs of window starts with one picked gram: first start, count, gram place, may repeat within."""
-    n, gram = len(text), length - SPREAD + 1
-    prefix = _prefix(text)
-    grams = window_hash(prefix, np.arange(n - gram + 1), gram)
-    low = grams
-    width = 1
-    while width < SPREAD:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    edge = np.flatnonzero(low[1:] != low[:-1]) + 1
-    first = np.concatenate([[0], edge])
-    count = np.diff(np.concatenate([first, [len(low)]]))
-    place = np.fromiter((a + grams[a : a + SPREAD].argmin() for a in first.tolist()), np.int64, len(first))
-    again = np.zeros(len(first), bool)
-    for k in np.flatnonzero(count > 1).tolist():
-        a = first[k]
-        if count[k] > SPREAD or (grams[place[k] + 1 : a + count[k] + SPREAD - 1] == low[a]).any():
-            again[k] = True
-    return prefix, first, count, place, again
-
-
-_RUNS = "doc_id long, start int, count int, again boolean, rank long, next1 long, next2 long, whole long"
-
-
-def _runs(length: int):
+class Geometry:
+    def __init__(self, length: int):
+        self.length = length
+        self.gram = min(GRAM, max(1, length // 8))
+        #: Positions that pick one anchor; an anchor's first rank then ends within each of its windows.
+        self.spread = (length - self.gram) // 2
+        self.tail = self.spread + self.gram
+        #: No run with its windows is longer.
+        self.most = length + 2 * self.spread
+
+
+def picks(raw: np.ndarray, ends: np.ndarray, g: Geometry):
+    """Anchors of the texts that end at `ends` in `raw`: first position that picks it, place, name, left name."""
+    out, bad = [], g.spread + g.gram - 2
+    for a in range(0, len(raw), SEGMENT):
+        b = min(a + SEGMENT, len(raw) - bad)
+        if b <= a:
+            break
+        prefix = byte_prefix(raw[a : b + g.spread + g.tail])
+        grams = window_hash(prefix, np.arange(b - a + g.spread - 1), g.gram)
+        low = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
+        width = 1
+        while 2 * width <= g.spread:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        rest = g.spread - width
+        low = np.minimum(low[: len(low) - rest], low[rest:])
+        valid = np.ones(b - a, bool)
+        for e in ends[np.searchsorted(ends, a) : np.searchsorted(ends, b + bad, side="right") + 1].tolist():
+            valid[max(0, e - bad - a) : max(0, e - a)] = False
+        q = np.flatnonzero(valid)
+        place = (low[q] & np.uint64(0xFFFFFF)).astype(np.int64)
+        new = np.ones(len(q), bool)
+        new[1:] = place[1:] != place[:-1]
+        q, place = q[new], place[new]
+        if len(q):
+            end = ends[np.searchsorted(ends, q + a, side="right")] - a
+            size = np.minimum(g.tail, end - place)
+            name = window_hash(prefix, place, size) + size.astype(np.uint64)
+            left = window_hash(prefix, q, place - q) + (place - q).astype(np.uint64)
+            out.append((q + a, place + a, name, left))
+    first, place, name, left = (np.concatenate(x) for x in zip(*out, strict=True))
+    new = np.ones(len(place), bool)
+    new[1:] = place[1:] != place[:-1]  # a segment may begin within a run
+    return first[new], place[new], name[new], left[new]
+
+
+_ANCHORS = "key long, j int, p int, f int, n int, c int, inner int, name long, left long"
+
+
+def _anchors(g: Geometry):
+    """key, text -> anchors: number j in the text, place p, windows f .. f + n - 1, anchors c of a run with its windows, anchors `inner` within each window."""
     import pyarrow as pa
 
-    steps = [(length - SPREAD + 1) // 4, (length - SPREAD + 1) // 4, (length - SPREAD + 1) // 2]
+    def rows(keys, texts):
+        size = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(size)
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        f, p, name, left = picks(raw, ends, g)
+        text = np.searchsorted(ends, f, side="right")
+        begin, end = (ends - size)[text], ends[text]
+        lead = np.searchsorted(text, text)
+        here = np.arange(len(f))
+        until = np.minimum(np.append(f[1:], len(raw)), end - g.length + 1)
+        n = np.maximum(until - f, 0)
+        c = np.maximum(np.searchsorted(p, f + n + g.length - 1 - g.tail) - here + 1, 1)
+        inner = np.searchsorted(p, f + g.length - g.tail, side="right") - here
+        real = n > 0
+        ints = [here - lead, p - begin, f - begin, n, np.where(real, c, 0), np.where(real, inner, 0)]
+        arrays = [pa.array(np.array(keys, np.int64)[text]), *[pa.array(x.astype(np.int32)) for x in ints], pa.array(name.view(np.int64)), pa.array(left.view(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _ANCHORS.split(", ")])
 
     def run(batches):
-        cols, held = [[] for _ in range(8)], 0
-
-        def flush():
-            c = [np.concatenate(x) for x in cols]
-            types = [np.int64, np.int32, np.int32, bool] + [np.int64] * 4
-            arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(t)) for x, t in zip(c, types, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _RUNS.split(", ")])
-
+        keys, texts, held = [], [], 0
         for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                if len(t) < length:
-                    continue
-                prefix, first, count, place, again = runs_of(t, length)
-                names, at = [], place
-                for s in steps:
-                    names.append(window_hash(prefix, at, s))
-                    at = at + s
-                size = count + length - 1
-                whole = mix(window_hash(prefix, first, size) + size.astype(np.uint64))
-                for k, x in enumerate((np.full(len(first), i, np.int64), first, count, again, *names, whole)):
-                    cols[k].append(x)
-                held += len(first)
-                if held > 200_000:
-                    yield flush()
-                    cols, held = [[] for _ in range(8)], 0
-        if held:
-            yield flush()
+            for k, t in zip(batch.column("key").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                if len(t) >= g.length:
+                    keys.append(k)
+                    texts.append(t)
+                    held += len(t)
+                    if held >= FLUSH_BYTES:
+                        yield rows(keys, texts)
+                        keys, texts, held = [], [], 0
+        if keys:
+            yield rows(keys, texts)
 
     return run
 
 
 def _windows(length: int, n_parts: int):
-    """Documents with the runs to open -> packed (doc, start, hash) of their single windows."""
+    """Texts with the runs to open -> packed (key, start, name) of their single windows; repeats in a chunk as marks."""
 
     def run(batches):
-        docs, starts, prints, held = [], [], [], 0
-
         def flush():
-            d, s, p = np.concatenate(docs), np.concatenate(starts), np.concatenate(prints)
-            part = (p >> np.uint64(24)) % np.uint64(n_parts)
-            return pack(part.astype(np.int64), n_parts, d, s, p)
-
+            keys, starts, prints = (np.concatenate(x) for x in held)
+            order = np.argsort(prints)
+            p = prints[order]
+            same = p[1:] == p[:-1]
+            head = np.append(True, ~same)
+            twin = np.append(False, same) | np.append(same, False)
+            part = lambda x: ((x >> np.uint64(24)) % np.uint64(n_parts)).astype(np.int64)
+            lone, lead, more = order[~twin], order[twin & head], order[twin]
+            more.sort()
+            if len(lone):
+                yield chunk(0, pack(part(prints[lone]), n_parts, keys[lone], starts[lone], prints[lone]))
+            if len(more):
+                yield chunk(1, pack(part(prints[lead]), n_parts, keys[lead], starts[lead], prints[lead]))
+                yield chunk(2, pack(bucket_of(keys[more], n_parts), n_parts, keys[more], starts[more]))
+
+        held, size = [[], [], []], 0
         for batch in batches:
-            for i, t, f, c in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), batch.column("starts").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                prefix = _prefix(t)
-                at = np.unique(np.concatenate([np.arange(a, a + k) for a, k in zip(f, c, strict=True)]))
-                at = at[at + length <= len(t)]
-                half = length // 2
-                rank = window_hash(prefix, at, half) * np.uint64(BASE) + window_hash(prefix, at + half, length - half)
-                docs.append(np.full(len(at), i, np.int64))
-                starts.append(at)
-                prints.append(mix(rank))
-                held += len(at)
-                if held > CHUNK_WINDOWS:
-                    yield flush()
-                    docs, starts, prints, held = [], [], [], 0
-        if held:
-            yield flush()
+            for k, t, f, n in zip(batch.column("key").to_pylist(), text_bytes(batch.column("text")), batch.column("starts").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                raw = np.frombuffer(t, np.uint8)
+                f, n = np.array(f, np.int64), np.array(n, np.int64)
+                order = np.argsort(f)
+                f, n = f[order], n[order]
+                for a in range(0, len(raw), SEGMENT):
+                    lo, hi = np.searchsorted(f, [a, a + SEGMENT])
+                    if lo == hi:
+                        continue
+                    base, m = int(f[lo]), n[lo:hi]
+                    at = np.repeat(f[lo:hi] - base - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                    prefix = byte_prefix(raw[base : base + int(at[-1]) + length])
+                    for x, y in zip(held, (np.full(len(at), k, np.int64), at + base, window_hash(prefix, at, length)), strict=True):
+                        x.append(y)
+                    size += len(at)
+                    if size >= CHUNK_WINDOWS:
+                        yield from flush()
+                        held, size = [[], [], []], 0
+        if size:
+            yield from flush()
 
     return run
 
 
 def _repeated(n_buckets: int):
+    """Marks of the windows whose name stands at two places; those that repeat in their chunk are marked already."""
+
     def run(batches):
-        for docs, starts, prints in unpack_buckets(batches):
-            order = np.lexsort((starts, docs, prints))
-            docs, starts, prints = docs[order], starts[order], prints[order]
-            head = np.ones(len(prints), bool)
-            head[1:] = prints[1:] != prints[:-1]
-            place = head.copy()
-            place[1:] |= (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1])
-            group = np.cumsum(head) - 1
-            keep = place & (np.bincount(group, place)[group] > 1)
-            docs, starts = docs[keep], starts[keep]
-            if len(docs):
-                order = np.lexsort((starts, docs))
-                docs, starts = docs[order], starts[order]
-                yield pack(bucket_of(docs, n_buckets), n_buckets, docs, starts)
+        for marks, got in entry_buckets(batches):
+            if marks is not None:
+                yield marks
+                continue
+            keys, starts, prints, kind = got
+            order = np.argsort(prints)
+            p = prints[order]
+            same = p[1:] == p[:-1]
+            keep = order[np.append(False, same) | np.append(same, False)]
+            keep = keep[kind[keep] == 0]
+            if len(keep):
+                keep = keep[np.lexsort((starts[keep], keys[keep]))]
+                yield pack(bucket_of(keys[keep], n_buckets), n_buckets, keys[keep], starts[keep])
 
     return run
 
 
+def ranks_by_doubling(first: DataFrame, g: Geometry, scratch: Scratch) -> list[DataFrame]:
+    """Tables (key, j, p, reach, rank) of rank 0, 1, 2, ...; a suffix is in table t while its rank t repeats."""
+    levels = [first]
+    while True:
+        step = 1 << len(levels) - 1
+        ahead = Window.partitionBy("key").orderBy("j").rangeBetween(step, step)
+        pairs = levels[-1].select("key", "j", "p", "rank", F.first("rank").over(ahead).alias("next"), F.first("reach").over(ahead).alias("reach"))
+        pairs = scratch.write(pairs.where(F.col("next").isNotNull() & (F.col("reach") - F.col("p") <= g.most)), "pairs")
+        repeated = pairs.groupBy("rank", "next").agg(F.count("*").alias("k")).where("k > 1").select("rank", "next")
+        order = ranked(repeated, ["rank", "next"], scratch, "new")
+        new = scratch.write(pairs.join(order, ["rank", "next"]).select("key", "j", "p", "reach", F.col("new").alias("rank")), f"rank{len(levels)}")
+        scratch.drop("pairs", "ranked")
+        if new.isEmpty():
+            return levels
+        levels.append(new)
+
+
+def _at(levels: list[DataFrame], rows: DataFrame, count: str) -> DataFrame | None:
+    """`rows` (key, j, ...) with r1, r2: the ranks that together name the `count` anchors from j on, where both repeat."""
+    out = None
+    for t, level in enumerate(levels):
+        own = rows.where((F.col(count) >= 1 << t) & (F.col(count) < 2 << t)).withColumn("at", F.col("j") + F.col(count) - F.lit(1 << t))
+        r1, r2 = level.select("key", "j", F.col("rank").alias("r1")), level.select("key", F.col("j").alias("at"), F.col("rank").alias("r2"))
+        one = own.join(r1, ["key", "j"]).join(r2, ["key", "at"]).drop("at")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def repeat_marks(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
-    """Whole repeated runs (doc_id, start, count), packed single repeated starts, bucket count."""
-    n = buckets_for(docs)
-    cur = keyed(docs).mapInArrow(_runs(length), _RUNS)
-    cur = scratch.write(cur, "runs")
-    for step in ("next1", "next2"):
-        cur = cur.withColumn("rank", F.xxhash64("rank", step)).drop(step)
-        seen = cur.groupBy("rank").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("k")).where("k > 1").select("rank")
-        # written first: a join of two plain exchanges can split a hot rank
-        cur = scratch.write(cur.join(scratch.write(seen, "seen"), "rank"), step)
-    scratch.drop("runs", "next1")
-    classes = cur.groupBy("rank", "whole").agg(F.count("*").alias("k"), F.max("again").alias("again"), F.min(F.struct("doc_id", "start", "count")).alias("one"))
-    classes = scratch.write(classes, "classes")
-    full = scratch.write(cur.join(classes.where("k > 1").select("rank", "whole"), ["rank", "whole"]).select("doc_id", "start", "count"), "full")
-    groups = classes.groupBy("rank").agg(F.count("*").alias("n"), F.min("k").alias("least"), F.max("again").alias("again"))
-    groups = groups.where("(least = 1 and n > 1) or again").select("rank")
-    open_ = classes.join(scratch.write(groups, "groups"), "rank").select("one.*").groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
-    single = keyed(docs).join(scratch.write(open_, "open"), "doc_id").mapInArrow(_windows(length, n), PACKED)
+    """docs: key, text.  Runs that repeat in full (key, f, n), packed single repeated starts, bucket count."""
+    n, g = buckets_for(docs), Geometry(length)
+    anchors = scratch.write(docs.mapInArrow(_anchors(g), _ANCHORS), "anchors")
+    # aggregates are written before they are joined back: a join of two plain exchanges can split a hot rank
+    seen = scratch.write(anchors.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "seen")
+    base = scratch.write(anchors.join(seen, "name").dropDuplicates(["key", "j"]), "base")
+    scratch.drop("anchors", "seen")
+    levels = ranks_by_doubling(base.select("key", "j", "p", (F.col("p") + g.tail).alias("reach"), F.col("name").alias("rank")), g, scratch)
+
+    runs = base.where("n > 0").select("key", "j", "f", "n", "c", "inner", "name", "left")
+    whole = scratch.write(_at(levels, runs.drop("inner"), "c"), "whole")
+    kind = ["name", "c", "left", "r1", "r2"]
+    classes = whole.groupBy(*kind).agg(F.count("*").alias("k"), F.min(F.struct("key", "f", "n")).alias("one")).where("k > 1")
+    classes = scratch.write(classes.drop("k"), "classes")
+    full = scratch.write(whole.join(classes.drop("one"), kind).select("key", "j", "f", "n"), "full")
+    scratch.drop("whole")
+
+    part = _at(levels, runs.join(full.select("key", "j"), ["key", "j"], "left_anti"), "inner")
+    part = scratch.write(part.select("key", "f", "n", "name"), "part")
+    groups = part.select("name", F.lit(1).alias("u"), F.lit(0).alias("v")).unionByName(classes.select("name", F.lit(0).alias("u"), F.lit(1).alias("v")))
+    groups = groups.groupBy("name").agg(F.sum("u").alias("u"), F.sum("v").alias("v")).where("u > 0 and u + v > 1").select("name")
+    groups = scratch.write(groups, "groups")
+    beside = part.unionByName(classes.select("one.key", "one.f", "one.n", "name")).join(groups, "name")
+    beside = scratch.write(beside.groupBy("key").agg(F.collect_list("f").alias("starts"), F.collect_list("n").alias("counts")), "open")
+    scratch.drop("base", "part", "classes", "groups", *[f"rank{t}" for t in range(1, len(levels))])
+    single = docs.join(beside, "key").dropDuplicates(["key"]).mapInArrow(_windows(length, n), EXCHANGE)
     single = scratch.write(dealt(single, n).mapInArrow(_repeated(n), PACKED), "single")
-    return full, single, n
+    return full.drop("j"), single, n
 
 
 def _pack_runs(n_buckets: int):
@@ -182,9 +265,9 @@ def _pack_runs(n_buckets: int):
 
     def run(batches):
         for batch in batches:
-            d = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            s = batch.column("start").to_numpy(zero_copy_only=False)
-            c = batch.column("count").to_numpy(zero_copy_only=False).astype(np.int64)
+            d = batch.column("key").to_numpy(zero_copy_only=False)
+            s = batch.column("f").to_numpy(zero_copy_only=False)
+            c = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
             step = max(1, int(CHUNK_WINDOWS // max(1, c.max(initial=1))))
             for a in range(0, len(d), step):
                 k = c[a : a + step]
@@ -196,11 +279,13 @@ def _pack_runs(n_buckets: int):
 
 
 def digest(docs: DataFrame, length: int = 400) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that remain."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that remain."""
     import pyarrow as pa
 
     scratch = Scratch(docs.sparkSession)
-    full, single, n = repeat_marks(docs, length, scratch)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), F.col("doc_id").cast("long").alias("real"), text.alias("text"))
+    full, single, n = repeat_marks(rows.select("key", "text"), length, scratch)
     marks = single.unionByName(full.mapInArrow(_pack_runs(n), PACKED))
 
     def run(batches):
@@ -216,7 +301,6 @@ def digest(docs: DataFrame, length: int = 400) -> DataFrame:
                     kept = np.frombuffer(t, np.uint8)[~mask].tobytes()
                 out.append((len(t), gone, spans, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([rows.column("real"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = with_marks(keyed(docs), marks, n).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumn("doc_id", id_out())
+    return with_marks(rows.withColumnRenamed("key", "doc_id"), marks, n).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
