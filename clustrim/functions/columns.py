@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def uniform(seed: int, salt: str, key: str = "id") -> Column:
     return (h + 1) / F.lit(4294967296.0)
 
 
+def uniform_of(seed: int, salt: str, key: int) -> float:
+    """`uniform` of one key, on the driver."""
+    return (int(hashlib.md5(f"{seed}:{salt}:{key}".encode()).hexdigest()[:8], 16) + 1) / 4294967296.0
+
+
 def race(seed: int, salt: str, weight: Column, key: str = "id") -> Column:
     """The row with the least value is drawn with probability in proportion to its weight."""
     return -F.ln(uniform(seed, salt, key)) / weight

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import nearest
+from . import select
 from .neighbours import exact
 
 LITERAL_TERMS = 64
@@ -37,6 +38,47 @@ def assign(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     return points.withColumn("best", find("x")).select(*points.columns, F.col("best.cluster").alias("cluster"), F.col("best.d2").alias("d2"))
 
 
+class Reach:
+    """Points (id, x) with d2, the squared distance to the nearest centre so far; each round meets new centres only.
+
+    The table is cached from round to round and written every CUT rounds, so that its lineage stays short.
+    """
+
+    CUT = 8
+
+    def __init__(self, points: DataFrame):
+        self.points, self.now, self.old, self.rounds = points.select("id", "x"), None, None, 0
+        self.scratch = select.Scratch(points.sparkSession)
+
+    def add(self, centres: list[list[float]]) -> DataFrame:
+        if self.old is not None:
+            self.old.unpersist()
+        if self.now is None:
+            new = assign(self.points, centres).select("id", "x", "d2")
+        else:
+            new = assign(self.now.withColumnRenamed("d2", "before"), centres).select("id", "x", F.least("before", "d2").alias("d2"))
+        self.rounds += 1
+        if self.rounds % self.CUT == 0:
+            new = self.scratch.write(new, "reach")
+            self.scratch.drop("reach", keep=1)
+        self.old, self.now = self.now, new.persist()
+        return self.now
+
+    def close(self) -> None:
+        for df in (self.old, self.now):
+            if df is not None:
+                df.unpersist()
+        self.scratch.drop("reach")
+
+
+def nearest_distance(points: DataFrame, centres: list[list[float]], squared_too: bool = True) -> DataFrame:
+    """(id, d): the (squared) distance to the nearest of a list of centres; infinite for an empty list."""
+    if not centres:
+        return points.select("id", F.lit(float("inf")).alias("d"))
+    d2 = F.col("d2") if squared_too else F.sqrt("d2")
+    return assign(points, centres).select("id", d2.alias("d"))
+
+
 def means(assigned: DataFrame, k: int, dim: int, weight: str | None = None) -> dict[int, tuple[float, list[float]]]:
     """cluster -> (weight, mean), from a partial aggregate; k x d numbers come back."""
     w = F.col(weight) if weight else F.lit(1.0)
@@ -66,13 +108,10 @@ def lloyd(points: DataFrame, centres: list[list[float]], rounds: int = 100, tol:
 
 
 def split_top(assigned: DataFrame, z: int) -> DataFrame:
-    """Adds is_outlier: the z rows of largest d2, ties by smaller id.  The threshold comes from a top-z."""
+    """Adds is_outlier: the z rows of largest d2, ties by smaller id, by an exact threshold."""
     if z <= 0:
         return assigned.withColumn("is_outlier", F.lit(False))
-    edge = assigned.select("d2", "id").orderBy(F.desc("d2"), "id").limit(z).agg(F.max(F.struct(-F.col("d2"), "id")).alias("e")).first()["e"]
-    if edge is None:
-        return assigned.withColumn("is_outlier", F.lit(False))
-    return assigned.withColumn("is_outlier", (F.col("d2") > -edge[0]) | ((F.col("d2") == -edge[0]) & (F.col("id") <= edge[1])))
+    return assigned.withColumn("is_outlier", select.among_top(select.edge(assigned, z)))
 
 
 def trimmed_lloyd(points: DataFrame, centres: list[list[float]], z: int, rounds: int = 100):
@@ -99,6 +138,7 @@ class Solution:
     original_outliers: DataFrame | None = None
     extra: dict[str, str] = field(default_factory=dict)
     codename: str = ""
+    fullname: str = ""
     elapsed_ms: float = 0.0
 
     def outliers(self) -> DataFrame:
@@ -107,6 +147,10 @@ class Solution:
     def cluster_sizes(self) -> DataFrame:
         return self.assignments.where("not is_outlier").groupBy("cluster").agg(F.count("*").alias("n"))
 
+    def members(self) -> DataFrame:
+        """(cluster, id) of the points that are no outliers."""
+        return self.assignments.where("not is_outlier").select("cluster", "id")
+
     def summary(self, spark) -> DataFrame:
         return spark.createDataFrame([(self.codename, self.cost, self.outliers_cost, len(self.centres), self.elapsed_ms, self.extra)], "codename string, cost double, outliers_cost double, num_centers int, elapsed_ms double, extra map<string,string>")
 
@@ -132,7 +176,7 @@ def overseed(assigned: DataFrame, eps: float, r: float, z: int) -> float:
     if not total or total <= 0 or z <= 0:
         return 1.0
     m = min(int(np.ceil((1 + eps) * z)), n - 1)
-    edge = assigned.select("d2").orderBy(F.desc("d2")).limit(m + 1).agg(F.min("d2")).first()[0]
+    edge = select.threshold(assigned, m + 1)
     far = assigned.where(F.col("d2") >= edge).agg(F.sum("d2")).first()[0]
     rest = 1 - far / total
     return max(r / rest if rest > 1e-10 else float(n), 1.0)

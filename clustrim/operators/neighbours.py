@@ -1,9 +1,12 @@
 """Point by point operators: exact k nearest neighbours, band sums, ball counts.
 
-Pairs are met block by block: points are dealt into blocks of bounded size and every pair of blocks is one
-group, so memory is bounded and nothing is broadcast.  The work is quadratic in the points, as an exact
-answer in many dimensions is; bound it by a coreset first (operators.sampling.uniform_coreset).  Ball
-counts in up to three dimensions use a grid and an equi-join instead.
+Points are dealt into cells, each around a pivot (a hash-drawn point), and each cell into rings by distance to its
+pivot.  For every ring a bound on how far its points' neighbours can be follows from counts of the rings alone;
+by the triangle inequality only points whose distance to the pivot is within reach of the ring are sent to it.
+Where the data has structure a ring meets the points about it; where it has none, as in many dimensions, it
+meets them all, as any exact answer must.  Rings that meet many points are split into blocks, each pair of
+blocks a group of its own, so memory is bounded and no point table is broadcast: only the pivots (PIVOTS at most)
+and the rings' bounds are.  Ball counts in up to three dimensions use a grid and an equi-join instead.
 """
 
 from __future__ import annotations
@@ -18,8 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import uniform
+from . import select
 
-BLOCK = 2048
+#: Points of a block; points a cell is meant to hold, and the most cells; rings of a cell.
+BLOCK, CELL, PIVOTS, RINGS = 2048, 1024, 2048, 24
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -32,88 +37,187 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _paired(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:
-    deal = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = left.select(deal.alias("bi"), every.alias("bj"), F.lit(True).alias("query"), "id", "x")
-    b = right.select(every.alias("bi"), deal.alias("bj"), F.lit(False).alias("query"), "id", "x")
-    return a.unionByName(b)
-
-
-def knn(points: DataFrame, k: int, max_k: int | None = 500, others: DataFrame | None = None) -> DataFrame:
-    """(id, j, rank, d): the k nearest other points, ties by j; k is at most n - 1 and max_k."""
+class Cells:
+    """Pivots, rings and who meets whom; a few numbers a ring, on the driver and broadcast."""
+
+    def __init__(self, points: DataFrame, others: DataFrame, n: int, reach: float | None = None, k: int = 0):
+        """Rings of `points`; each meets the `others` within `reach`, or within the bound of its k nearest others (k + 1 if itself is among them)."""
+        few = min(PIVOTS, max(1, math.ceil(n / CELL)))
+        pivots = others.select("x", uniform(42, "pivot").alias("u"), "id").orderBy("u", "id").limit(few).collect()
+        self.p = np.array([r["x"] for r in pivots], float).reshape(len(pivots), -1)
+        self.unit = 0.0
+        if len(pivots) > 1:
+            self.unit = self.celled(others).agg(F.percentile_approx("gap", 0.5, 1000)).first()[0] or 0.0
+        rings = lambda df: np.array(sorted((r["cell"], r["ring"], r["lo"], r["hi"], r["n"]) for r in self.celled(df).groupBy("cell", "ring").agg(F.min("gap").alias("lo"), F.max("gap").alias("hi"), F.count("*").alias("n")).collect()), float).reshape(-1, 5)
+        own = rings(points)
+        all_ = own if points is others else rings(others)
+        far = np.sqrt(exact(self.p, self.p))
+        self.cell, self.ring = own[:, 0].astype(int), own[:, 1].astype(int)
+        lo, hi = own[:, 2], own[:, 3]
+        if reach is None:
+            bound = np.zeros(len(self.p))
+            for c in np.unique(self.cell).tolist():
+                span = far[c, all_[:, 0].astype(int)] + all_[:, 3]
+                order = np.argsort(span)
+                at = np.searchsorted(np.cumsum(all_[order, 4]), k)
+                bound[c] = span[order[min(at, len(order) - 1)]]
+            reach_of = hi + bound[self.cell]
+        else:
+            reach_of = np.full(len(own), reach)
+        slack = 1e-9 * (1 + hi + reach_of)  # distances are rounded
+        self.least, self.most = lo - reach_of - slack, hi + reach_of + slack
+        met = np.zeros(len(own))
+        for g in range(len(own)):
+            span = far[self.cell[g], all_[:, 0].astype(int)]
+            met[g] = all_[(span - all_[:, 3] <= self.most[g]) & (span + all_[:, 3] >= self.least[g]), 4].sum()
+        self.own_blocks = np.maximum(1, np.ceil(own[:, 4] / BLOCK)).astype(np.int64)
+        self.met_blocks = np.maximum(1, np.ceil(met / BLOCK)).astype(np.int64)
+        self.number = {(c, r): g for g, (c, r) in enumerate(zip(self.cell.tolist(), self.ring.tolist(), strict=True))}
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All distances to the pivots; cell and ring of each row."""
+        d = np.sqrt(exact(x, self.p))
+        cell = d.argmin(1)
+        return d, cell, self.rings(d[np.arange(len(x)), cell])
+
+    def rings(self, gap: np.ndarray) -> np.ndarray:
+        if self.unit <= 0:
+            return np.zeros(len(gap), np.int64)
+        return np.clip(np.ceil(np.log2(np.maximum(gap / self.unit, 1.0))), 0, RINGS - 1).astype(np.int64)
+
+    def celled(self, df: DataFrame) -> DataFrame:
+        pivots, unit = self.p, self.unit
+        me = Cells.__new__(Cells)
+        me.p, me.unit = pivots, unit
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    d, cell, ring = me.nearest(np.stack(pdf["x"].to_numpy()))
+                    yield pd.DataFrame({"cell": cell, "ring": ring, "gap": d[np.arange(len(d)), cell]})
+
+        return df.select("x").mapInPandas(run, "cell int, ring int, gap double")
+
+    def met(self, points: DataFrame, others: DataFrame) -> DataFrame:
+        """(g, bi, bj, query, id, x): every ring's points and what they meet, by pairs of blocks."""
+        held = points.sparkSession.sparkContext.broadcast(self)
+
+        def deal(query: bool):
+            def run(batches):
+                me = held.value
+                for pdf in batches:
+                    if not len(pdf):
+                        continue
+                    ids, x = pdf["id"].to_numpy(), pdf["x"].to_numpy()
+                    d, cell, ring = me.nearest(np.stack(x))
+                    spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                    if query:
+                        g = np.array([me.number[c] for c in zip(cell.tolist(), ring.tolist(), strict=True)], np.int64)
+                        row = np.arange(len(ids))
+                    else:
+                        row, g = np.nonzero((d[:, me.cell] >= me.least) & (d[:, me.cell] <= me.most))
+                    mine, other = (me.own_blocks, me.met_blocks) if query else (me.met_blocks, me.own_blocks)
+                    at, many = spread[row] % mine[g], other[g]
+                    again = np.repeat(np.arange(len(row)), many)
+                    every = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
+                    bi, bj = (at[again], every) if query else (every, at[again])
+                    for a in range(0, len(again), 20_000):
+                        cut = slice(a, a + 20_000)
+                        r = row[again[cut]]
+                        yield pd.DataFrame({"g": g[again[cut]], "bi": bi[cut], "bj": bj[cut], "query": query, "id": ids[r], "x": x[r]})
+
+            return run
+
+        kind = "g long, bi long, bj long, query boolean, id long, x array<double>"
+        return points.select("id", "x").mapInPandas(deal(True), kind).unionByName(others.select("id", "x").mapInPandas(deal(False), kind))
+
+
+def _blocks(pdf: pd.DataFrame, rows: int = 512):
+    """(ids of some queries, ids of the others, squared distances), a few queries at a time."""
+    q, r = pdf[pdf["query"]], pdf[~pdf["query"]].sort_values("id")
+    if q.empty or r.empty:
+        return
+    rid, m = r["id"].to_numpy(), np.stack(r["x"].to_numpy())
+    for a in range(0, len(q), rows):
+        part = q.iloc[a : a + rows]
+        yield part["id"].to_numpy(), rid, exact(np.stack(part["x"].to_numpy()), m)
+
+
+def knn(points: DataFrame, k: int, max_k: int | None = 500, others: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """(id, j, rank, d): the k nearest other points, ties by j; k is at most n - 1 and max_k.  n: number of `others`, if it is known."""
     own = others is None
     others = points if own else others
-    n = others.count()
+    n = others.count() if n is None else n
     k = min(k, n - own, max_k or k)
-    blocks = max(1, math.ceil(n / BLOCK))
+    if k < 1:
+        return points.sparkSession.createDataFrame([], "id long, j long, rank int, d double")
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, r = pdf[pdf["query"]], pdf[~pdf["query"]].sort_values("id")
-        if k < 1 or q.empty or r.empty:
-            return pd.DataFrame({"id": [], "j": [], "d2": []}).astype({"id": "int64", "j": "int64", "d2": "float64"})
-        rid, m = r["id"].to_numpy(), np.stack(r["x"].to_numpy())
-        out = []
-        for a in range(0, len(q), 512):
-            part = q.iloc[a : a + 512]
-            qid = part["id"].to_numpy()
-            d = exact(np.stack(part["x"].to_numpy()), m)
-            d[qid[:, None] == rid[None, :]] = np.inf
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for qid, rid, d in _blocks(pdf):
+            if own:
+                d[qid[:, None] == rid[None, :]] = np.inf
             t = min(k, len(rid))
             edge = np.partition(d, t - 1, axis=1)[:, t - 1]
             row, col = np.nonzero(d <= edge[:, None])  # ties at the edge included, by ascending j
             val = d[row, col]
             order = np.lexsort((val, row))
             row, col, val = row[order], col[order], val[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < t
-            out.append(pd.DataFrame({"id": qid[row[keep]], "j": rid[col[keep]], "d2": val[keep]}))
-        out = pd.concat(out)
-        return out[np.isfinite(out["d2"])]
+            keep = (np.arange(len(row)) - np.searchsorted(row, row) < t) & np.isfinite(val)
+            out.append((qid[row[keep]], rid[col[keep]], val[keep]))
+        return pd.DataFrame(dict(zip(("id", "j", "d2"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    best = _paired(points, others, blocks).groupBy("bi", "bj").applyInPandas(nearest, "id long, j long, d2 double")
+    best = Cells(points, others, n, k=k + own).met(points, others).groupBy("g", "bi", "bj").applyInPandas(nearest, "id long, j long, d2 double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "j"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "j", "rank", F.sqrt("d2").alias("d"))
 
 
 def minmax(points: DataFrame, max_anchors: int = 10_000, seed: int = 42) -> DataFrame:
     """(min_d, max_d): least and largest non-zero distance of the points to min(n, max_anchors) hash-drawn anchors."""
-    blocks = max(1, math.ceil(points.count() / BLOCK))
     anchors = points.select("id", "x", uniform(seed, "minmax").alias("u")).orderBy("u", "id").limit(max_anchors)
+    blocks = max(1, math.ceil(max_anchors / BLOCK))
+    deal = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    many = max(1, math.ceil(points.count() / BLOCK))
+    a = anchors.select(deal(blocks).alias("bi"), every(many).alias("bj"), F.lit(True).alias("query"), "id", "x")
+    b = points.select(every(blocks).alias("bi"), deal(many).alias("bj"), F.lit(False).alias("query"), "id", "x")
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, o = pdf[pdf["query"]], pdf[~pdf["query"]]
-        out = []
-        if not q.empty and not o.empty:
-            m = np.stack(o["x"].to_numpy())
-            for a in range(0, len(q), 512):
-                d = exact(np.stack(q["x"].iloc[a : a + 512].to_numpy()), m)
-                d = d[d > 0]
-                if d.size:
-                    out.append((d.min(), d.max()))
-        return pd.DataFrame(out, columns=["lo", "hi"], dtype="float64")
-
-    ranges = _paired(anchors, points, blocks).groupBy("bi", "bj").applyInPandas(ends, "lo double, hi double")
+        found = [d[d > 0] for _, _, d in _blocks(pdf)]
+        return pd.DataFrame([(d.min(), d.max()) for d in found if d.size], columns=["lo", "hi"], dtype="float64")
+
+    ranges = a.unionByName(b).groupBy("bi", "bj").applyInPandas(ends, "lo double, hi double")
     return ranges.agg(F.sqrt(F.min("lo")).alias("min_d"), F.sqrt(F.max("hi")).alias("max_d"))
 
 
-def radius(points: DataFrame, k: int, max_k: int | None = 500) -> DataFrame:
+def radius(points: DataFrame, k: int, max_k: int | None = 500, n: int | None = None) -> DataFrame:
     """(id, score): distance to the last of the k neighbours."""
-    return knn(points, k, max_k).groupBy("id").agg(F.max_by("d", "rank").alias("score"))
+    return knn(points, k, max_k, n=n).groupBy("id").agg(F.max_by("d", "rank").alias("score"))
 
 
-def band_sum(points: DataFrame, z: int, c: float, max_k: int | None = 500) -> DataFrame:
+def band_sum(points: DataFrame, z: int, c: float, max_k: int | None = 500, n: int | None = None) -> DataFrame:
     """(id, score): sum of the distances of ranks z+1 .. int(c z); of all ranks if that band is empty."""
-    near = knn(points, int(c * z), max_k)
-    cols = min(int(c * z), max_k or int(c * z), points.count() - 1)
+    n = points.count() if n is None else n
+    near = knn(points, int(c * z), max_k, n=n)
+    cols = min(int(c * z), max_k or int(c * z), n - 1)
     lo, hi = min(z, cols - 1), min(int(c * z), cols)
     band = (F.col("rank") > lo) & (F.col("rank") <= hi) if lo < hi else F.lit(True)
     return near.groupBy("id").agg(F.sum(F.when(band, F.col("d")).otherwise(0.0)).alias("score"))
 
 
-def top(scores: DataFrame, z: int, by: str = "score") -> DataFrame:
-    """The z rows of largest `by`, ties by smaller id; none if z <= 0 or z >= n."""
-    n = scores.count()
-    return scores.orderBy(F.desc(by), "id").limit(z if 0 < z < n else 0)
+def top(scores: DataFrame, z: int, by: str = "score", n: int | None = None) -> DataFrame:
+    """The z rows of largest `by`, ties by smaller id; none if z <= 0 or z >= n, the number of points.
+
+    Up to select.DIRECT rows are kept by a partial top-z in each task; more by an exact threshold over the
+    written scores, so that they are not computed again.
+    """
+    n = scores.count() if n is None else n
+    if not 0 < z < n:
+        return scores.limit(0)
+    if z <= select.DIRECT:
+        return scores.orderBy(F.desc(by), "id").limit(z)
+    scores = select.Scratch(scores.sparkSession).write(scores, "scores")
+    return scores.where(select.among_top(select.edge(scores, z, by), by))
 
 
 def ball_counts(points: DataFrame, r: float) -> DataFrame:
@@ -127,17 +231,13 @@ def ball_counts(points: DataFrame, r: float) -> DataFrame:
         right = points.select(F.col("id").alias("j"), F.col("x").alias("y"), cell([0] * dims).alias("cell"))
         d2 = sum(((F.col("x")[j] - F.col("y")[j]) * (F.col("x")[j] - F.col("y")[j]) for j in range(dims)), F.lit(0.0))
         return left.join(right, "cell").where(d2 <= r * r).groupBy("id").agg(F.count("*").alias("n"))
-    blocks = max(1, math.ceil(points.count() / BLOCK))
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, o = pdf[pdf["query"]], pdf[~pdf["query"]]
-        if q.empty or o.empty:
-            return pd.DataFrame({"id": q["id"], "n": 0})
-        m = np.stack(o["x"].to_numpy())
-        got = [(exact(np.stack(q["x"].iloc[a : a + 512].to_numpy()), m) <= r * r).sum(1) for a in range(0, len(q), 512)]
-        return pd.DataFrame({"id": q["id"].to_numpy(), "n": np.concatenate(got)})
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *((qid, (d <= r * r).sum(1)) for qid, _, d in _blocks(pdf))]
+        return pd.DataFrame(dict(zip(("id", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    return _paired(points, points, blocks).groupBy("bi", "bj").applyInPandas(within, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    met = Cells(points, points, points.count(), reach=r).met(points, points)
+    return met.groupBy("g", "bi", "bj").applyInPandas(within, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def heavy(points: DataFrame, r: float, least: int) -> DataFrame:
@@ -146,8 +246,14 @@ def heavy(points: DataFrame, r: float, least: int) -> DataFrame:
 
 def far_from(points: DataFrame, centres: DataFrame, r: float) -> DataFrame:
     """Points farther than r from every one of `centres`."""
-    if not centres.limit(1).count():
+    centres = select.Scratch(points.sparkSession).write(centres.select("id", "x"), "centres")
+    n = centres.count()
+    if not n:
         return points
-    near = knn(points, 1, None, others=centres)
-    same = points.join(centres.select("id"), "id", "left_semi").select("id")
-    return points.join(near.where(F.col("d") <= r).select("id").union(same), "id", "left_anti")
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = [qid[(d <= r * r).any(1)] for qid, _, d in _blocks(pdf)]
+        return pd.DataFrame({"id": np.concatenate([np.zeros(0, np.int64), *got])})
+
+    near = Cells(points, centres, n, reach=r).met(points, centres).groupBy("g", "bi", "bj").applyInPandas(close, "id long").distinct()
+    return points.join(near, "id", "left_anti")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.columns import uniform
+from .select import edge, ranked
 
 
 def zscore(points: DataFrame) -> DataFrame:
@@ -27,22 +27,50 @@ def inject(points: DataFrame, share: float = 0.01, xi: float = 5.0, seed: int =
 
 
 def class_sizes(points: DataFrame) -> DataFrame:
-    """(label, n, small, large): ranks from the smallest and the largest class."""
-    c = points.groupBy("label").agg(F.count("*").alias("n"))
-    return c.withColumn("small", F.row_number().over(Window.orderBy("n", "label"))).withColumn("large", F.row_number().over(Window.orderBy(F.desc("n"), "label")))
+    """(label, n)."""
+    return points.groupBy("label").agg(F.count("*").alias("n"))
 
 
 def classes_as_outliers(points: DataFrame, smallest: int | None = None, all_but_largest: int | None = None) -> DataFrame:
-    """is_outlier: of one of the `smallest` classes, or of none of the largest."""
-    c = class_sizes(points)
-    flag = F.col("small") <= smallest if smallest is not None else F.col("large") > all_but_largest
-    return points.join(c.select("label", flag.alias("is_outlier")), "label")
+    """is_outlier: of one of the `smallest` classes, or of none of the largest; ties by label.
+
+    Only the classes at that end come together, by a partial top-m, however many there are.
+    """
+    m, order = (smallest, ["n", "label"]) if smallest is not None else (all_but_largest, [F.desc("n"), "label"])
+    few = [r["label"] for r in class_sizes(points).orderBy(*order).limit(m).collect()]
+    among = F.col("label").isin([x for x in few if x is not None]) | (F.col("label").isNull() if None in few else F.lit(False))
+    among = F.coalesce(among, F.lit(False))
+    return points.withColumn("is_outlier", among if smallest is not None else ~among)
 
 
 def label_codes(points: DataFrame) -> DataFrame:
-    codes = points.select("label").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("label")) - 1)
+    """code: place of the label among the distinct labels."""
+    codes = ranked(points.select("label").distinct(), ["label"], "code").withColumn("code", F.col("code").cast("int"))
     return points.join(codes, "label")
 
 
 def first_rows(points: DataFrame, m: int) -> DataFrame:
-    return points.orderBy("id").limit(m)
+    """The m rows of smallest id, by an exact threshold."""
+    last = edge(points.select((-F.col("id")).cast("double").alias("v"), "id"), m, "v")
+    return points.where(F.col("id") <= last[1]) if m > 0 and last else points.limit(0)
+
+
+def by_ids(points: DataFrame, ids: DataFrame) -> DataFrame:
+    """The points whose id is in `ids`."""
+    return points.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def numbered(points: DataFrame, order: list[str]) -> DataFrame:
+    """id: place in the order of columns that tell all rows apart."""
+    return ranked(points, order, "id")
+
+
+def prepared(raw: DataFrame, xi: float | None = None, smallest: int | None = None, all_but_largest: int | None = None, share: float = 0.01, seed: int = 42) -> DataFrame:
+    """A points table (id, x, label, is_outlier) from raw rows (id, x, label): z-scores, then outliers.
+
+    Outliers are `share` injected points of [-xi, xi]^d, or the rows of the smallest (or all but the largest) classes.
+    """
+    z = zscore(raw)
+    if xi is not None:
+        return inject(z, share, xi, seed)
+    return classes_as_outliers(z, smallest, all_but_largest).select("id", "x", F.col("label").cast("string").alias("label"), "is_outlier")

@@ -13,12 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import race, uniform
-from .assign import assign
+from .assign import Reach
+from .select import threshold
+
+
+def uniform_rows(points: DataFrame, k: int, seed: int, salt: str = "uar", skip: tuple = ()) -> list[tuple[int, list[float]]]:
+    """min(k, n) rows (id, x) without replacement, none of the ids in `skip`."""
+    rows = points.where(~F.col("id").isin(list(skip))) if skip else points
+    return [(r["id"], r["x"]) for r in rows.select("id", "x", uniform(seed, salt).alias("u")).orderBy("u", "id").limit(k).collect()]
 
 
 def uniform_seeds(points: DataFrame, k: int, seed: int, salt: str = "uar") -> list[list[float]]:
     """min(k, n) points without replacement."""
-    return [r["x"] for r in points.select("id", "x", uniform(seed, salt).alias("u")).orderBy("u", "id").limit(k).collect()]
+    return [x for _, x in uniform_rows(points, k, seed, salt)]
 
 
 def draw(points: DataFrame, weight: Column, seed: int, salts: list[str]) -> list[tuple[int, list[float]]]:
@@ -29,23 +36,41 @@ def draw(points: DataFrame, weight: Column, seed: int, salts: list[str]) -> list
 
 
 def d2_seeds(points: DataFrame, k: int, seed: int, centres: list[list[float]] | None = None) -> list[list[float]]:
-    """k-means++: the first uniform, the next in proportion to the squared distance to those taken."""
-    centres = list(centres or [])
-    n = points.count()
-    while len(centres) < min(k, n):
-        salt = f"d2-{len(centres)}"
-        got = draw(assign(points, centres), F.col("d2"), seed, [salt]) if centres else uniform_seeds(points, 1, seed, salt)
-        if not got:  # all distances are 0: any other point
-            rest = uniform_seeds(points, k, seed, salt)
-            return [*centres, *rest[: min(k, n) - len(centres)]]
-        centres.append(got[0][1] if isinstance(got[0], tuple) else got[0])
-    return centres
+    """k-means++: the first uniform, the next in proportion to the squared distance to those taken.
+
+    Where all distances are 0, the next ones are uniform among the points not taken yet.
+    """
+    out, new, ids = list(centres or []), list(centres or []), []
+    most, reach = min(k, points.count()), Reach(points)
+    while len(out) < most:
+        salt = f"d2-{len(out)}"
+        if out:
+            got = draw(reach.add(new), F.col("d2"), seed, [salt])
+            if not got:
+                out += [x for _, x in uniform_rows(points, most - len(out), seed, salt, tuple(ids))]
+                break
+        else:
+            got = uniform_rows(points, 1, seed, salt)
+        ids.append(got[0][0])
+        new = [got[0][1]]
+        out += new
+    reach.close()
+    return out
 
 
 def half_even(x: float) -> int:
     return round(x)
 
 
+#: Coreset sizes by data set; the first whose name is part of a data set's name counts.
+SIZES = [("SKIN", 24_000), ("SUSY", 70_000), ("KDDFULL", 70_000), ("SHUTTLE", 10_000)]
+
+
+def size_for(name: str, default: int = 20_000) -> int:
+    """Coreset size of a data set by its name."""
+    return next((m for part, m in SIZES if part in name.upper()), default)
+
+
 def uniform_coreset(points: DataFrame, z: int, size: int = 20_000, seed: int = 42) -> tuple[DataFrame, int, float]:
     """`size` points in hash order, the outlier budget scaled with half-even rounding (at least 1), the ratio."""
     n = points.count()
@@ -81,36 +106,42 @@ def opt_guesses(base: float = 2.0, lo: int = 10, hi: int = 30) -> list[float]:
 
 def capped_rounds(points: DataFrame, z: int, k: int, seed: int, eps: float = 0.5, beta: float = 1.5, per_round: int = 5) -> list[tuple[int, list[float]]]:
     """Fast sampling: rounds of draws by squared distance capped at the z-th largest, frozen for the round."""
-    n = points.count()
-    first = points.select("id", "x", uniform(seed, "fast").alias("u")).orderBy("u", "id").limit(1).collect()
-    taken = {r["id"]: r["x"] for r in first}
+    n, reach = points.count(), Reach(points)
+    new = dict(uniform_rows(points, 1, seed, "fast"))
+    taken = dict(new)
     for t in range(max(1, int(beta * k / eps))):
-        d = assign(points, list(taken.values()))
+        d = reach.add(list(new.values()))
         w = F.col("d2")
         if 0 < z < n:
-            cap = d.select("d2").orderBy(F.desc("d2")).limit(z).agg(F.min("d2")).first()[0]
-            w = F.least(w, F.lit(float(cap)))
-        got = draw(d, w, seed, [f"fast-{t}-{i}" for i in range(per_round)])
-        if not got:
+            w = F.least(w, F.lit(float(threshold(d, z))))
+        got = dict(draw(d, w, seed, [f"fast-{t}-{i}" for i in range(per_round)]))
+        new = {i: x for i, x in got.items() if i not in taken}
+        if not new:
             break
-        taken.update(got)
+        taken.update(new)
+    reach.close()
     return sorted(taken.items())
 
 
 def mixed_rounds(points: DataFrame, k: int, seed: int, delta: float = 0.1, t_mult: float = 1.0, m_mult: float = 1.0) -> list[tuple[int, list[float]]]:
     """Robust oversampling: half by squared distance, half uniform; the first round uniform."""
-    n = points.count()
+    n, reach = points.count(), Reach(points)
     t_all, m = max(1, int(t_mult * k)), max(1, int(m_mult / delta))
     taken: dict[int, list[float]] = {}
+    new: dict[int, list[float]] = {}
+    d = None
     for t in range(t_all):
         salts = [f"mixed-{t}-{i}" for i in range(m)]
         if taken:
-            d = assign(points, list(taken.values()))
+            d = reach.add(list(new.values())) if new else d
             total = d.agg(F.sum("d2")).first()[0]
             w = F.col("d2") / F.lit(2.0 * total) + F.lit(0.5 / n) if total else F.lit(1.0)
-            taken.update(draw(d, w, seed, salts))
+            got = draw(d, w, seed, salts)
         else:
-            taken.update(draw(points, F.lit(1.0), seed, salts))
+            got = draw(points, F.lit(1.0), seed, salts)
+        new = {i: x for i, x in got if i not in taken}
+        taken.update(new)
+    reach.close()
     return sorted(taken.items())
 
 
