@@ -7,9 +7,7 @@ a null text counts as the empty text.  Rows that share a doc_id are versions of
 
 from __future__ import annotations
 
-import contextlib
 import math
-import uuid
 
 import numpy as np
 import xxhash
@@ -17,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import Scratch, settings  # noqa: F401  the operators take them from here
+
 NULL_ID = -(2**63)
 #: Entries of the per-worker word cache; it is emptied when full, so its memory is bounded.
 WORD_CACHE = 100_000
@@ -25,9 +25,6 @@ MARKED_ROWS = 1000
 #: Input bytes that one hash bucket is meant to hold, and the most shuffle partitions that buckets are dealt to.
 BUCKET_BYTES, MAX_TASKS = 16 << 20, 60_000
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -56,26 +53,22 @@ def crc_mod(mod: int) -> Column:
 
 
 def buckets_for(docs: DataFrame, per: int = BUCKET_BYTES) -> int:
-    """Hash buckets for work over all of `docs`: follows its size, at least the session's shuffle partitions."""
-    spark = docs.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # plan statistics are an optimisation only
-        return least
-    return max(least, math.ceil(size / per)) if size < 1 << 60 else least
-
-
-@contextlib.contextmanager
-def settings(spark: SparkSession, conf: dict[str, str]):
-    old = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    """Hash buckets for work over all of `docs`: follows its size, at least the session's shuffle partitions.
+
+    The plan knows the size of what it reads from files; else the bytes of the texts are counted.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / per))
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """`name`, or with underscores before it until no column of `frames` is called so."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def ranked(df: DataFrame, by: list[str], scratch: Scratch, name: str = "rank") -> DataFrame:
@@ -83,41 +76,12 @@ def ranked(df: DataFrame, by: list[str], scratch: Scratch, name: str = "rank") -
 
     A range sort numbers the rows of each partition; only one row a partition meets in one task.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = scratch.write(df.repartitionByRange(n, *by).withColumn("pid", F.spark_partition_id()), "ranked")
+    df = scratch.write(df.repartitionByRange(*by).withColumn("pid", F.spark_partition_id()), "ranked")
     sizes = df.groupBy("pid").count().withColumn("before", F.sum("count").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)))
     own = F.row_number().over(Window.partitionBy("pid").orderBy(*by)) - 1
     return df.withColumn("own", own).join(sizes.select("pid", F.coalesce("before", F.lit(0)).alias("before")), "pid").withColumn(name, F.col("own") + F.col("before")).drop("pid", "own", "before")
 
 
-class Scratch:
-    """Tables written to the shared checkpoint folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        self.base = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        self.paths: dict[str, str] = {}
-        self.written = 0
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        self.written += 1
-        path = f"{self.base}/{name}-{self.written}"
-        with settings(self.spark, {_CLEAN: "true", _BATCH: str(16 << 20)}):
-            df.write.parquet(path)
-        self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 # --- words ------------------------------------------------------------------------------------
 
 

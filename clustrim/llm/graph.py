@@ -31,7 +31,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         small = star.join(scratch.write(_nearest(star), "near"), "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
         new = scratch.write(small.distinct(), "edges")
         state = new.where("u != v").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        scratch.drop("star")
+        scratch.drop("star", "near")
+        scratch.drop("edges", keep=1)
         e = new
         if (state["n"], state["h"]) == last:
             break

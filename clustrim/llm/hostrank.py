@@ -64,10 +64,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping=DAMP
         flow = ahead.union(back).groupBy("host").agg(F.sum("t").alias("ft"), F.sum("d").alias("fd"))
         step = lambda seed, flow: F.col(seed) + damping * F.coalesce(flow, F.lit(0.0))
         new = rank.join(flow, "host", "left").select("host", "good", "bad", step("good", "ft").alias("t"), step("bad", "fd").alias("d"), F.col("t").alias("t0"), F.col("d").alias("d0"))
-        before = scratch.paths.pop("rank")
         new = scratch.write(new, "rank")
-        scratch.paths["before"] = before
-        scratch.drop("before")
+        scratch.drop("rank", keep=1)
         moved = new.agg(F.count_if((F.abs(F.col("t") - F.col("t0")) > settled * F.col("t")) | (F.abs(F.col("d") - F.col("d0")) > settled * F.col("d"))).alias("m")).first()["m"]
         rank = new.drop("t0", "d0")
         if not moved:

@@ -8,9 +8,9 @@ each hit is verified by Myers' bit-parallel distance around its diagonal.
 
 The test items are taken in blocks of bounded size, each against all documents.
 
-Defined cases: null or empty text, null or empty item: no match; items under `MIN_WORDS` words are not
-looked for (they tell nothing); equal items each get their rows; rows that share a doc_id are versions of
-one document; a null doc_id is reported as null.
+Defined cases: null or empty text, null or empty item: no match; items under `MIN_WORDS` words match only
+unchanged and as whole words (no edits); equal items each get their rows; rows that share a doc_id are versions
+of one document; a null doc_id or item_id is reported as null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out
+from .common import fresh, id_in, id_out
 
 PASSAGE, MIN_WORDS = 16, 5
 RATE = 0.05
@@ -33,6 +33,8 @@ def plain(text: str) -> str:
 
 def passages(item: str) -> list[str]:
     words = plain(item).split(" ")
+    if len(words) < MIN_WORDS:
+        return [f" {' '.join(words)} "] if words[0] else []
     if len(words) <= PASSAGE:
         return [" ".join(words)]
     return [" ".join(words), *(" ".join(words[a : a + PASSAGE]) for a in range(len(words) - PASSAGE + 1))]
@@ -101,7 +103,7 @@ class Matcher:
                         self.parts[seen[p]][2].append(item)
                     continue
                 seen[p] = len(self.parts)
-                k = int(len(p) * rate)
+                k = 0 if p[0] == " " else int(len(p) * rate)
                 for off, piece in pieces(p, k):
                     found.setdefault(piece, []).append((len(self.parts), off))
                 self.parts.append((p, k, [item]))
@@ -114,9 +116,9 @@ class Matcher:
         self.masks: dict[int, dict[str, int]] = {}
 
     def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """(passage number, distance, end in the plain text), one for each matching passage."""
-        text = plain(text)
-        if self.empty or not text:
+        """(passage number, distance, end in the plain text with a space around it), one for each matching passage."""
+        text = f" {plain(text)} "
+        if self.empty:
             return []
         best: dict[int, tuple[int, int]] = {}
         tried: set[tuple[int, int]] = set()
@@ -140,12 +142,12 @@ class Matcher:
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.where("text is not null").select(id_in("item_id").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // block_chars) or 1
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        yield sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows if len(r["text"].split()) >= MIN_WORDS)
+        yield sorted((r["item_id"], r["text"]) for r in rows)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -170,10 +172,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars
         one = body.mapInArrow(run, "doc_id long, item_id long, passage long, distance long")
         out = one if out is None else out.unionByName(one)
     got = out.groupBy("doc_id", "item_id").agg(F.count_distinct("passage").alias("n_passages"), F.min("distance").alias("distance"))
-    return got.select(id_out().alias("doc_id"), "item_id", "n_passages", "distance")
+    return got.select(id_out().alias("doc_id"), id_out("item_id").alias("item_id"), "n_passages", "distance")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs`, all columns, without the documents that hold a passage of the benchmark."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__leaked")), "left_anti")
+    """`docs`, all columns, without the documents that hold a passage of the benchmark.
+
+    Rows that share a doc_id go or stay together, also those with a null one; rows without text stay otherwise.
+    """
+    name = fresh("leaked", docs)
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")

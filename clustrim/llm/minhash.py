@@ -10,12 +10,14 @@
    so the rows grow with the members, not with their pairs.
 5. Components of all confirmed links.
 
-A link of similarity 0.85 shares no band with probability (1 - 0.85^5)^25 < 5e-7, and fails the bit
-count of step 3 (six standard deviations) with probability < 1e-8.
+A link of similarity 0.85 shares no band with probability (1 - 0.85^5)^25 < 5e-7, one of 0.8 with
+probability (1 - 0.8^5)^25 < 5e-5; both fail the bit count of step 3 (six standard deviations) with
+probability < 1e-8.
 
 Defined cases: null or empty text, or text without words, has an empty set and no links; fewer words
-than a shingle make one shingle; rows that share a doc_id are one node; a null doc_id is a node of its
-own that comes before all others and gets a null component.
+than a shingle make one shingle; rows that share a doc_id are one node, linked by the texts of each of them;
+a null doc_id is a node of its own that comes before all others and gets a null component; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,29 +26,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Scratch, hashes, id_out, keyed, mix, text_bytes
+from .common import BASE, Scratch, fresh, id_out, keyed, mix, slices, word_hashes
 from .graph import components
 
 PERMS, BANDS, ROWS, BITS = 128, 25, 5, 2
 #: Members and set elements of a block in step 4.
-BLOCK_ROWS, BLOCK_ITEMS = 512, 1 << 20
-CHUNK_WORDS = 400_000
+BLOCK_ROWS, BLOCK_ITEMS = 256, 1 << 20
+#: Bytes of text whose sets are held at once.
+CHUNK_BYTES = 2 << 20
 
 _ODD = (mix(np.arange(1, PERMS + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)).astype(np.uint64)
 
 
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text (A-Z lower-cased)."""
-    words = [t.lower().split() for t in texts]
-    flat = hashes([x for w in words for x in w])
+def shingle_sets(column, width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text of an Arrow string column (A-Z lower-cased)."""
+    flat, counts = word_hashes(column, True)
     b = np.uint64(BASE)
     roll = np.zeros(max(len(flat) - width + 1, 0), np.uint64)
     for j in range(width):
         roll = roll * b + flat[j : j + len(roll)]
     roll = mix(roll)
     out, at = [], 0
-    for w in words:
-        n = len(w)
+    for n in counts.tolist():
         if n >= width:
             out.append(np.unique(roll[at : at + n - width + 1]))
         elif n:
@@ -79,13 +80,11 @@ def _sign(width: int):
         sets = shingle_sets(texts, width)
         full = [k for k, s in enumerate(sets) if len(s)]
         n = len(sets)
-        key = np.zeros((2, n), np.uint64)
+        key = digests(sets)
         sig = np.zeros((n, PERMS * BITS // 64), np.uint64)
         bands = np.zeros((n, BANDS), np.uint64)
         if full:
             m = minima([sets[k] for k in full])
-            key[0, full] = [np.bitwise_xor.reduce(mix(sets[k].copy())) for k in full]
-            key[1, full] = [np.add.reduce(mix(sets[k] ^ np.uint64(0xA5A5A5A5))) for k in full]
             low = mix(m.copy()) & np.uint64(2**BITS - 1)
             per = 64 // BITS
             for w in range(sig.shape[1]):
@@ -100,35 +99,40 @@ def _sign(width: int):
                 bands[full, b] = h
         sig, bands, key = sig.view(np.int64), bands.view(np.int64), key.view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1)))
-        cols = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(key[0]), pa.array(key[1]), *[pa.array(np.ascontiguousarray(sig[:, w])) for w in range(sig.shape[1])], lists]
+        cols = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(key[0]), pa.array(key[1]), *[pa.array(np.ascontiguousarray(sig[:, w])) for w in range(sig.shape[1])], lists]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "k1", "k2", "s0", "s1", "s2", "s3", "bands"])
 
     def run(batches):
-        ids, texts, held = [], [], 0
         for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                ids.append(i)
-                texts.append(t)
-                held += len(t)
-                if held >= 6 * CHUNK_WORDS:
-                    yield rows(ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield rows(ids, texts)
+            at = 0
+            for column in slices(batch.column("text"), CHUNK_BYTES):
+                yield rows(batch.column("doc_id").slice(at, len(column)), column)
+                at += len(column)
 
     return run
 
 
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit digests of each set."""
+    out = np.zeros((2, len(sets)), np.uint64)
+    for k, x in enumerate(sets):
+        if len(x):
+            out[0, k], out[1, k] = np.bitwise_xor.reduce(mix(x.copy())), np.add.reduce(mix(x ^ np.uint64(0xA5A5A5A5)))
+    return out
+
+
 def _sets(width: int):
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(text_bytes(batch.column("text")), width)
-            ends = np.cumsum([0] + [len(s) for s in sets])
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "items"])
+            for column in slices(batch.column("text"), CHUNK_BYTES):
+                sets = shingle_sets(column, width)
+                ends = np.cumsum([0] + [len(s) for s in sets])
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+                k1, k2 = digests(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(ends)), pa.array(k1), pa.array(k2), lists], names=["n_shingles", "k1", "k2", "items"])
 
     return run
 
@@ -170,14 +174,10 @@ def forest(adj: np.ndarray) -> np.ndarray:
 
 
 def _confirm_blocks(percent: int):
-    """Sorted rows (bucket, bi, bj, doc_id, items): links that span the components of each block pair."""
+    """Sorted rows (bucket, bi, bj, sid, rep, items): links that span the components of each block pair."""
     import pyarrow as pa
 
     def solve(ids, sets):
-        first = {}
-        for i, s in zip(ids, sets, strict=True):
-            first.setdefault(i, s)
-        ids, sets = list(first), list(first.values())
         if len(ids) < 2:
             return None
         label = forest(linked(sets, percent))
@@ -190,7 +190,7 @@ def _confirm_blocks(percent: int):
             keys = list(zip(*[batch.column(c).to_pylist() for c in ("bucket", "bi", "bj")], strict=True))
             col = batch.column("items")
             flat, ends = col.flatten().to_numpy().view(np.uint64), col.offsets.to_numpy() - col.offsets[0].as_py()
-            for r, (k, i) in enumerate(zip(keys, batch.column("doc_id").to_pylist(), strict=True)):
+            for r, (k, i) in enumerate(zip(keys, batch.column("rep").to_pylist(), strict=True)):
                 if k != key:
                     if ids and (out := solve(ids, sets)):
                         yield out
@@ -216,44 +216,48 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     base = scratch.write(keyed(docs).mapInArrow(_sign(width), "doc_id long, n_shingles long, k1 long, k2 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"), "base")
 
-    # 2: equal sets
-    one = scratch.write(base.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "one")
-    member = base.where("n_shingles > 0").join(one, ["n_shingles", "k1", "k2"])
+    # 2: equal sets; a set is known by sid, its smallest doc_id is rep, and links are between reps
+    sid = F.xxhash64("n_shingles", "k1", "k2").alias("sid")
+    base = base.select("*", sid)
+    real = base.where("n_shingles > 0")
+    one = scratch.write(real.groupBy("sid").agg(F.min("doc_id").alias("rep")), "one")
+    member = real.join(one, "sid")
     same = scratch.write(member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
-    reps = scratch.write(member.where("doc_id = rep").select("doc_id", "n_shingles", "s0", "s1", "s2", "s3", "bands").dropDuplicates(["doc_id", "n_shingles"]), "reps")
+    reps = scratch.write(member.where("doc_id = rep").select("sid", "rep", "n_shingles", "s0", "s1", "s2", "s3", "bands").dropDuplicates(["sid"]), "reps")
 
     # 3: stars of the buckets
-    keys = reps.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("bucket"))
-    groups = keys.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    keys = reps.select("sid", "rep", F.posexplode("bands").alias("band", "key")).select("sid", "rep", F.xxhash64("band", "key").alias("bucket"))
+    groups = keys.groupBy("bucket").agg(F.min(F.struct("rep", "sid")).alias("centre"), F.count("*").alias("n")).where("n > 1")
     slots = scratch.write(keys.join(scratch.write(groups.drop("n"), "groups"), "bucket"), "slots")
-    pairs = slots.where("doc_id != centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    wanted = slots.select("doc_id").distinct()
-    sets = scratch.write(keyed(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, items array<long>").dropDuplicates(["doc_id"]), "sets")
-    sig = reps.select("doc_id", *[f"s{w}" for w in range(4)])
-    side = lambda p: sig.select(F.col("doc_id").alias(p), *[F.col(f"s{w}").alias(f"{p}{w}") for w in range(4)])
+    pairs = slots.where("sid != centre.sid").select(F.col("sid").alias("sa"), "rep", F.col("centre.sid").alias("sb"), F.col("centre.rep").alias("centre")).distinct()
+    wanted = scratch.write(slots.select("sid", "rep").distinct(), "wanted")
+    texts = keyed(docs).join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(width), "n_shingles long, k1 long, k2 long, items array<long>").select(sid, "items")
+    sets = scratch.write(sets.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    side = lambda p: reps.select(F.col("sid").alias(f"s{p}"), *[F.col(f"s{w}").alias(f"{p}{w}") for w in range(4)])
     floor = percent / 100 - 6 * (0.25 / PERMS) ** 0.5 / (1 - 2.0**-BITS)
-    pairs = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").where(_agreement("a", "b") >= floor).select("a", "b"), "pairs")
-    have = lambda p: sets.select(F.col("doc_id").alias(p), F.col("items").alias(f"{p}_items"))
+    pairs = scratch.write(pairs.join(side("a"), "sa").join(side("b"), "sb").where(_agreement("a", "b") >= floor).select("sa", "sb", "rep", "centre"), "pairs")
+    have = lambda p: sets.select(F.col("sid").alias(f"s{p}"), F.col("items").alias(f"{p}_items"))
     common = F.size(F.array_intersect("a_items", "b_items"))
-    links = pairs.join(have("a"), "a").join(have("b"), "b").where(100 * common >= percent * (F.size("a_items") + F.size("b_items") - common)).select("a", "b")
+    links = pairs.join(have("a"), "sa").join(have("b"), "sb").where(100 * common >= percent * (F.size("a_items") + F.size("b_items") - common)).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
     links = scratch.write(links, "links")
 
     # 4: buckets still apart
     part = components(links, scratch)
-    held = slots.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    held = slots.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "sid", "rep", F.coalesce("component", "rep").alias("component"))
     held = scratch.write(held, "held")
     # aggregates are written before they are joined back: a join of two plain exchanges can split hot keys
-    open_ = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.min("doc_id").alias("first"))
+    open_ = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.min("sid").alias("first"))
     open_ = open_.where("lo < hi").groupBy("n", "x", "first").agg(F.min("bucket").alias("bucket"))  # equal buckets once
-    sizes = reps.select("doc_id", "n_shingles")
-    todo = scratch.write(held.join(scratch.write(open_.select("bucket"), "open"), "bucket").select("bucket", "doc_id").join(sizes, "doc_id"), "todo")
+    sizes = reps.select("sid", "n_shingles")
+    todo = scratch.write(held.join(scratch.write(open_.select("bucket"), "open"), "bucket").select("bucket", "sid", "rep").join(sizes, "sid"), "todo")
     weight = todo.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
     weight = weight.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    todo = todo.select("bucket", "doc_id").join(scratch.write(weight, "weight"), "bucket")
-    block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")
-    todo = todo.withColumn("block", block).select("bucket", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    todo = todo.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "doc_id")
-    todo = todo.join(sets, "doc_id").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    todo = todo.select("bucket", "sid", "rep").join(scratch.write(weight, "weight"), "bucket")
+    block = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks")).cast("int")
+    todo = todo.withColumn("block", block).select("bucket", "sid", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    todo = todo.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "sid", "rep")
+    todo = todo.join(sets, "sid").drop("sid").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "rep")
     more = scratch.write(todo.mapInArrow(_confirm_blocks(percent), "a long, b long"), "more")
 
     # 5: all links
@@ -271,6 +275,7 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
 
     Rows that share the kept doc_id stay; rows with a null doc_id stay if they lead their group.
     """
-    kept = near_duplicates(docs, percent, width).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    cond = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id"))
+    name = fresh("kept_id", docs)
+    kept = near_duplicates(docs, percent, width).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    cond = F.col("doc_id").cast("long").eqNullSafe(F.col(name))
     return docs.join(kept, cond, "left_semi")

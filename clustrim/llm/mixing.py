@@ -3,8 +3,8 @@
 Targets: sources in code point order (null last) weigh 5, 2, 1, repeating; a target stops at `limit`
 times its source's size and the excess is shared again by weight (a water level found by scalar
 aggregates).  Rates: the relative entropy of the mix, weighted by size, is least under the token
-constraints; Newton iterations solve its convex dual, one multiplier a source (the Hessian is diagonal),
-and documents are tilted by its exponential.  Rounding: every document takes the whole part of its rate;
+constraints; distributed Newton iterations solve its convex dual, one multiplier a value of each margin (the
+source, and others if they are given), and documents are tilted by its exponential.  Rounding: every document takes the whole part of its rate;
 one more copy goes to the documents that come first in hash order until the source's target is met as
 nearly as it can be; the place where that happens is found by two histograms of hash bins and an exact
 order inside one bin, so no source is ever gathered in one task.
@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, ranked
+from .common import Scratch, fresh, ranked
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Share of a target by which a constraint may be off, and steps after which that is an error.
+SETTLED, MAX_STEPS = 1e-11, 500
 #: Bits of the hash order, and of one histogram level.
 BITS, LEVEL = 52, 12
 
@@ -51,12 +53,40 @@ def targets(sizes: DataFrame, scratch: Scratch, weights=(5, 2, 1), limit: int =
     return src.select("skey", "source_size", F.least((limit * F.col("source_size")).cast("double"), F.col("w") * F.lit(float(level))).alias("target"))
 
 
-def rates(src: DataFrame, steps: int = 60) -> DataFrame:
-    """Adds rate = exp(multiplier): Newton on the dual sum(size * exp(m)) - target * m."""
-    s, t = F.col("source_size").cast("double"), F.col("target")
-    step = lambda m, _: m + F.least(F.lit(2.0), F.greatest(F.lit(-2.0), t / (s * F.exp(m)) - 1))
-    m = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
-    return src.withColumn("rate", F.when((s > 0) & (t > 0), F.exp(m)).otherwise(0.0))
+def balance(rows: DataFrame, margins: dict[str, DataFrame], scratch: Scratch) -> DataFrame:
+    """(margin columns, cell_size, rate): the tilt of every combination of margin values in `rows`.
+
+    rows: a column for each margin, size.  margins: column -> table (column, target).  Minimises the relative
+    entropy of the mix to the documents, weighted by size, under sum(size * rate) = target for each value of
+    each margin: rate = exp(sum of a document's multipliers), one multiplier a value.  Newton on the convex dual,
+    margin by margin: a document has one value of a margin, so the margin's block of the Hessian is diagonal, and
+    gradient and Hessian of a block are one Spark aggregate over the documents with their present rates.  It ends
+    when every constraint is met to SETTLED of its target.  Values of target 0 or without words have rate 0.
+    """
+    names = list(margins)
+    null = F.lit(None).cast("double")
+    tilt = {c: scratch.write(t.select(c, "target", F.when(F.col("target") > 0, 0.0).otherwise(null).alias("m")), f"tilt_{c}") for c, t in margins.items()}
+
+    def tilted(df: DataFrame) -> DataFrame:
+        for c in names:
+            df = df.join(tilt[c].select(c, F.col("m").alias(f"m_{c}")), c)
+        return df.withColumn("rate", F.coalesce(F.exp(sum((F.col(f"m_{c}") for c in names), F.lit(0.0))), F.lit(0.0)))
+
+    for _ in range(MAX_STEPS):
+        off = 0.0
+        for c in names:
+            now = tilted(rows).groupBy(c).agg(F.sum(F.col("size") * F.col("rate")).alias("mass"))  # the Hessian's diagonal; less the target, the gradient
+            step = F.least(F.lit(2.0), F.greatest(F.lit(-2.0), F.col("target") / F.col("mass") - 1))
+            far = F.abs(F.col("mass") - F.col("target")) / F.col("target")
+            new = tilt[c].join(now, c, "left").select(c, "target", F.when(F.col("mass") > 0, far).alias("far"), F.when(F.col("mass") > 0, F.when(far > SETTLED, F.col("m") + step).otherwise(F.col("m"))).alias("m"))
+            tilt[c] = scratch.write(new, f"tilt_{c}")
+            scratch.drop(f"tilt_{c}", keep=1)
+            off = max(off, tilt[c].agg(F.max("far")).first()[0] or 0.0)
+        if off <= SETTLED:
+            break
+    else:
+        raise RuntimeError("the multipliers did not settle; the targets may contradict each other")
+    return tilted(rows.groupBy(*names).agg(F.sum("size").alias("cell_size"))).select(*names, "cell_size", "rate")
 
 
 def source_key() -> Column:
@@ -69,7 +99,9 @@ def mix(docs: DataFrame, weights=(5, 2, 1), limit: int = 3) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = scratch.write(docs.select("doc_id", source_key().alias("skey"), size.alias("size"), hash_place("doc_id").alias("u")), "rows")
-    src = rates(targets(rows, scratch, weights, limit))
+    src = targets(rows, scratch, weights, limit)
+    rate = balance(rows, {"skey": src.select("skey", "target")}, scratch)
+    src = src.join(rate.drop("cell_size"), "skey")
     src = src.withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("need", F.col("target") - F.col("base") * F.col("source_size"))
     src = scratch.write(src, "rates")
 
@@ -103,6 +135,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), limit: int = 3) -> DataFrame:
 
 def take(docs: DataFrame, weights=(5, 2, 1), limit: int = 3) -> DataFrame:
     """`docs`, all columns, one row a copy taken, numbered from 1 in `copy` (which replaces such a column)."""
-    plan = mix(docs, weights, limit).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("skey").alias("__key"), F.col("copies").alias("__copies")).distinct()
-    found = docs.drop("copy").join(plan, docs["doc_id"].eqNullSafe(F.col("__id")) & (source_key() == F.col("__key")))
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__id", "__key", "__copies")
+    i, k, n = (fresh(c, docs) for c in ("mix_id", "mix_key", "mix_copies"))
+    plan = mix(docs, weights, limit).where("copies > 0").select(F.col("doc_id").alias(i), F.col("skey").alias(k), F.col("copies").alias(n)).distinct()
+    found = docs.drop("copy").join(plan, docs["doc_id"].eqNullSafe(F.col(i)) & (source_key() == F.col(k)))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).drop(i, k, n)

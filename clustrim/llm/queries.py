@@ -62,6 +62,21 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+SQL_SUFFIX = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+pieces AS (SELECT doc_id, n, a, substring(h, 2 * a + 1, 2 * (1024 + 399)) AS piece FROM (SELECT *, unnest(range(0, n - 399, 1024)) AS a FROM d WHERE n >= 400)),
+wins AS (SELECT doc_id, a + i AS s, hash(substring(piece, 2 * i + 1, 800)) AS win FROM (SELECT *, unnest(range(0, least(1024, n - 399 - a))) AS i FROM pieces)),
+again AS (SELECT doc_id, s FROM wins JOIN (SELECT win FROM wins GROUP BY win HAVING count(*) > 1) USING (win)),
+lead AS (SELECT doc_id, s, coalesce(s - lag(s) OVER w > 400, true) AS opens FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+spans AS (SELECT doc_id, min(s) AS b, max(s) + 400 AS e FROM (SELECT doc_id, s, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM lead) GROUP BY doc_id, g),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k FROM (
+         SELECT doc_id, e AS f, coalesce(lead(b) OVER (PARTITION BY doc_id ORDER BY b), n) AS t FROM spans JOIN d USING (doc_id)
+         UNION ALL SELECT doc_id, 0, min(b) FROM spans GROUP BY doc_id) JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, CASE WHEN n_removed IS NULL THEN h ELSE '' END))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 SQL_MINHASH = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
 sh AS MATERIALIZED (SELECT DISTINCT doc_id, hash(list_slice(words, s, s + 2)) AS h FROM (
@@ -106,6 +121,7 @@ QUERIES = {
 }
 SQL = {
     "op2_minhash_near_dedup": SQL_MINHASH,
+    "op6_suffix_array_dedup": SQL_SUFFIX,
     "op7_source_mixing": SQL_MIXING,
     "op8_substring_dedup": SQL_SUBSTRING,
     "op5_host_rank_filter": hostrank.sql(),

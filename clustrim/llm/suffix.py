@@ -30,6 +30,7 @@ different strings share one with probability 2^-64 a pair.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import EXCHANGE, PACKED, Scratch, bucket_of, buckets_for, byte_prefix, chunk, covered, dealt, entry_buckets, marked, pack, ranked, text_bytes, window_hash, with_marks
+from .common import EXCHANGE, PACKED, Scratch, bucket_of, buckets_for, byte_prefix, chunk, covered, dealt, entry_buckets, marked, pack, ranked, settings, text_bytes, window_hash, with_marks
 
 GRAM = 16
 #: Bytes of text whose anchors are found at once, and positions hashed at once within a longer text.
@@ -218,15 +219,15 @@ def ranks_by_doubling(first: DataFrame, g: Geometry, scratch: Scratch) -> list[D
         levels.append(new)
 
 
-def _at(levels: list[DataFrame], rows: DataFrame, count: str) -> DataFrame | None:
-    """`rows` (key, j, ...) with r1, r2: the ranks that together name the `count` anchors from j on, where both repeat."""
-    out = None
-    for t, level in enumerate(levels):
-        own = rows.where((F.col(count) >= 1 << t) & (F.col(count) < 2 << t)).withColumn("at", F.col("j") + F.col(count) - F.lit(1 << t))
-        r1, r2 = level.select("key", "j", F.col("rank").alias("r1")), level.select("key", F.col("j").alias("at"), F.col("rank").alias("r2"))
-        one = own.join(r1, ["key", "j"]).join(r2, ["key", "at"]).drop("at")
-        out = one if out is None else out.unionByName(one)
-    return out
+def _named(ranks: DataFrame, rows: DataFrame, count: str) -> DataFrame:
+    """`rows` (key, j, ...) with r1, r2: the ranks that together name the `count` anchors from j on, where both repeat.
+
+    ranks: (key, j, t, rank).  Both joins stay within the partitions by key of one exchange of either side.
+    """
+    rows = rows.withColumn("t", F.floor(F.log2(F.col(count) + 0.5)).cast("int")).withColumn("at", F.expr(f"j + {count} - shiftleft(1, t)"))
+    ranks = ranks.repartition("key")
+    r1, r2 = ranks.withColumnRenamed("rank", "r1"), ranks.select("key", F.col("j").alias("at"), "t", F.col("rank").alias("r2"))
+    return rows.repartition("key").join(r1, ["key", "j", "t"]).join(r2, ["key", "at", "t"]).drop("at", "t")
 
 
 def repeat_marks(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
@@ -235,20 +236,26 @@ def repeat_marks(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFr
     anchors = scratch.write(docs.mapInArrow(_anchors(g), _ANCHORS), "anchors")
     # aggregates are written before they are joined back: a join of two plain exchanges can split a hot rank
     seen = scratch.write(anchors.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "seen")
-    base = scratch.write(anchors.join(seen, "name").dropDuplicates(["key", "j"]), "base")
+    base = anchors.join(seen, "name")
+    if not docs.groupBy("key").count().where("count > 1").isEmpty():  # equal rows
+        base = base.dropDuplicates(["key", "j"])
+    base = scratch.write(base, "base")
     scratch.drop("anchors", "seen")
     levels = ranks_by_doubling(base.select("key", "j", "p", (F.col("p") + g.tail).alias("reach"), F.col("name").alias("rank")), g, scratch)
 
+    ranks = functools.reduce(DataFrame.unionByName, [x.select("key", "j", F.lit(t).alias("t"), "rank") for t, x in enumerate(levels)])
     runs = base.where("n > 0").select("key", "j", "f", "n", "c", "inner", "name", "left")
-    whole = scratch.write(_at(levels, runs.drop("inner"), "c"), "whole")
+    with settings(docs.sparkSession, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        whole = scratch.write(_named(ranks, runs.drop("inner"), "c"), "whole")
     kind = ["name", "c", "left", "r1", "r2"]
     classes = whole.groupBy(*kind).agg(F.count("*").alias("k"), F.min(F.struct("key", "f", "n")).alias("one")).where("k > 1")
     classes = scratch.write(classes.drop("k"), "classes")
     full = scratch.write(whole.join(classes.drop("one"), kind).select("key", "j", "f", "n"), "full")
     scratch.drop("whole")
 
-    part = _at(levels, runs.join(full.select("key", "j"), ["key", "j"], "left_anti"), "inner")
-    part = scratch.write(part.select("key", "f", "n", "name"), "part")
+    with settings(docs.sparkSession, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        part = _named(ranks, runs.join(full.select("key", "j"), ["key", "j"], "left_anti"), "inner")
+        part = scratch.write(part.select("key", "f", "n", "name"), "part")
     groups = part.select("name", F.lit(1).alias("u"), F.lit(0).alias("v")).unionByName(classes.select("name", F.lit(0).alias("u"), F.lit(1).alias("v")))
     groups = groups.groupBy("name").agg(F.sum("u").alias("u"), F.sum("v").alias("v")).where("u > 0 and u + v > 1").select("name")
     groups = scratch.write(groups, "groups")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -96,6 +97,60 @@ def test_quality_sample_is_bounded(spark, docs, monkeypatch):
     assert not quality.train(docs, labels).any()
 
 
+def ngrams_of(text):
+    """n-grams of a text and their values: words and shapes, single and in pairs."""
+    runs = lambda w: re.sub(r"(.)\1+", r"\1", "".join("A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" or ord(c) >= 128 else "0" if c.isdigit() else c for c in w))
+    w = text.split()
+    kinds = [[x.lower() for x in w], [runs(x) for x in w]]
+    grams = collections.Counter((k, (x,)) for k, ws in enumerate(kinds) for x in ws)
+    grams.update((k + 2, pair) for k, ws in enumerate(kinds) for pair in zip(ws, ws[1:], strict=False))
+    return {g: c * quality.SCALE / max(len(w), 1) for g, c in grams.items()}
+
+
+def bucket_of_gram(gram):
+    """Its weight's index, by the operator's hash of a text that holds this gram."""
+    kind, ws = gram
+    b, one = common.BASE, [int(common.hashes([(b"\\0" if kind % 2 else b"") + w.encode()])[0]) for w in ws]
+    h = one[0] if kind < 2 else (one[0] * b + one[1]) % 2**64
+    return int(common.mix(np.array([(h * b + kind) % 2**64], np.uint64))[0]) >> (64 - quality.BUCKET_BITS)
+
+
+def test_quality_scores_by_brute_force(spark):
+    """The query's training and scores, n-gram by n-gram with plain FTRL formulas."""
+    texts = {k: " ".join(f"{w}{k % 7}" if j % 5 == 0 else w for j, w in enumerate(prose(12 + k % 9, 300 + k).split())) + (" Buy now!!! 99" if k % 3 == 0 else " Dr. Who") for k in range(40)}
+    labels = {k: int(k % 3 != 0) for k in range(30)}
+    spread = {k: collections.Counter() for k in texts}
+    for k, t in texts.items():
+        for g, v in ngrams_of(t).items():
+            spread[k][bucket_of_gram(g)] += v
+    learn = sorted(k for k in labels if zlib.crc32(str(k).encode()) % 4 != 2)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    bias = 1 << quality.BUCKET_BITS
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    def chance(row):
+        return 1 / (1 + math.exp(-(sum(weight(i) * v for i, v in row.items()) + weight(bias))))
+
+    order = np.random.default_rng(7)
+    for _ in range(quality.EPOCHS):
+        for k in order.permutation(len(learn)):
+            row = spread[learn[k]]
+            miss = chance(row) - labels[learn[k]]
+            for i, v in [*row.items(), (bias, 1.0)]:
+                g = miss * v
+                w, move = weight(i), (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+                z[i] += g - move * w
+                n[i] += g * g
+    got = quality.judge(table(spark, sorted(texts.items())), spark.createDataFrame(sorted(labels.items()), "doc_id long, quality int")).collect()
+    for r in got:
+        assert math.isclose(r["score"], chance(spread[r["doc_id"]]), rel_tol=1e-4)
+    assert len(got) == 40 and max(r["score"] for r in got) > 0.7 > min(r["score"] for r in got)
+
+
 def test_quality_held_out_accuracy(spark):
     got = queries.op1_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (got.predicted == got.quality).mean() > 0.9
@@ -150,6 +205,29 @@ def test_near_copies_that_link_only_through_their_base(spark, monkeypatch):
     assert near_got(table(spark, data), 3, 85) == want and len({x[2] for x in want}) < 30
 
 
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_near_duplicates_find_every_link(spark, width, percent):
+    """Copies with random word edits, many just above the threshold: all pairs by brute force."""
+    data = []
+    for k in range(60):
+        base = prose(80 + 5 * k, 400 + k).split()
+        data.append((7 * k, " ".join(base)))
+        for j in range(1, 6):
+            r, w = random.Random(97 * k + j), list(base)
+            for _ in range(j * len(w) // 200 + 1):
+                w[r.randrange(len(w))] = f"q{r.randrange(9)}"
+            data.append((7 * k + j, " ".join(w)))
+    want = near_brute(data, width, percent)
+    assert near_got(table(spark, data), width, percent) == want and 60 < sum(r[3] for r in want) < 250
+
+
+def test_near_duplicates_link_every_version_of_a_document(spark):
+    a, b = prose(60, 61), prose(60, 62)
+    data = [(5, a), (5, b), (7, a + " x"), (9, b + " y"), (None, a), (None, prose(60, 63))]
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(table(spark, data), 85, 3).collect()}
+    assert got == {(5, None), (7, None), (9, None), (None, None)}
+
+
 def test_components(spark):
     e = [(k, k + 1) for k in range(200)] + [(900, 500), (500, 700), (1000, 1000)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(e, "a long, b long"), Scratch(spark)).collect()))
@@ -180,6 +258,57 @@ def test_fingerprints(docs, none, spark):
     assert one["near_next"] == 1.0
 
 
+def plain_walk(text):
+    """Digits of one walk at its sampled steps, character by character."""
+    steps, _ = editprint.sample_steps(3 * len(text) + 64 if text else 0)
+    at, out, k = 0, {}, 0
+    for j in range(3 * len(text) + 64):
+        if at >= len(text):
+            break
+        c = ord(text[at]) if text[at] != "\0" else ord(" ")
+        c = 1 + int(common.mix(np.array([c * common.BASE % 2**64], np.uint64))[0]) % 255
+        if k < len(steps) and steps[k] == j:
+            out[j] = int(editprint._DIGIT[k & 1023][c])
+            k += 1
+        at += int(editprint._MOVE[j % editprint.PERIOD][c])
+    return out
+
+
+def plain_likeness(a, b):
+    steps, weights = editprint.sample_steps(1 << 20)
+    w = dict(zip(steps.tolist(), weights.tolist(), strict=True))
+    total = sum(w[j] for j in {*a, *b})
+    if not total:
+        return 1.0
+    both = [j for j in a if j in b]
+    same = sum(w[j] for j in both if a[j] == b[j])
+    return min(1.0, max(0.0, (same - sum(w[j] for j in both) / 16) * 16 / 15 / total))
+
+
+def test_fingerprints_by_brute_force(spark):
+    data = [(k, prose(3 + 17 * k, 500 + k)) for k in range(8)] + [(20, "é"), (21, ""), (22, None), (23, "a\0b"), (None, "zz top")]
+    got = {r["doc_id"]: r for r in editprint.digest(table(spark, data)).collect()}
+    order = sorted(((i if i is not None else -1, t or "") for i, t in data), reverse=True)
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        own, new, r = plain_walk(t), plain_walk(edited), got[i if i >= 0 else None]
+        assert r["fingerprint"] == "".join(f"{d:x}" for d in own.values()) and r["edited_fingerprint"] == "".join(f"{d:x}" for d in new.values())
+        assert math.isclose(r["near_edited"], plain_likeness(own, new), abs_tol=1e-9) and math.isclose(r["near_next"], plain_likeness(own, plain_walk(nxt)), abs_tol=1e-9)
+
+
+def test_one_doc_id_over_several_ranges(spark):
+    """A doc_id that holds most rows, with other texts: every row has its next one."""
+    data = [(7, prose(4, k)) for k in range(400)] + [(1, "first"), (9, "last")]
+    got = editprint.digest(table(spark, data).repartition(5)).collect()
+    assert len(got) == 402
+    edits = collections.Counter(r["edited_sha256"] for r in got)
+    by_hash = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in data], "t string").selectExpr("t", "xxhash64(t) h").collect()}
+    order = [t for _, t in sorted(data, key=lambda x: (x[0], by_hash[x[1]]), reverse=True)]
+    want = collections.Counter(hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % 402][: len(t) // 2]).encode()).hexdigest() for k, t in enumerate(order))
+    assert edits == want
+
+
 def test_walks_do_not_depend_on_their_batch():
     texts = [prose(n, n) for n in (3, 50, 700)] + ["", "x"]
     m, w = editprint.prints(texts)
@@ -460,6 +589,41 @@ def test_byte_repeats_brute(spark, none):
     assert suffix.digest(none).count() == 0
 
 
+def test_byte_repeats_versions_of_a_document(spark):
+    """Rows of one doc_id with other texts are documents of their own; rows equal in both are one."""
+    a, b = prose(200, 77), prose(200, 78)
+    data = [(1, a), (1, b), (1, b), (2, b[:500]), (None, a[100:700])]
+    got = rows(suffix.digest(table(spark, data)))
+    want = bytes_brute(dict(enumerate(t.encode() for t in (a, b, b[:500], a[100:700]))), 400)
+    fixed = [(1, *want[0][1:]), (1, *want[1][1:]), (1, *want[1][1:]), (2, *want[2][1:]), (None, *want[3][1:])]
+    assert got == sorted(fixed, key=lambda r: (r[0] is not None, r))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_byte_repeats_of_pasted_passages(spark, seed, monkeypatch):
+    """Passages of all lengths about the threshold, pasted into each other at random."""
+    r = random.Random(seed)
+    pool = [prose(r.randint(40, 300), 600 + 10 * seed + k) for k in range(5)]
+    data = []
+    for k in range(60):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            p = r.choice(pool)
+            a = r.randrange(len(p))
+            parts += [p[a : a + r.choice([395, 399, 400, 401, 450, 900])], r.choice(["", "#", prose(9, r.randrange(99))])]
+        data.append((k, "".join(parts)))
+    monkeypatch.setattr(suffix, "FLUSH_BYTES", 5000)
+    assert rows(suffix.digest(table(spark, data).repartition(4))) == bytes_brute({i: t.encode() for i, t in data}, 400)
+
+
+def test_picks_do_not_depend_on_segments(monkeypatch):
+    g, texts = suffix.Geometry(400), [prose(900, 1).encode(), b"x" * 700, b"ab" * 400, prose(80, 2).encode()[:400]]
+    ends, raw = np.cumsum([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8)
+    want = suffix.picks(raw, ends, g)
+    monkeypatch.setattr(suffix, "SEGMENT", 333)
+    assert all(np.array_equal(a, b) for a, b in zip(want, suffix.picks(raw, ends, g), strict=True))
+
+
 def words_brute(data, length):
     first, later = {}, collections.defaultdict(set)
     for i, t in sorted(data.items(), key=lambda x: -1 if x[0] is None else x[0]):
@@ -514,9 +678,78 @@ def test_mixing(spark, docs, none):
     assert taken.columns == [*docs.columns, "copy"]
 
 
+def test_balance_with_two_margins(spark):
+    """Rates that meet the targets of two margins at once, against iterative scaling in NumPy."""
+    r = random.Random(4)
+    data = [(r.choice("abc"), r.choice("xy"), r.randint(1, 50)) for _ in range(400)] + [("d", "x", 0)]
+    cell = collections.Counter()
+    for a, b, size in data:
+        cell[a, b] += size
+    total = sum(cell.values())
+    want = {"p": {"a": 0.5 * total, "b": 0.3 * total, "c": 0.2 * total, "d": 0.0}, "q": {"x": 0.7 * total, "y": 0.3 * total}}
+    rate = {k: 1.0 for k in cell}
+    for _ in range(500):
+        for side, name in ((0, "p"), (1, "q")):
+            mass = collections.Counter()
+            for k, v in cell.items():
+                mass[k[side]] += v * rate[k]
+            rate = {k: v * (want[name][k[side]] / mass[k[side]] if mass[k[side]] else 0) for k, v in rate.items()}
+    margins = {n: spark.createDataFrame(list(t.items()), f"{n} string, target double") for n, t in want.items()}
+    got = {(x["p"], x["q"]): x["rate"] for x in mixing.balance(spark.createDataFrame(data, "p string, q string, size long"), margins, Scratch(spark)).collect()}
+    assert set(got) == set(cell) and all(math.isclose(got[k], rate[k], rel_tol=1e-6, abs_tol=1e-12) for k in cell)
+    with pytest.raises(RuntimeError):
+        off = margins | {"q": spark.createDataFrame([("x", 1.0), ("y", 1.0)], "q string, target double")}
+        mixing.MAX_STEPS, old = 30, mixing.MAX_STEPS
+        try:
+            mixing.balance(spark.createDataFrame(data, "p string, q string, size long"), off, Scratch(spark))
+        finally:
+            mixing.MAX_STEPS = old
+
+
 # --- 9
 
 
+def test_leaks_by_brute_force(spark):
+    """The query's rows against every passage at every place, by plain edit distance."""
+    r = random.Random(8)
+    items = [(k, prose(n, 700 + k)) for k, n in enumerate((3, 6, 12, 17, 20))] + [(None, "one two"), (9, ""), (10, None), (-1, prose(5, 3))]
+    data = []
+    for k in range(24):
+        item = r.choice(items[:5])[1]
+        a = r.randrange(0, max(1, len(item) // 3))
+        data.append((k, prose(8, k) + " " + edits(item[a:], r.randrange(0, 8), k).upper() + "\n" + prose(7, 90 + k)))
+    data += [(30, "xx one\tTWO yy"), (31, "xone two"), (32, None), (33, "")]
+    plain = lambda t: " ".join((t or "").lower().split())
+    want = {}
+    for d, t in data:
+        for i, x in items:
+            w = plain(x).split()
+            whole = [" ".join(w)] if w else []
+            parts = whole if len(w) <= 16 else whole + [" ".join(w[a : a + 16]) for a in range(len(w) - 15)]
+            for p in set(parts):
+                if len(w) < 5:
+                    best, k = (0 if f" {p} " in f" {plain(t)} " else 1), 0
+                else:
+                    best, k = substring_distance(p, plain(t)), int(len(p) * 0.05)
+                if best <= k:
+                    n, low = want.get((d, i), (0, 99))
+                    want[d, i] = (n + 1, min(low, best))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["n_passages"], x["distance"]) for x in leak.leaks(table(spark, data), bench).collect()}
+    assert got == want and len(want) > 5 and (30, None) in want and (31, None) not in want
+
+
+def substring_distance(p, t):
+    """Least edit distance of p to any substring of t."""
+    row = [0] * (len(t) + 1)
+    for i, x in enumerate(p, 1):
+        new = [i]
+        for j, y in enumerate(t, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
 def test_leaks(spark, docs, none):
     item = prose(30, 70)
     half = " ".join(item.split()[4:26])
@@ -569,6 +802,30 @@ def test_scan_finds_every_template_anywhere(spark):
     assert {(k, n) for k, (n, _) in enumerate(licenses.TEMPLATES * 3)} <= got
 
 
+def test_scan_misses_no_window_that_holds_a_template(spark):
+    """Templates with words changed, near the 0.8: what verification over all windows finds, retrieval finds."""
+    assert all(licenses.least_similarity(t) >= 0.5 for _, t in licenses.TEMPLATES)
+    r, data = random.Random(12), []
+    for k in range(150):
+        name, t = licenses.TEMPLATES[k % len(licenses.TEMPLATES)]
+        w = t.split()
+        for _ in range(r.randrange(0, 1 + len(w) // 25)):
+            w[r.randrange(len(w))] = "foo"
+        data.append((k, prose(r.randrange(30), k) + " " + " ".join(w) + " " + prose(r.randrange(30), k + 500)))
+    want = set()
+    grams = lambda w: {tuple(w[a : a + 5]) for a in range(len(w) - 4)}
+    for k, text in data:
+        w = licenses.words_of(text)
+        for name, t in licenses.TEMPLATES:
+            m = len(licenses.words_of(t))
+            size, step = licenses.geometry(m)
+            last, g = max(len(w) - size, 0), grams(licenses.words_of(t))
+            if any(len(g & grams(w[a : a + size])) >= 0.8 * len(g) for a in {*range(0, last + 1, step), last}):
+                want.add((k, name))
+    got = {(x["doc_id"], x["license"]) for x in licenses.scan(table(spark, data)).collect()}
+    assert got == want and len(want) > 100
+
+
 def test_leaks_whole_items_and_parts_off_the_grid(spark):
     r = random.Random(90)
     item = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(38)]
