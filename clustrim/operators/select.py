@@ -70,8 +70,7 @@ def ranked(df: DataFrame, by: list[str], name: str = "rank") -> DataFrame:
 
     A range sort numbers the rows of each partition; only one row a partition meets in one task.
     """
-    spark = df.sparkSession
-    df = Scratch(spark).write(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("pid", F.spark_partition_id()), "ranked")
+    df = Scratch(df.sparkSession).write(df.repartitionByRange(*by).withColumn("pid", F.spark_partition_id()), "ranked")
     sizes = df.groupBy("pid").count().withColumn("before", F.sum("count").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)))
     own = F.row_number().over(Window.partitionBy("pid").orderBy(*by)) - 1
     return df.withColumn("own", own).join(sizes.select("pid", F.coalesce("before", F.lit(0)).alias("before")), "pid").withColumn(name, F.col("own") + F.col("before")).drop("pid", "own", "before")

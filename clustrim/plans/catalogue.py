@@ -13,9 +13,11 @@ from ..functions import columns as C
 from ..operators import assign as A
 from ..operators import metrics as M
 from ..operators import neighbours as N
-from ..operators import prep, sampling
+from ..operators import prep, sampling, select
 from ..sources import points as src
+from ..sources import solution
 from . import grid, report
+from . import solver_sql as Q
 from . import solvers as V
 
 SEED = 42
@@ -123,10 +125,9 @@ def dist_lp3(spark, sf_dir):
     return _anchored(spark, sf_dir, lambda a, b: C.lp(a, b, 3.0))
 
 
-@query(f"WITH {P_SQL}, a AS (SELECT x0 AS y0, x1 AS y1 FROM p ORDER BY {_u('minmax')}, id LIMIT 32), d AS (SELECT (x0 - y0) * (x0 - y0) + (x1 - y1) * (x1 - y1) AS d2 FROM p, a) SELECT sqrt(min(d2)) AS min_d, sqrt(max(d2)) AS max_d FROM d WHERE d2 > 0")
+@query(f"WITH {P_SQL}, a AS (SELECT x0 AS y0, x1 AS y1 FROM p ORDER BY {_u('minmax')}, id LIMIT 10000), d AS (SELECT (x0 - y0) * (x0 - y0) + (x1 - y1) * (x1 - y1) AS d2 FROM p, a) SELECT sqrt(min(d2)) AS min_d, sqrt(max(d2)) AS max_d FROM d WHERE d2 > 0")
 def minmax_dist(spark, sf_dir):
-    """Least and largest non-zero distance from 32 hash-drawn anchors, as the SQL says; the operator's default is 10,000."""
-    return N.minmax(src.parts(spark, sf_dir), 32, SEED)
+    return N.minmax(src.parts(spark, sf_dir), seed=SEED)
 
 
 @query(f"WITH {P_SQL}, {_near(P5, 'p')} SELECT id, cluster, d2 FROM a")
@@ -379,39 +380,132 @@ def recall_slices(spark, sf_dir):
     return a.select("id", F.floor((F.row_number().over(Window.orderBy("d2", "id")) - 1) / 3).cast("int").alias("slice"))
 
 
-def _solved(name, view, k, z, **options):
+K = 3
+
+
+def _solved(name, **options):
     def run(spark, sf_dir):
-        points = view(spark, sf_dir).select("id", "x").persist()
-        s = V.SOLVERS[name](**options).run(points, k, z)
-        return s.assignments
+        points = src.parts(spark, sf_dir).select("id", "x").persist()
+        s = V.SOLVERS[name](**options).run(points, K, Z)
+        return s.assignments.select("id", "cluster", F.round("d2", 4).alias("d2"), "is_outlier")
 
     return run
 
 
-for _key, _name, _options in [
-    ("random", "Random", {}),
-    ("kmeanspp", "KMeans++", {}),
-    ("kmeansmm", "KMeans--", {}),
-    ("okmeans", "OKMeans", {}),
-    ("okmeans2", "OKMeans2", {}),
-    ("okmeans_fixed", "OKMeansBad", {}),
-    ("okmeans_uncapped", "OKMeansFAISS", {}),
-    ("okmeans2_uncapped", "OKMeans2FAISS", {}),
-    ("okmeans_fixed_uncapped", "OKMeansBadFAISS", {}),
-    ("nkmeans", "NKMeans", {"iters": 2, "lo": 2}),
-    ("robust_kmeanspp", "RobustKMeans++", {"delta": 0.2}),
-    ("ikmeans", "IKMeans", {}),
-    ("tikmeans", "TIKMeans", {}),
-    ("coreset_kmeanspp", "CoresetKMeans++", {"size": 500}),
-    ("coreset_okmeans", "CoresetOKMeans", {"size": 500}),
-    ("coreset_okmeans2", "CoresetOKMeans2", {"size": 500}),
-    ("coreset_okmeans_uncapped", "CoresetOKMeansFAISS", {"size": 500}),
-    ("coreset_okmeans2_uncapped", "CoresetOKMeans2FAISS", {"size": 500}),
-    ("coreset_okmeans_fixed", "CoresetOKMeansBadFAISS", {"size": 500}),
-    ("coreset_nkmeans", "CoresetNKMeans", {"size": 500}),
-    ("coreset_nkmeans_uncapped", "CoresetNKMeansFAISS", {"size": 500}),
-]:
-    QUERIES[_key] = _solved(_name, src.parts, 3, Z, **_options)
+_GUESSES = sampling.opt_guesses()
+#: First the outliers go, then k-means++ on the rest.
+_PLUS = lambda view: [*Q.d2_seeds(view, K, "c"), *Q.lloyd(view, "c", "fin")]
+_RADIUS = lambda k: [*Q.detected(Z, f"SELECT id, d AS score FROM nk WHERE rank = {k}"), *_PLUS("rest")]
+_BAND = lambda c: [*Q.detected(Z, f"SELECT id, sum(d) AS score FROM nk WHERE rank > {Z} AND rank <= {int(c * Z)} GROUP BY id"), *_PLUS("rest")]
+
+
+def _heavy(iters: int) -> list[str]:
+    runs = [SEED + 31 * r for r in range(iters)]
+    return [*Q.heavy_balls(Z, K, _GUESSES[:6]), *Q.d2_seeds("rest", K, "c", runs), *Q.lloyd("rest", "c", "runs"), "fin AS MATERIALIZED (SELECT * FROM runs WHERE run = (SELECT run FROM runs ORDER BY cost, run LIMIT 1))"]
+
+
+#: Query -> preset of plans.solvers, options, SQL of its centres.  Coresets have their default size, 20,000: up to
+#: that many points they are the whole table, which the SQL takes; smaller ones are tested apart.
+_SOLVERS = {
+    "random": ("Random", {}, Q.uniform_seeds("p", K, "fin")),
+    "kmeanspp": ("KMeans++", {}, _PLUS("p")),
+    "kmeansmm": ("KMeans--", {}, [*Q.d2_seeds("p", K, "c"), *Q.lloyd("p", "c", "fin", trim=Z)]),
+    "okmeans": ("OKMeans", {}, _RADIUS(2 * Z)),
+    "okmeans2": ("OKMeans2", {}, _BAND(2)),
+    "okmeans_fixed": ("OKMeansBad", {}, _RADIUS(10)),
+    "okmeans_uncapped": ("OKMeansFAISS", {}, _RADIUS(2 * Z)),
+    "okmeans2_uncapped": ("OKMeans2FAISS", {}, _BAND(2)),
+    "okmeans_fixed_uncapped": ("OKMeansBadFAISS", {}, _RADIUS(10)),
+    "nkmeans": ("NKMeans", {}, _heavy(10)),
+    "nkmeans_uncapped": ("NKMeansFAISS", {}, _heavy(10)),
+    "robust_kmeanspp": ("RobustKMeans++", {"delta": 0.2}, [*Q.mixed_rounds(K, 0.2), *Q.weighed(Z), *Q.candidate_lloyd(K)]),
+    "ikmeans": ("IKMeans", {}, [*Q.capped_rounds(Z, K, 0.5, 1.5), *Q.weighed(30), *Q.candidate_lloyd(K)]),
+    "tikmeans": ("TIKMeans", {}, [*Q.capped_rounds(Z, K, 0.25, 1.5), *Q.weighed(30), *Q.reduction(Z, K, 0.5, _GUESSES)]),
+    "coreset_kmeanspp": ("CoresetKMeans++", {}, _PLUS("p")),
+    "coreset_okmeans": ("CoresetOKMeans", {}, _RADIUS(2 * Z)),
+    "coreset_okmeans2": ("CoresetOKMeans2", {}, _BAND(2)),
+    "coreset_okmeans_uncapped": ("CoresetOKMeansFAISS", {}, _RADIUS(2 * Z)),
+    "coreset_okmeans2_uncapped": ("CoresetOKMeans2FAISS", {}, _BAND(2)),
+    "coreset_okmeans_fixed": ("CoresetOKMeansBadFAISS", {}, _RADIUS(10)),
+    "coreset_nkmeans": ("CoresetNKMeans", {}, _heavy(3)),
+    "coreset_nkmeans_uncapped": ("CoresetNKMeansFAISS", {}, _heavy(3)),
+}
+for _key, (_name, _options, _parts) in _SOLVERS.items():
+    QUERIES[_key] = _solved(_name, **_options)
+    SQL[_key] = Q.query(P_SQL, _parts, "fin", Z)
+
+
+@query(f"WITH RECURSIVE {', '.join([P_SQL, *Q.capped_rounds(Z, K, 0.25, 1.5), *Q.weighed(30)])} SELECT cand.id, coalesce(n, 0)::BIGINT AS n_inliers, coalesce(m, 0)::BIGINT AS n_excluded FROM cand LEFT JOIN (SELECT cluster, count(*) FILTER (NOT far) AS n, count(*) FILTER (far) AS m FROM near GROUP BY cluster) USING (cluster)")
+def reduction_candidates(spark, sf_dir):
+    """The candidates of centre reduction, with the points and the excluded points nearest to each."""
+    ids, _, w, slices, _, _ = V.TIKMeans().plan(src.parts(spark, sf_dir).select("id", "x").persist(), K, Z, SEED)
+    far: dict[int, int] = {}
+    for (_, c), m in slices.items():
+        far[c] = far.get(c, 0) + m
+    return spark.createDataFrame([(i, int(w[c]), far.get(c, 0)) for c, i in enumerate(ids)], "id long, n_inliers long, n_excluded long")
+
+
+@query(f"WITH {P_SQL}, y AS MATERIALIZED (SELECT x0, x1 FROM p ORDER BY {_u('uar')}, id LIMIT 3), y2 AS MATERIALIZED (SELECT x0, x1 FROM p ORDER BY {_u('more')}, id LIMIT 2) SELECT id, least((SELECT min((p.x0 - y.x0) * (p.x0 - y.x0) + (p.x1 - y.x1) * (p.x1 - y.x1)) FROM y), (SELECT min((p.x0 - y2.x0) * (p.x0 - y2.x0) + (p.x1 - y2.x1) * (p.x1 - y2.x1)) FROM y2)) AS d2 FROM p")
+def incremental_distance(spark, sf_dir):
+    """Squared distances to three centres, updated by two more."""
+    p = src.parts(spark, sf_dir)
+    reach = A.Reach(p)
+    reach.add(sampling.uniform_seeds(p, 3, SEED))
+    return reach.add(sampling.uniform_seeds(p, 2, SEED, "more")).select("id", "d2")
+
+
+@query(f"WITH {E_SQL}, y AS MATERIALIZED (SELECT x AS y FROM e ORDER BY id LIMIT 7) SELECT id, round(sqrt(min(list_sum(list_transform(list_zip(x, y), lambda v: (v[1] - v[2]) * (v[1] - v[2]))))), 5) AS d FROM e, y GROUP BY id")
+def dist_to_list(spark, sf_dir):
+    """Distance to the nearest point of a list."""
+    e = src.embeddings(spark, sf_dir)
+    return A.nearest_distance(e, [r["x"] for r in e.orderBy("id").limit(7).collect()], False).select("id", F.round("d", 5).alias("d"))
+
+
+@query(f"WITH {E_SQL} SELECT a.id, count(*) AS n FROM e a, e b WHERE list_sum(list_transform(list_zip(a.x, b.x), lambda v: (v[1] - v[2]) * (v[1] - v[2]))) <= 1.21 GROUP BY a.id")
+def ball_count_wide(spark, sf_dir):
+    """Ball counts in 64 dimensions."""
+    return N.ball_counts(src.embeddings(spark, sf_dir), 1.1)
+
+
+@query(f"WITH {P_SQL}, {_near(P5, 'p')}, {_TOP} SELECT cluster, list(id ORDER BY id)::VARCHAR AS ids FROM t WHERE NOT is_outlier GROUP BY cluster")
+def cluster_members(spark, sf_dir):
+    got = solution.member_lists(A.finish(src.parts(spark, sf_dir), P5, Z))
+    return got.select("cluster", F.concat(F.lit("["), F.array_join("ids", ", "), F.lit("]")).alias("ids"))
+
+
+@query(f"WITH {P_SQL} SELECT * EXCLUDE (label) FROM p WHERE id IN (SELECT id FROM p WHERE id % 7 = 3) AND id IN (SELECT id FROM p ORDER BY id LIMIT 500)")
+def points_by_id(spark, sf_dir):
+    """The first 500 points, and of these those whose id is on a list."""
+    p = src.parts(spark, sf_dir)
+    return _x(prep.by_ids(prep.first_rows(p, 500), p.where("id % 7 = 3").select("id")), 2).drop("label")
+
+
+@query(f"WITH {P_SQL}, {_near(P5, 'p')}, {_TOP} SELECT id, cluster, round(d2, 6) AS d2, is_outlier FROM t")
+def solution_round_trip(spark, sf_dir):
+    """A solution written and read back."""
+    path = f"{select.Scratch(spark).base}/solution"
+    solution.write_solution(A.finish(src.parts(spark, sf_dir).drop("label"), P5, Z), path)
+    return solution.read_solution(spark, path).assignments.select("id", "cluster", F.round("d2", 6).alias("d2"), "is_outlier")
+
+
+_Z2 = "s AS (SELECT avg(x0) AS m0, stddev_pop(x0) AS s0, avg(x1) AS m1, stddev_pop(x1) AS s1 FROM p)"
+
+
+@query(f"WITH {P_SQL}, {_Z2}, c AS (SELECT label, row_number() OVER (ORDER BY count(*), label) <= 2 AS is_outlier FROM p GROUP BY label) SELECT id, round((x0 - m0) / s0, 6) AS x0, round((x1 - m1) / s1, 6) AS x1, label, is_outlier FROM p JOIN c USING (label), s")
+def prepare_by_class(spark, sf_dir):
+    """z-scores, then the two smallest classes as outliers; written as a points table and read back."""
+    path = f"{select.Scratch(spark).base}/points"
+    src.write_points(prep.prepared(src.parts(spark, sf_dir), smallest=2), path)
+    p = src.read_points(spark, path)
+    return p.select("id", F.round(F.col("x")[0], 6).alias("x0"), F.round(F.col("x")[1], 6).alias("x1"), "label", "is_outlier")
+
+
+@query(f"WITH {P_SQL}, {_Z2}, n AS (SELECT count(*) // 100 AS m, max(id) AS last FROM p), i AS (SELECT last + unnest(range(1, m + 1)) AS id FROM n) SELECT id, round((x0 - m0) / s0, 6) AS x0, round((x1 - m1) / s1, 6) AS x1, label, false AS is_outlier FROM p, s UNION ALL SELECT id, round({_u('x0')} * 20.0 - 10.0, 6), round({_u('x1')} * 20.0 - 10.0, 6), '-1', true FROM i")
+def prepare_by_injection(spark, sf_dir):
+    """z-scores, then injected outliers."""
+    p = prep.prepared(src.parts(spark, sf_dir), xi=10.0)
+    return p.select("id", F.round(F.col("x")[0], 6).alias("x0"), F.round(F.col("x")[1], 6).alias("x1"), "label", "is_outlier")
+
 
 # --- harness and reports ----------------------------------------------------------------------
 
@@ -426,12 +520,9 @@ def task_grid(spark, sf_dir):
     return grid.task_grid(spark)
 
 
-_SWEPT = ["OKMeansBadFAISS", "OKMeansFAISS", "OKMeans2FAISS"]
-
-
-@query(f"WITH d(i, dataset) AS (VALUES {_values(list(enumerate(x[0] for x in grid.DATASETS)))}), a(j, algorithm) AS (VALUES {_values(list(enumerate(_SWEPT)))}), f(c) AS (VALUES {_values([(c,) for c in grid.FACTORS])}) SELECT dataset, algorithm, c, s::INTEGER AS seed, (row_number() OVER (ORDER BY i, j, c, s) - 1)::INTEGER AS task_id FROM d, a, f, (SELECT unnest(range(10)) AS s)")
+@query(f"WITH d(i, dataset) AS (VALUES {_values(list(enumerate(x[0] for x in grid.DATASETS)))}), a(j, algorithm) AS (VALUES {_values(list(enumerate(grid.SWEPT)))}), f(c) AS (VALUES {_values([(c,) for c in grid.FACTORS])}) SELECT dataset, algorithm, c, s::INTEGER AS seed, (row_number() OVER (ORDER BY i, j, c, s) - 1)::INTEGER AS task_id FROM d, a, f, (SELECT unnest(range(10)) AS s)")
 def param_grid(spark, sf_dir):
-    return grid.task_grid(spark, algorithms=_SWEPT, factors=grid.FACTORS)
+    return grid.task_grid(spark, algorithms=grid.SWEPT, factors=grid.FACTORS)
 
 
 @query(
@@ -442,31 +533,27 @@ def resource_plan(spark, sf_dir):
     return grid.resource_plan(spark)
 
 
-#: A small result table: task_id, dataset, algorithm, c, seed, status, dataset_size, cost, recall, precision, f1, ari, nmi, time_s.
-_ROWS = [
-    (t, d, a, c, s, st, n, cost, rec, pre, f1, ari_, nmi_, sec)
-    for t, (d, a, c, s, st, n, cost, rec, pre, f1, ari_, nmi_, sec) in enumerate(
-        [
-            ("A", "u", 3, 0, "completed", 100, 1.0, 0.5, 0.5, 0.5, 0.25, None, 2.0),
-            ("A", "u", 3, 1, "completed", 100, 3.0, 0.75, 0.5, 0.6, None, None, 4.0),
-            ("A", "v", 3, 0, "completed", 100, 2.0, 1.0, 1.0, 1.0, 0.5, 0.5, 1.0),
-            ("A", "v", 5, 1, "error", 100, None, None, None, None, None, None, None),
-            ("B", "u", 3, 0, "timeout", 900, None, None, None, None, None, None, None),
-            ("B", "u", 5, 1, "error", 900, None, None, None, None, None, None, None),
-            ("B", "v", 5, 0, "completed", 900, 8.0, 0.25, 0.5, 0.3, 0.75, 0.5, 16.0),
-            ("B", "v", 5, 1, "completed", 900, 8.0, 0.5, 0.5, 0.5, 0.75, 0.25, 8.0),
-            ("C", "u", 3, 0, "completed", 400, 5.0, 0.5, 0.25, 0.3, 0.5, 0.5, 3.0),
-            ("C", "v", 3, 0, "skipped", 400, None, None, None, None, None, None, None),
-        ]
+_DATASETS, _ALGORITHMS = [x[0] for x in grid.DATASETS], [x[0] for x in grid.PRESETS]
+_LIST = lambda xs: "[" + ", ".join(repr(x) for x in xs) + "]"
+#: Result records made of `orders`: every order is a run; one pair never ran, one never completed.
+_RESULT_SQL = f"""o AS (SELECT o_orderkey::INTEGER AS task_id, {_LIST(_DATASETS)}[1 + o_orderkey % 6] AS dataset, {_LIST(_ALGORITHMS)}[1 + o_custkey % 10] AS algorithm, {_LIST(grid.FACTORS)}[1 + o_orderkey % 7]::INTEGER AS c,
+  CASE WHEN o_orderstatus = 'P' THEN ['timeout', 'error', 'skipped', 'skipped_timeout'][1 + o_custkey % 4] WHEN o_orderkey % 6 = 5 AND o_custkey % 10 = 7 THEN 'error' ELSE 'completed' END AS status, (1 + o_orderkey % 6) * 1000 AS dataset_size, o_totalprice / 1000.0::DOUBLE AS cost,
+  (o_custkey % 101) / 100.0::DOUBLE AS recall, (o_custkey % 51) / 50.0::DOUBLE AS precision, (o_custkey % 21) / 20.0::DOUBLE AS f1, CASE WHEN o_orderkey % 5 > 0 THEN (o_custkey % 11) / 10.0::DOUBLE END AS ari, CASE WHEN o_orderkey % 7 > 0 THEN (o_custkey % 13) / 12.0::DOUBLE END AS nmi, (o_custkey % 977) / 10.0::DOUBLE AS time_s,
+  CASE WHEN o_orderkey % 3 > 0 THEN c / 2.0::DOUBLE END AS param_value FROM orders),
+r AS MATERIALIZED (SELECT * FROM o WHERE NOT (dataset = 'SUSY-5' AND algorithm = 'KMeans--'))"""
+
+
+def _results(spark, sf_dir):
+    of = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), (at + 1).cast("int"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    c = of(grid.FACTORS, key % 7).cast("int")
+    status = F.when(F.col("o_orderstatus") == "P", of(["timeout", "error", "skipped", "skipped_timeout"], cust % 4)).when((key % 6 == 5) & (cust % 10 == 7), "error").otherwise("completed")
+    rows = src.table(spark, sf_dir, "orders").select(
+        key.cast("int").alias("task_id"), of(_DATASETS, key % 6).alias("dataset"), of(_ALGORITHMS, cust % 10).alias("algorithm"), c.alias("c"), status.alias("status"), ((key % 6 + 1) * 1000).alias("dataset_size"),
+        (F.col("o_totalprice") / 1000.0).alias("cost"), (cust % 101 / 100.0).alias("recall"), (cust % 51 / 50.0).alias("precision"), (cust % 21 / 20.0).alias("f1"),
+        F.when(key % 5 > 0, cust % 11 / 10.0).alias("ari"), F.when(key % 7 > 0, cust % 13 / 12.0).alias("nmi"), (cust % 977 / 10.0).alias("time_s"), F.when(key % 3 > 0, c / 2.0).alias("param_value"),
     )
-]
-_RESULT_COLS = "task_id, dataset, algorithm, c, seed, status, dataset_size, cost, recall, precision, f1, ari, nmi, time_s"
-_RESULT_SQL = f"r({_RESULT_COLS}) AS (VALUES {_values(_ROWS)})"
-
-
-def _results(spark):
-    kinds = "int string string int int string long double double double double double double double".split()
-    return spark.createDataFrame(_ROWS, ", ".join(f"`{n}` {k}" for n, k in zip(_RESULT_COLS.split(", "), kinds, strict=True)))
+    return rows.where("not (dataset = 'SUSY-5' and algorithm = 'KMeans--')")
 
 
 def _cube_sql(keys: str) -> str:
@@ -475,48 +562,138 @@ def _cube_sql(keys: str) -> str:
 
 @query(f"WITH {_RESULT_SQL} {_cube_sql('dataset, algorithm')}")
 def stats_cube(spark, sf_dir):
-    return report.cube(_results(spark), "dataset", "algorithm")
+    return report.cube(_results(spark, sf_dir), "dataset", "algorithm")
 
 
 @query(f"WITH {_RESULT_SQL} {_cube_sql('dataset, algorithm, c')}")
 def sensitivity_cube(spark, sf_dir):
-    return report.cube(_results(spark), "dataset", "algorithm", "c")
+    return report.cube(_results(spark, sf_dir), "dataset", "algorithm", "c")
 
 
 @query(f"WITH {_RESULT_SQL} SELECT dataset, algorithm, task_id, cost, recall, time_s FROM r WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY dataset, algorithm ORDER BY cost, task_id) = 1")
 def best_run(spark, sf_dir):
-    return report.best_run(_results(spark))
+    return report.best_run(_results(spark, sf_dir))
 
 
-_DENSE = "g AS (SELECT dataset, algorithm FROM (SELECT unnest(['A', 'B', 'C', 'D']) AS dataset), (SELECT unnest(['u', 'v']) AS algorithm))"
+_DENSE = f"g AS (SELECT dataset, algorithm FROM (SELECT unnest({_LIST(report.DATASET_ORDER)}) AS dataset), (SELECT unnest({_LIST(report.ALGORITHM_ORDER)}) AS algorithm))"
+_STATUS = (
+    f"{_RESULT_SQL}, {_DENSE}, sl AS (SELECT dataset, algorithm, list(status ORDER BY task_id) AS st FROM r GROUP BY ALL), st AS (SELECT dataset, algorithm, CASE WHEN list_contains(st, 'completed') THEN 'completed' WHEN list_contains(st, 'timeout') THEN 'timeout' WHEN list_contains(st, 'skipped_timeout') THEN 'skipped'"
+    " WHEN list_contains(st, 'error') THEN 'error' WHEN st IS NULL THEN 'not_run' ELSE st[1] END AS status FROM g LEFT JOIN sl USING (dataset, algorithm))"
+)
 
 
-@query(
-    f"WITH {_RESULT_SQL}, {_DENSE}, s AS (SELECT dataset, algorithm, list(status ORDER BY task_id) AS st FROM r GROUP BY ALL) SELECT dataset, algorithm, CASE WHEN list_contains(st, 'completed') THEN 'completed' WHEN list_contains(st, 'timeout') THEN 'timeout' WHEN list_contains(st, 'skipped_timeout') THEN 'skipped' WHEN list_contains(st, 'error') THEN 'error' WHEN st IS NULL THEN 'not_run' ELSE st[1] END AS status FROM g LEFT JOIN s USING (dataset, algorithm)"
-)
+@query(f"WITH {_STATUS} SELECT * FROM st")
 def status_rollup(spark, sf_dir):
-    pairs = spark.createDataFrame([(d, a) for d in "ABCD" for a in "uv"], "dataset string, algorithm string")
-    return report.status_of(_results(spark), pairs)
+    return report.status_of(_results(spark, sf_dir), report.dense_pairs(spark))
+
 
+_STATS = f"{_STATUS}, s AS ({_cube_sql('dataset, algorithm')}), bst AS (SELECT dataset, algorithm, min_by(cost, (cost, task_id)) AS best_cost, min_by(recall, (cost, task_id)) AS best_cost_recall, min_by(time_s, (cost, task_id)) AS best_cost_time FROM r WHERE status = 'completed' GROUP BY ALL)"
+_PLACE = lambda c, names: f"list_position({_LIST(names)}, {c})"
+_TIE = _PLACE("algorithm", report.ALGORITHM_ORDER)
 
-_STATS = f"{_RESULT_SQL}, s AS ({_cube_sql('dataset, algorithm')})"
 
+def _stats(spark, sf_dir):
+    return report.statistics(_results(spark, sf_dir), report.dense_pairs(spark))
 
-@query(f"WITH {_STATS}, k AS (SELECT algorithm, row_number() OVER (PARTITION BY dataset ORDER BY cost_mean, algorithm) AS a, row_number() OVER (PARTITION BY dataset ORDER BY recall_mean DESC, algorithm) AS b, row_number() OVER (PARTITION BY dataset ORDER BY time_s_mean, algorithm) AS c FROM s) SELECT algorithm, round(avg(a), 6) AS cost_rank, round(avg(b), 6) AS recall_rank, round(avg(c), 6) AS time_rank FROM k GROUP BY algorithm")
+
+@query(f"WITH {_STATS} SELECT dataset, algorithm, status, coalesce(n_runs, 0) AS n_runs, cost_mean, recall_mean, time_s_mean, best_cost, best_cost_recall, best_cost_time FROM st LEFT JOIN s USING (dataset, algorithm) LEFT JOIN bst USING (dataset, algorithm)")
+def pair_statistics(spark, sf_dir):
+    return _stats(spark, sf_dir).select("dataset", "algorithm", "status", "n_runs", "cost_mean", "recall_mean", "time_s_mean", "best_cost", "best_cost_recall", "best_cost_time")
+
+
+@query(f"WITH {_STATS}, k AS (SELECT algorithm, row_number() OVER (PARTITION BY dataset ORDER BY cost_mean, {_TIE}) AS a, row_number() OVER (PARTITION BY dataset ORDER BY recall_mean DESC, {_TIE}) AS b, row_number() OVER (PARTITION BY dataset ORDER BY time_s_mean, {_TIE}) AS c FROM s) SELECT algorithm, round(avg(a), 6) AS cost_rank, round(avg(b), 6) AS recall_rank, round(avg(c), 6) AS time_rank FROM k GROUP BY algorithm")
 def avg_rank(spark, sf_dir):
-    return report.average_ranks(report.cube(_results(spark), "dataset", "algorithm"))
+    return report.average_ranks(_stats(spark, sf_dir))
 
 
 @query(f"WITH {_STATS} SELECT dataset, algorithm, cost_mean <= min(cost_mean) OVER w * 1.01 AS cost_best, recall_mean >= max(recall_mean) OVER w - 0.01 AS recall_best, time_s_mean <= min(time_s_mean) OVER w * 1.1 AS time_best FROM s WINDOW w AS (PARTITION BY dataset)")
 def near_best(spark, sf_dir):
-    return report.near_best(report.cube(_results(spark), "dataset", "algorithm"))
+    return report.near_best(report.cube(_results(spark, sf_dir), "dataset", "algorithm"))
+
+
+@query(f"WITH {_STATS} SELECT dataset, arg_min(algorithm, (cost_mean, {_TIE})) AS best_cost, arg_min(algorithm, (-recall_mean, {_TIE})) AS best_recall, arg_min(algorithm, (time_s_mean, {_TIE})) AS best_time FROM s GROUP BY dataset")
+def best_per_dataset(spark, sf_dir):
+    return report.best_of(_stats(spark, sf_dir))
+
+
+@query(f"WITH {_STATS} SELECT {_PLACE('dataset', report.DATASET_ORDER)}::BIGINT AS dataset_place, {_TIE}::BIGINT AS algorithm_place, dataset, algorithm, round(cost_mean, 4) AS mean, round(cost_std, 4) AS std FROM s")
+def display_order(spark, sf_dir):
+    got = report.displayed(_stats(spark, sf_dir).where("n_runs > 0"))
+    return got.select(F.col("dataset_place").cast("long").alias("dataset_place"), F.col("algorithm_place").cast("long").alias("algorithm_place"), "dataset", "algorithm", F.round("cost_mean", 4).alias("mean"), F.round("cost_std", 4).alias("std"))
+
+
+@query(f"WITH {_STATS} SELECT dataset, algorithm, time_s_mean, recall_mean, NOT EXISTS (SELECT 1 FROM s b WHERE b.dataset = s.dataset AND b.time_s_mean <= s.time_s_mean AND b.recall_mean >= s.recall_mean AND (b.time_s_mean < s.time_s_mean OR b.recall_mean > s.recall_mean)) AS on_front FROM s")
+def pareto_front(spark, sf_dir):
+    return report.pareto(_stats(spark, sf_dir))
+
+
+@query(f"WITH {_STATS} SELECT dataset, algorithm, recall_mean AS mean, recall_std AS std FROM s")
+def metric_bars(spark, sf_dir):
+    return report.metric_bars(_stats(spark, sf_dir), "recall")
+
+
+@query(f"WITH {_RESULT_SQL}, s AS ({_cube_sql('dataset, algorithm, c')}) SELECT dataset, algorithm, c, time_s_mean AS mean, time_s_std AS std FROM s")
+def metric_curves(spark, sf_dir):
+    return report.metric_curves(report.cube(_results(spark, sf_dir), "dataset", "algorithm", "c"), "time_s")
+
+
+@query(f"WITH {_RESULT_SQL} SELECT status, count(*) AS n FROM r GROUP BY status")
+def status_counts(spark, sf_dir):
+    return report.status_counts(_results(spark, sf_dir))
+
+
+@query(f"WITH {_RESULT_SQL} SELECT count(*) AS tasks, round(sum(time_s), 6) AS task_s, round(sum(time_s) / 60.0::DOUBLE, 6) AS parallelism FROM r")
+def parallelism(spark, sf_dir):
+    return report.effective_parallelism(_results(spark, sf_dir), 60.0)
+
+
+@query(f"WITH {_RESULT_SQL} SELECT task_id, dataset, algorithm FROM r WHERE task_id >= 100 AND task_id < 250")
+def task_slice(spark, sf_dir):
+    return grid.sliced(_results(spark, sf_dir), 100, 250).select("task_id", "dataset", "algorithm")
+
+
+@query(f"WITH {_RESULT_SQL} SELECT 'dataset' AS kind, dataset AS name FROM r GROUP BY dataset UNION ALL SELECT 'algorithm', algorithm FROM r GROUP BY algorithm")
+def task_names(spark, sf_dir):
+    """The distinct data sets and algorithms of a task list."""
+    names = grid.distinct_names(_results(spark, sf_dir).withColumn("seed", F.lit(0)))
+    return spark.createDataFrame([(kind, n) for kind in ("dataset", "algorithm") for n in names[kind]], "kind string, name string")
+
+
+_TEXT = lambda m, s, d: f"CASE WHEN {m} IS NULL THEN 'NA' ELSE printf('%.{d}f ± %.{d}f', {m}, {s}) END"
+
+
+@query(f"WITH {_STATS} SELECT dataset, algorithm, {_TEXT('recall_mean', 'recall_std', 6)} AS recall, CASE WHEN status = 'completed' THEN 'n=' || n_runs ELSE upper(status) END AS state, CASE WHEN status = 'completed' THEN '' ELSE ' [' || upper(status) || ']' END AS mark, CASE WHEN recall_mean IS NULL THEN 'NA' ELSE printf('%.6f', recall_mean) END AS plain FROM st LEFT JOIN s USING (dataset, algorithm)")
+def report_cells(spark, sf_dir):
+    """Cells of the text report: values with deviation, state, mark of pairs that did not complete."""
+    stats = _stats(spark, sf_dir)
+    cells = report.table_rows(stats).select("dataset", "algorithm", "state")
+    own = stats.select("dataset", "algorithm", report.with_deviation("recall", 6).alias("recall"), report.indicator().alias("mark"), report.as_text("recall_mean", 6).alias("plain"))
+    return cells.join(own, ["dataset", "algorithm"])
+
+
+@query(f"WITH {_STATS} SELECT dataset, algorithm, coalesce(round(recall_mean, 3)::VARCHAR, 'NA') AS recall, coalesce(round(best_cost_recall, 3)::VARCHAR, 'NA') AS best, coalesce(n_runs, 0)::VARCHAR AS n_runs, status FROM st LEFT JOIN s USING (dataset, algorithm) LEFT JOIN bst USING (dataset, algorithm)")
+def csv_rows(spark, sf_dir):
+    """Some columns of the benchmark CSV, written to a file and read back."""
+    path = f"{select.Scratch(spark).base}/csv"
+    report.write_csv(report.csv_rows(_stats(spark, sf_dir)), path)
+    rows = spark.read.option("header", True).csv(path)
+    assert rows.columns == report.CSV_COLUMNS
+    cell = lambda c: F.coalesce(F.round(F.col(c).try_cast("double"), 3).cast("string"), F.lit("NA"))
+    return rows.select("dataset", "algorithm", cell("recall_mean").alias("recall"), cell("best_cost_recall").alias("best"), "n_runs", "status")
+
+
+@query(f"WITH {_RESULT_SQL}, s AS ({_cube_sql('dataset, algorithm, c')}), v AS (SELECT dataset, algorithm, c, round(avg(param_value), 6) AS param_value FROM r WHERE status = 'completed' GROUP BY ALL) SELECT dataset, algorithm, c, param_value, n_runs FROM s JOIN v USING (dataset, algorithm, c)")
+def sweep_rows(spark, sf_dir):
+    """Columns of the sensitivity CSV that are exact in text."""
+    rows = report.sweep_rows(report.cube(_results(spark, sf_dir), "dataset", "algorithm", "c", param=True))
+    return rows.select("dataset", "algorithm", F.col("c").cast("int").alias("c"), F.col("param_value").try_cast("double").alias("param_value"), F.col("n_runs").cast("long").alias("n_runs"))
 
 
 @query(f"WITH {_RESULT_SQL}, s AS ({_cube_sql('dataset, algorithm, c')}), q AS (SELECT *, cost_mean / min(cost_mean) OVER (PARTITION BY dataset) AS q FROM s) SELECT algorithm, c, round(avg(q), 6) AS relative_mean, round(stddev_pop(q), 6) AS relative_std FROM q GROUP BY algorithm, c")
 def relative_cost(spark, sf_dir):
-    return report.relative_cost(report.cube(_results(spark), "dataset", "algorithm", "c"))
+    return report.relative_cost(report.cube(_results(spark, sf_dir), "dataset", "algorithm", "c"))
 
 
 @query(f"WITH {_RESULT_SQL} SELECT algorithm, dataset_size::BIGINT AS dataset_size, round(avg(time_s), 6) AS time_mean, round(stddev_pop(time_s), 6) AS time_std FROM r WHERE status = 'completed' GROUP BY algorithm, dataset_size")
 def scalability(spark, sf_dir):
-    return report.scalability(_results(spark))
+    return report.scalability(_results(spark, sf_dir))

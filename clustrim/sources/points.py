@@ -10,29 +10,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POINTS = T.StructType([T.StructField("id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("label", T.StringType()), T.StructField("is_outlier", T.BooleanType())])
-#: Benchmark result rows, one a task.
+#: Fields of a benchmark record, one record a task.
 RESULT = T.StructType(
     [
-        T.StructField(name, kind)
-        for kind, names in [
-            (T.IntegerType(), "task_id"),
-            (T.StringType(), "dataset algorithm"),
-            (T.IntegerType(), "seed"),
-            (T.StringType(), "status error"),
-            (T.LongType(), "dataset_size"),
-            (T.IntegerType(), "dataset_dim"),
-            (T.LongType(), "true_outliers"),
-            (T.IntegerType(), "k"),
-            (T.DoubleType(), "cost outliers_cost time_s elapsed_ms recall precision f1 ari nmi"),
-            (T.LongType(), "detected_outliers"),
-            (T.IntegerType(), "num_centers"),
-            (T.StringType(), "algo_codename algo_fullname"),
-            (T.MapType(T.StringType(), T.StringType()), "extra"),
-            (T.IntegerType(), "c"),
-            (T.StringType(), "param_name"),
-            (T.DoubleType(), "param_value"),
-        ]
-        for name in names.split()
+        T.StructField("task_id", T.IntegerType()),
+        T.StructField("dataset", T.StringType()),
+        T.StructField("algorithm", T.StringType()),
+        T.StructField("seed", T.IntegerType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("dataset_size", T.LongType()),
+        T.StructField("dataset_dim", T.IntegerType()),
+        T.StructField("true_outliers", T.LongType()),
+        T.StructField("k", T.IntegerType()),
+        T.StructField("cost", T.DoubleType()),
+        T.StructField("outliers_cost", T.DoubleType()),
+        T.StructField("time_s", T.DoubleType()),
+        T.StructField("elapsed_ms", T.DoubleType()),
+        T.StructField("recall", T.DoubleType()),
+        T.StructField("precision", T.DoubleType()),
+        T.StructField("f1", T.DoubleType()),
+        T.StructField("ari", T.DoubleType()),
+        T.StructField("nmi", T.DoubleType()),
+        T.StructField("detected_outliers", T.LongType()),
+        T.StructField("num_centers", T.IntegerType()),
+        T.StructField("algo_codename", T.StringType()),
+        T.StructField("algo_fullname", T.StringType()),
+        T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("c", T.IntegerType()),
+        T.StructField("param_name", T.StringType()),
+        T.StructField("param_value", T.DoubleType()),
     ]
 )
 #: 37 numeric columns of the 42-column connection records; 1, 2, 3 are names, 41 the label.
@@ -98,5 +105,6 @@ def read_results(spark, path: str) -> DataFrame:
     return rows.select(*[F.nanvl(F.col(f.name), F.lit(None)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in RESULT])
 
 
-def write_solution(summary: DataFrame, path: str) -> None:
-    summary.write.mode("overwrite").json(path)
+def widths(points: DataFrame) -> DataFrame:
+    """(dim, n): rows by number of coordinates; one row where the table is sound."""
+    return points.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"))
