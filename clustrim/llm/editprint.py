@@ -278,7 +278,9 @@ def near_groups(docs: DataFrame, least: float = 0.95) -> DataFrame:
     """Per row of `docs`: doc_id, component_id (smallest doc_id reachable over links), kept (both equal).
 
     Texts are linked when 1 - edit distance / longer length >= `least`, verified on whole texts, and they
-    share a band; equal texts always are.  Band buckets first link their members to their smallest one; those
+    share a band; equal texts always are.  Of pairs of texts of 300 to 6,000 characters with edits at random places,
+    0.99 share a band at 1 % edits, 0.94 at 5 %, 0.81 at 10 %; of texts of 20 to 300 characters 1.00, 0.92 and 0.85.
+    At the default threshold of 0.95 that is above 0.9; a lower one finds fewer of its links.  Band buckets first link their members to their smallest one; those
     whose members are then still apart go to blocks of bounded size, each pair of blocks in a group of its
     own, which gives back a forest, so rows grow with the members.  Every pair that shares a band is linked
     or found unlike, unless other links join it already.  Empty texts are linked with nothing; rows that

@@ -21,6 +21,11 @@ def op3_edit_fingerprint(spark, sf_dir):
     return editprint.digest(documents(spark, sf_dir))
 
 
+def edit_groups(spark, sf_dir):
+    """The second half of op3's method on the same table: banding of the fingerprints and verification."""
+    return editprint.near_groups(documents(spark, sf_dir))
+
+
 def op4_hmm_scoring(spark, sf_dir):
     return hmm.score(documents(spark, sf_dir))
 
@@ -118,6 +123,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_license_scan": op10_license_scan,
+    "edit_groups": edit_groups,
 }
 SQL = {
     "op2_minhash_near_dedup": SQL_MINHASH,

@@ -351,6 +351,14 @@ def groups_got(df, least=0.95):
     return sorted({(fix(r["doc_id"]), fix(r["component_id"])) for r in got})
 
 
+def test_near_groups_query(spark):
+    got = queries.edit_groups(spark, SF).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r["doc_id"] for r in got} == set(texts)
+    alone = {r["doc_id"] for r in got if r["kept"]}
+    assert 0 < len(alone) < len(texts) and all(r["component_id"] in alone for r in got)
+
+
 def test_near_groups_brute(spark, docs, none):
     assert groups_got(docs) == groups_brute(ROWS, 0.95)
     assert editprint.near_groups(docs).count() == len(ROWS) and groups_got(none) == []
@@ -862,6 +870,19 @@ def test_pipeline(spark, docs):
     assert sorted(map(str, cp.run(spark, SF).collect())) == sorted(map(str, now.collect()))
 
 
+def test_stages_with_clashing_columns(spark, docs):
+    """Columns called like the stages' own, and rows without text, id or source."""
+    import corpus_pipeline as cp
+
+    clash = docs
+    for c in ("kept_id", "leaked", "mix_id", "mix_key", "mix_copies", "_mix_id", "row", "key", "component_id", "skey", "payload", "h"):
+        clash = clash.withColumn(c, clash["doc_id"])
+    for name, stage in cp.STAGES:
+        got = stage(spark, clash, SF)
+        assert got.columns == clash.columns + ["copy"] * (name == "source_mixing")
+        assert all(r["doc_id"] == r["mix_id"] == r["row"] == r["kept_id"] for r in got.collect())
+
+
 def test_pipeline_removes_short_repeats(spark):
     import corpus_pipeline as cp
 
