@@ -537,8 +537,8 @@ _DATASETS, _ALGORITHMS = [x[0] for x in grid.DATASETS], [x[0] for x in grid.PRES
 _LIST = lambda xs: "[" + ", ".join(repr(x) for x in xs) + "]"
 #: Result records made of `orders`: every order is a run; one pair never ran, one never completed.
 _RESULT_SQL = f"""o AS (SELECT o_orderkey::INTEGER AS task_id, {_LIST(_DATASETS)}[1 + o_orderkey % 6] AS dataset, {_LIST(_ALGORITHMS)}[1 + o_custkey % 10] AS algorithm, {_LIST(grid.FACTORS)}[1 + o_orderkey % 7]::INTEGER AS c,
-  CASE WHEN o_orderstatus = 'P' THEN ['timeout', 'error', 'skipped', 'skipped_timeout'][1 + o_custkey % 4] WHEN o_orderkey % 6 = 5 AND o_custkey % 10 = 7 THEN 'error' ELSE 'completed' END AS status, (1 + o_orderkey % 6) * 1000 AS dataset_size, o_totalprice / 1000.0::DOUBLE AS cost,
-  (o_custkey % 101) / 100.0::DOUBLE AS recall, (o_custkey % 51) / 50.0::DOUBLE AS precision, (o_custkey % 21) / 20.0::DOUBLE AS f1, CASE WHEN o_orderkey % 5 > 0 THEN (o_custkey % 11) / 10.0::DOUBLE END AS ari, CASE WHEN o_orderkey % 7 > 0 THEN (o_custkey % 13) / 12.0::DOUBLE END AS nmi, (o_custkey % 977) / 10.0::DOUBLE AS time_s,
+  CASE WHEN o_orderstatus = 'P' THEN ['timeout', 'error', 'skipped', 'skipped_timeout'][1 + o_custkey % 4] WHEN o_orderkey % 6 = 5 AND o_custkey % 10 = 7 THEN 'error' ELSE 'completed' END AS status, (1 + o_orderkey % 6) * 1000 AS dataset_size, sqrt(o_totalprice) AS cost,
+  (o_custkey % 101) / 100.0::DOUBLE AS recall, (o_custkey % 51) / 50.0::DOUBLE AS precision, (o_custkey % 21) / 20.0::DOUBLE AS f1, CASE WHEN o_orderkey % 5 > 0 THEN (o_custkey % 11) / 10.0::DOUBLE END AS ari, CASE WHEN o_orderkey % 7 > 0 THEN (o_custkey % 13) / 12.0::DOUBLE END AS nmi, sqrt((o_custkey % 977)::DOUBLE) AS time_s,
   CASE WHEN o_orderkey % 3 > 0 THEN c / 2.0::DOUBLE END AS param_value FROM orders),
 r AS MATERIALIZED (SELECT * FROM o WHERE NOT (dataset = 'SUSY-5' AND algorithm = 'KMeans--'))"""
 
@@ -550,8 +550,8 @@ def _results(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") == "P", of(["timeout", "error", "skipped", "skipped_timeout"], cust % 4)).when((key % 6 == 5) & (cust % 10 == 7), "error").otherwise("completed")
     rows = src.table(spark, sf_dir, "orders").select(
         key.cast("int").alias("task_id"), of(_DATASETS, key % 6).alias("dataset"), of(_ALGORITHMS, cust % 10).alias("algorithm"), c.alias("c"), status.alias("status"), ((key % 6 + 1) * 1000).alias("dataset_size"),
-        (F.col("o_totalprice") / 1000.0).alias("cost"), (cust % 101 / 100.0).alias("recall"), (cust % 51 / 50.0).alias("precision"), (cust % 21 / 20.0).alias("f1"),
-        F.when(key % 5 > 0, cust % 11 / 10.0).alias("ari"), F.when(key % 7 > 0, cust % 13 / 12.0).alias("nmi"), (cust % 977 / 10.0).alias("time_s"), F.when(key % 3 > 0, c / 2.0).alias("param_value"),
+        F.sqrt("o_totalprice").alias("cost"), (cust % 101 / 100.0).alias("recall"), (cust % 51 / 50.0).alias("precision"), (cust % 21 / 20.0).alias("f1"),
+        F.when(key % 5 > 0, cust % 11 / 10.0).alias("ari"), F.when(key % 7 > 0, cust % 13 / 12.0).alias("nmi"), F.sqrt((cust % 977).cast("double")).alias("time_s"), F.when(key % 3 > 0, c / 2.0).alias("param_value"),
     )
     return rows.where("not (dataset = 'SUSY-5' and algorithm = 'KMeans--')")
 
