@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,8 +17,6 @@ from pyspark.sql.window import Window
 from ..sources.tables import Scratch, settings  # noqa: F401  the operators take them from here
 
 NULL_ID = -(2**63)
-#: Entries of the per-worker word cache; it is emptied when full, so its memory is bounded.
-WORD_CACHE = 100_000
 #: Rows that `marked` hands on at once.
 MARKED_ROWS = 1000
 #: Input bytes that one hash bucket is meant to hold, and the most shuffle partitions that buckets are dealt to.
@@ -85,23 +82,6 @@ def ranked(df: DataFrame, by: list[str], scratch: Scratch, name: str = "rank") -
 # --- words ------------------------------------------------------------------------------------
 
 
-class WordHash(dict):
-    """word bytes -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = WordHash()
-
-
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
 def text_bytes(column) -> list[bytes]:
     """UTF-8 of an Arrow string column."""
     import pyarrow as pa
@@ -171,10 +151,11 @@ def slices(column, size: int = 1 << 20):
         a = b
 
 
-def word_hashes(column, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column, lower: bool, classes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of an Arrow string column, text after text, and the words of each text.
 
-    Words are runs without ASCII white space; a null text has none.  All in array operations: no Python
+    With `classes`, a byte for each byte, also the hashes of the words' shapes: their bytes' classes, runs of one
+    class taken as one.  Words are runs without ASCII white space; a null text has none.  All in array operations: no Python
     object a word.  Memory beside the result follows SLICE_WORDS, also within one long text.
     """
     import pyarrow as pa
@@ -182,21 +163,31 @@ def word_hashes(column, lower: bool) -> tuple[np.ndarray, np.ndarray]:
 
     column = pc.fill_null(column.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(column)
-    ends = lists.offsets.to_numpy()
+    bounds = lists.offsets.to_numpy()
     flat = lists.flatten()
     spans = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
     raw = np.frombuffer(flat.buffers()[2] or b"", np.uint8)
     size = np.diff(spans)
     real = size > 0  # leading and trailing white space leaves empty words
     out, table = np.empty(len(size), np.uint64), _LOWER if lower else _SYMBOL
+    shapes = None if classes is None else np.empty(len(size), np.uint64)
     for a in range(0, len(size), SLICE_WORDS):
         s = spans[a : a + SLICE_WORDS + 1] - spans[a]
         prefix = rolling(table[raw[spans[a] : spans[a] + s[-1]]])
         n = s[1:] - s[:-1]
         out[a : a + len(n)] = window_hash(prefix, s[:-1], n) + n.astype(np.uint64)
+        if shapes is not None:
+            kind = classes[raw[spans[a] : spans[a] + s[-1]]]
+            first = np.ones(len(kind), bool)
+            first[1:] = kind[1:] != kind[:-1]
+            first[s[:-1][n > 0]] = True
+            ends = np.concatenate([[0], np.cumsum(first)])[s]
+            n = ends[1:] - ends[:-1]
+            shapes[a : a + len(n)] = window_hash(rolling(_SYMBOL[kind[first]]), ends[:-1], n) + n.astype(np.uint64)
     before = np.concatenate([[0], np.cumsum(real)])
-    at = ends - ends[0]
-    return out[real], before[at[1:]] - before[at[:-1]]
+    at = bounds - bounds[0]
+    counts = before[at[1:]] - before[at[:-1]]
+    return (out[real], counts) if shapes is None else (out[real], counts, shapes[real])
 
 
 # --- exchanges --------------------------------------------------------------------------------

@@ -6,8 +6,9 @@
 3. Stars: each bucket links its members to its smallest member; the signature's bit counts, corrected
    for chance collisions, drop hopeless pairs; the others are confirmed on full sets.
 4. Buckets whose members are still in several components go to blocks of bounded size: each pair of
-   blocks confirms all its pairs at once by a sparse set product and returns a spanning forest only,
-   so the rows grow with the members, not with their pairs.
+   blocks first meets by its signatures (32 bytes a member), and only members with a likely partner in another
+   component bring their sets, which are confirmed all at once by a sparse set product; a spanning forest comes
+   back, so the rows grow with the members, not with their pairs.
 5. Components of all confirmed links.
 
 A link of similarity 0.85 shares no band with probability (1 - 0.85^5)^25 < 5e-7, one of 0.8 with
@@ -173,6 +174,42 @@ def forest(adj: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _likely(floor: float):
+    """Sorted rows (bucket, bi, bj, sid, rep, component, s0 .. s3): those with a partner in another component that the signatures allow."""
+    import pyarrow as pa
+
+    low, most = np.uint64(0x5555555555555555), PERMS * (1 - 2.0**-BITS - (1 - 2.0**-BITS) * floor) + 1e-9
+
+    def solve(rows):
+        t = pa.Table.from_batches(rows).combine_chunks()
+        component = t["component"].to_numpy()
+        apart = component[:, None] != component[None, :]
+        misses = np.zeros(apart.shape, np.uint8)
+        for w in range(PERMS * BITS // 64):
+            s = t[f"s{w}"].to_numpy().view(np.uint64)
+            x = s[:, None] ^ s[None, :]
+            misses += np.bitwise_count((x | x >> np.uint64(1)) & low)
+        return t.filter(pa.array((apart & (misses <= most)).any(1))).select(["bucket", "bi", "bj", "sid", "rep"]).to_batches()
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            places = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "bi", "bj")], 1)
+            new = np.flatnonzero((places[1:] != places[:-1]).any(1)) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), len(places)], strict=True):
+                if a == b:
+                    continue
+                if rows and tuple(places[a]) != key:
+                    yield from solve(rows)
+                    rows = []
+                key = tuple(places[a])
+                rows.append(batch.slice(a, b - a))
+        if rows:
+            yield from solve(rows)
+
+    return run
+
+
 def _confirm_blocks(percent: int):
     """Sorted rows (bucket, bi, bj, sid, rep, items): links that span the components of each block pair."""
     import pyarrow as pa
@@ -249,15 +286,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     # aggregates are written before they are joined back: a join of two plain exchanges can split hot keys
     open_ = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.min("sid").alias("first"))
     open_ = open_.where("lo < hi").groupBy("n", "x", "first").agg(F.min("bucket").alias("bucket"))  # equal buckets once
-    sizes = reps.select("sid", "n_shingles")
-    todo = scratch.write(held.join(scratch.write(open_.select("bucket"), "open"), "bucket").select("bucket", "sid", "rep").join(sizes, "sid"), "todo")
+    sizes = reps.select("sid", "n_shingles", "s0", "s1", "s2", "s3")
+    todo = scratch.write(held.join(scratch.write(open_.select("bucket"), "open"), "bucket").select("bucket", "sid", "rep", "component").join(sizes, "sid"), "todo")
     weight = todo.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
     weight = weight.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    todo = todo.select("bucket", "sid", "rep").join(scratch.write(weight, "weight"), "bucket")
+    todo = todo.drop("n_shingles").join(scratch.write(weight, "weight"), "bucket")
     block = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks")).cast("int")
-    todo = todo.withColumn("block", block).select("bucket", "sid", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    todo = todo.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "sid", "rep")
-    todo = todo.join(sets, "sid").drop("sid").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "rep")
+    todo = todo.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    todo = todo.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("blocks", "block", "other")
+    pair = ["bucket", "bi", "bj"]
+    # the signatures meet first, so that only the sets of likely partners travel
+    todo = todo.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_likely(floor), "bucket long, bi int, bj int, sid long, rep long")
+    todo = scratch.write(todo, "likely").join(sets, "sid").drop("sid").repartition(*pair).sortWithinPartitions(*pair, "rep")
     more = scratch.write(todo.mapInArrow(_confirm_blocks(percent), "a long, b long"), "more")
 
     # 5: all links

@@ -14,14 +14,13 @@ not used; a document labelled twice is used once for each different label; with
 
 from __future__ import annotations
 
-import re
 import struct
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, WORD_CACHE, Scratch, crc_mod, hashes, id_in, mix, text_bytes
+from .common import BASE, Scratch, crc_mod, id_in, mix, slices, word_hashes
 
 BUCKET_BITS = 18
 #: Expected labelled documents in the training sample, and passes over them.
@@ -31,35 +30,18 @@ MAX_TRAIN_BYTES = 192 << 20
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-3
 SCALE = 8.0
 
-_CLASS = bytes(0x41 if 65 <= c <= 90 else 0x61 if 97 <= c <= 122 or c >= 128 else 0x30 if 48 <= c <= 57 else c for c in range(256))
-_RUN = re.compile(rb"(.)\1+", re.DOTALL)
+_CLASS = np.array([0x41 if 65 <= c <= 90 else 0x61 if 97 <= c <= 122 or c >= 128 else 0x30 if 48 <= c <= 57 else c for c in range(256)], np.uint8)
 
 
-class _Shapes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = int(hashes([b"\x00" + _RUN.sub(rb"\1", word.translate(_CLASS))])[0])
-        return h
-
-
-_shapes = _Shapes()
-
-
-def features(texts: list[bytes]):
-    """Flat feature indices, their values, and the end of each text's run."""
-    words = [t.split() for t in texts]
-    n = np.array([len(w) for w in words], np.int64)
-    raw = [x for w in words for x in w]
-    one = hashes([x.lower() for x in raw])
-    two = np.fromiter(map(_shapes.__getitem__, raw), np.uint64, len(raw))
-    doc = np.repeat(np.arange(len(texts)), n)
+def features(column):
+    """Flat feature indices, the text of each, and what one n-gram of a text counts, for an Arrow string column."""
+    one, n, two = word_hashes(column, True, _CLASS)
+    doc = np.repeat(np.arange(len(n)), n)
     pair = np.flatnonzero(doc[1:] == doc[:-1])
     b, shift = np.uint64(BASE), np.uint64(64 - BUCKET_BITS)
     idx = np.concatenate([mix(h * b + np.uint64(k)) >> shift for k, h in enumerate((one, two, one[:-1][pair] * b + one[1:][pair], two[:-1][pair] * b + two[1:][pair]))])
     own = np.concatenate([doc, doc, doc[pair], doc[pair]])
-    unit = SCALE / np.maximum(n, 1)
-    return idx.astype(np.int32), own, unit
+    return idx.astype(np.int32), own, SCALE / np.maximum(n, 1)
 
 
 class Ftrl:
@@ -85,7 +67,7 @@ def _rows(batches):
     import pyarrow as pa
 
     for batch in batches:
-        idx, own, unit = features(text_bytes(batch.column("text")))
+        idx, own, unit = features(batch.column("text"))
         key = own.astype(np.int64) << 32 | idx
         key, count = np.unique(key, return_counts=True)
         own, idx = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
@@ -120,22 +102,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.
     return model.weights()
 
 
-def score_texts(texts: list[bytes], w: np.ndarray) -> np.ndarray:
-    idx, own, unit = features(texts)
-    total = np.bincount(own, w[idx], len(texts)) * unit + w[-1]
-    return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-
-
-def score_all(texts: list[bytes], w: np.ndarray) -> np.ndarray:
-    """score_texts, about a megabyte of text at a time."""
-    out, a = [np.zeros(0)], 0
-    while a < len(texts):
-        b, size = a, 0
-        while b < len(texts) and (b == a or size + len(texts[b]) <= 1 << 20):
-            size += len(texts[b])
-            b += 1
-        out.append(score_texts(texts[a:b], w))
-        a = b
+def score_all(column, w: np.ndarray) -> np.ndarray:
+    """Scores of an Arrow string column, about a megabyte of text at a time."""
+    out = [np.zeros(0)]
+    for part in slices(column):
+        idx, own, unit = features(part)
+        total = np.bincount(own, w[idx], len(part)) * unit + w[-1]
+        out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
     return np.concatenate(out)
 
 
@@ -149,7 +122,7 @@ def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         w = held.value.astype(np.float64)
         for batch in batches:
             cols = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(score_all(text_bytes(batch.column("text")), w))], names=[*[n for n in batch.schema.names if n != "text"], "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(score_all(batch.column("text"), w))], names=[*[n for n in batch.schema.names if n != "text"], "score"])
 
     rest = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
@@ -176,8 +149,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                texts = [t or b"" for t in text_bytes(part.column("row").flatten()[at])]
-                keep = pa.array(score_all(texts, w) >= threshold)
+                keep = pa.array(score_all(part.column("row").flatten()[at], w) >= threshold)
                 yield part.filter(keep)
 
     return body.mapInArrow(run, body.schema).select("row.*")

@@ -110,7 +110,7 @@ def ngrams_of(text):
 def bucket_of_gram(gram):
     """Its weight's index, by the operator's hash of a text that holds this gram."""
     kind, ws = gram
-    b, one = common.BASE, [int(common.hashes([(b"\\0" if kind % 2 else b"") + w.encode()])[0]) for w in ws]
+    b, one = common.BASE, [int(common.word_hashes(pa.array([w]), False)[0][0]) for w in ws]
     h = one[0] if kind < 2 else (one[0] * b + one[1]) % 2**64
     return int(common.mix(np.array([(h * b + kind) % 2**64], np.uint64))[0]) >> (64 - quality.BUCKET_BITS)
 
@@ -151,6 +151,18 @@ def test_quality_scores_by_brute_force(spark):
     assert len(got) == 40 and max(r["score"] for r in got) > 0.7 > min(r["score"] for r in got)
 
 
+def test_word_hashes_do_not_depend_on_slices(monkeypatch):
+    column = pa.array([" Ab  cd\t12-x ", None, "", "é ab\x0bCD", "x" * 50, "aa bb !!"]).slice(0, 6)
+    h, n, shape = common.word_hashes(column, True, quality._CLASS)
+    assert n.tolist() == [3, 0, 0, 3, 1, 3] and h[0] == h[4] and h[1] == h[5] and len(set(h.tolist())) == 8
+    assert shape[1] == shape[4] == shape[7] == shape[8] and shape[0] != shape[1] and len(set(shape.tolist())) == 5
+    assert common.word_hashes(column, False)[0][0] != h[0]
+    assert [x.tolist() for x in common.word_hashes(column.slice(3, 3), True)] == [h[3:].tolist(), [3, 1, 3]]
+    monkeypatch.setattr(common, "SLICE_WORDS", 2)
+    assert all(np.array_equal(a, b) for a, b in zip((h, n, shape), common.word_hashes(column, True, quality._CLASS), strict=True))
+    assert sum(len(c) for c in common.slices(column, 4)) == 6
+
+
 def test_quality_held_out_accuracy(spark):
     got = queries.op1_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (got.predicted == got.quality).mean() > 0.9
