@@ -77,7 +77,7 @@ def swept(name: str, c: float, seed: int = 42) -> tuple[V.Solver, str, float]:
 
 
 def _numbered(spark, names: list, kind: str, column: str) -> DataFrame:
-    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], f"{column}_no int, {column} {kind}")
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], f"{column}_no int, {column} {kind}").coalesce(1)  # a few names: one task, also after the joins
 
 
 def task_grid(spark: SparkSession, datasets=None, algorithms=None, seeds: int = SEEDS, factors=None) -> DataFrame:
@@ -96,8 +96,8 @@ def task_grid(spark: SparkSession, datasets=None, algorithms=None, seeds: int =
 
 def resource_plan(spark: SparkSession, parallel: int = 8) -> DataFrame:
     """One row: tasks, largest task memory, sequential and parallel minutes, jobs of 50 tasks."""
-    d = spark.createDataFrame([(n, m, t) for n, _, _, m, t in DATASETS], "dataset string, gb double, minutes double")
-    a = spark.createDataFrame(PRESETS, "algorithm string, factor double, complexity double")
+    d = spark.createDataFrame([(n, m, t) for n, _, _, m, t in DATASETS], "dataset string, gb double, minutes double").coalesce(1)
+    a = spark.createDataFrame(PRESETS, "algorithm string, factor double, complexity double").coalesce(1)
     got = d.crossJoin(a).agg(F.max(F.col("gb") * F.col("factor") + 2.0).alias("max_memory_gb"), (F.sum(F.col("minutes") * F.col("complexity")) * SEEDS).alias("minutes"), (F.count("*") * SEEDS).alias("tasks"))
     return got.select("tasks", F.round("max_memory_gb", 6).alias("max_memory_gb"), F.round("minutes", 6).alias("minutes"), F.round(F.col("minutes") / parallel, 6).alias("parallel_minutes"), F.ceil(F.col("tasks") / 50).alias("jobs"))
 

@@ -40,8 +40,8 @@ def status_of(results: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def dense_pairs(spark, datasets=None, algorithms=None) -> DataFrame:
     """Every data set with every algorithm: two fixed lists of names."""
-    d = spark.createDataFrame([(x,) for x in datasets or DATASET_ORDER], "dataset string")
-    return d.crossJoin(spark.createDataFrame([(x,) for x in algorithms or ALGORITHM_ORDER], "algorithm string"))
+    d = spark.createDataFrame([(x,) for x in datasets or DATASET_ORDER], "dataset string").coalesce(1)
+    return d.crossJoin(spark.createDataFrame([(x,) for x in algorithms or ALGORITHM_ORDER], "algorithm string").coalesce(1))
 
 
 def statistics(results: DataFrame, pairs: DataFrame) -> DataFrame:
