@@ -62,6 +62,8 @@ TEMPLATES = [
 ]
 TRIGGERS = ["licen", "permi", "redistribut", "software", "copyright", "warrant", "public"]
 WIDTH, SHARE, BANDS = 5, 0.8, 24
+#: Bytes of template bands that are broadcast at most.
+MAX_BROADCAST = 16 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -145,8 +147,9 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     sizes = sorted({len(words_of(t)) for _, t in templates})
     win = rows.select("doc_id", F.explode(F.concat(*[_windows(F.col("w"), F.col("hits"), m, needed(m, templates)) for m in sizes])).alias("x")).select("doc_id", "x.m", "x.start", _shingles(F.col("x.words")).alias("ws"))
     cand = win.where(F.size("ws") > 0).select("doc_id", "m", "start", "ws", F.posexplode(_minima(F.col("ws"))).alias("band", "low"))
-    # Spark broadcasts the templates' bands where they are few, by its size threshold
-    cand = cand.join(keys, ["m", "band", "low"])
+    # 8 bytes a shingle in each of a template's bands: broadcast below a bound, else joined by exchange
+    size = 8 * BANDS * sum(len(words_of(t)) for _, t in templates)
+    cand = cand.join(F.broadcast(keys) if size <= MAX_BROADCAST else keys, ["m", "band", "low"])
     share = F.size(F.array_intersect("ws", "ts")) / F.size("ts")
     hits = cand.withColumn("share", share).where(F.col("share") >= SHARE)
     hits = hits.groupBy("doc_id", "license", "m", "start").agg(F.max("share").alias("share"))

@@ -816,7 +816,9 @@ def test_licenses(spark, docs, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_scan_finds_every_template_anywhere(spark):
+@pytest.mark.parametrize("bound", [0, 1 << 24])
+def test_scan_finds_every_template_anywhere(spark, monkeypatch, bound):
+    monkeypatch.setattr(licenses, "MAX_BROADCAST", bound)
     data = [(k, prose(k % 23, k) + " " + t + " " + prose(20, k)) for k, (_, t) in enumerate(licenses.TEMPLATES * 3)]
     got = {(r["doc_id"], r["license"]) for r in licenses.scan(table(spark, data)).collect()}
     assert {(k, n) for k, (n, _) in enumerate(licenses.TEMPLATES * 3)} <= got
