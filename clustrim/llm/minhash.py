@@ -5,10 +5,11 @@
 2. Equal sets (128-bit digest and size) collapse to their smallest doc_id.
 3. Stars: each bucket links its members to its smallest member; the signature's bit counts, corrected
    for chance collisions, drop hopeless pairs; the others are confirmed on full sets.
-4. Buckets whose members are still in several components go to blocks of bounded size: each pair of
-   blocks first meets by its signatures (32 bytes a member), and only members with a likely partner in another
-   component bring their sets, which are confirmed all at once by a sparse set product; a spanning forest comes
-   back, so the rows grow with the members, not with their pairs.
+4. Buckets whose members are still in several components go to pairs of blocks of bounded size, by signature (32
+   bytes a member): each member's likeliest partner in another component is confirmed on full sets.  In buckets
+   that are still apart after that, only members with a likely partner in another component bring their sets to
+   their pairs of blocks, which are confirmed all at once by a sparse set product; a spanning forest comes back,
+   so the rows grow with the members, not with their pairs.
 5. Components of all confirmed links.
 
 A link of similarity 0.85 shares no band with probability (1 - 0.85^5)^25 < 5e-7, one of 0.8 with
@@ -32,7 +33,9 @@ from .graph import components
 
 PERMS, BANDS, ROWS, BITS = 128, 25, 5, 2
 #: Members and set elements of a block in step 4.
-BLOCK_ROWS, BLOCK_ITEMS = 256, 1 << 20
+BLOCK_ROWS, BLOCK_ITEMS = 512, 1 << 20
+#: Members of a block of signatures.
+SIGN_ROWS = 2048
 #: Bytes of text whose sets are held at once.
 CHUNK_BYTES = 2 << 20
 
@@ -174,22 +177,26 @@ def forest(adj: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _likely(floor: float):
-    """Sorted rows (bucket, bi, bj, sid, rep, component, s0 .. s3): those with a partner in another component that the signatures allow."""
-    import pyarrow as pa
+def _allowed(floor: float) -> float:
+    """Differing signature slots that an estimate of at least `floor` allows."""
+    return PERMS * (1 - 2.0**-BITS) * (1 - floor) + 1e-9
 
-    low, most = np.uint64(0x5555555555555555), PERMS * (1 - 2.0**-BITS - (1 - 2.0**-BITS) * floor) + 1e-9
 
-    def solve(rows):
-        t = pa.Table.from_batches(rows).combine_chunks()
-        component = t["component"].to_numpy()
-        apart = component[:, None] != component[None, :]
-        misses = np.zeros(apart.shape, np.uint8)
-        for w in range(PERMS * BITS // 64):
-            s = t[f"s{w}"].to_numpy().view(np.uint64)
-            x = s[:, None] ^ s[None, :]
-            misses += np.bitwise_count((x | x >> np.uint64(1)) & low)
-        return t.filter(pa.array((apart & (misses <= most)).any(1))).select(["bucket", "bi", "bj", "sid", "rep"]).to_batches()
+def _misses(table, rows: slice) -> np.ndarray:
+    """Differing signature slots of some rows to all rows; 255 within a component."""
+    component = table["component"].to_numpy()
+    out = np.zeros((len(component[rows]), len(component)), np.uint8)
+    for w in range(PERMS * BITS // 64):
+        s = table[f"s{w}"].to_numpy().view(np.uint64)
+        x = s[rows, None] ^ s[None, :]
+        out += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    out[component[rows, None] == component[None, :]] = 255
+    return out
+
+
+def _by_place(solve):
+    """mapInArrow function: solve(table of all rows of one (bucket, bi, bj)) -> record batches, for rows sorted by these."""
+    import pyarrow as pa
 
     def run(batches):
         key, rows = None, []
@@ -200,16 +207,44 @@ def _likely(floor: float):
                 if a == b:
                     continue
                 if rows and tuple(places[a]) != key:
-                    yield from solve(rows)
+                    yield from solve(pa.Table.from_batches(rows).combine_chunks())
                     rows = []
                 key = tuple(places[a])
                 rows.append(batch.slice(a, b - a))
         if rows:
-            yield from solve(rows)
+            yield from solve(pa.Table.from_batches(rows).combine_chunks())
 
     return run
 
 
+def _best(floor: float):
+    """Each row's likeliest partner in another component: sa, rep, sb, centre, misses."""
+    import pyarrow as pa
+
+    def solve(t):
+        for a in range(0, t.num_rows, 256):
+            d = _misses(t, slice(a, a + 256))
+            other = d.argmin(1)
+            least = d[np.arange(len(d)), other]
+            keep = np.flatnonzero(least <= _allowed(floor))
+            own, far = t.take(pa.array(a + keep)), t.take(pa.array(other[keep]))
+            cols = [own["sid"], own["rep"], far["sid"], far["rep"], pa.chunked_array([pa.array(least[keep].astype(np.int32))])]
+            yield from pa.table(cols, names=["sa", "rep", "sb", "centre", "misses"]).to_batches()
+
+    return _by_place(solve)
+
+
+def _likely(floor: float):
+    """Rows with a partner in another component that the signatures allow."""
+    import pyarrow as pa
+
+    def solve(t):
+        keep = [(_misses(t, slice(a, a + 256)) <= _allowed(floor)).any(1) for a in range(0, t.num_rows, 256)]
+        yield from t.filter(pa.array(np.concatenate(keep))).select(["bucket", "bi", "bj", "sid", "rep"]).to_batches()
+
+    return _by_place(solve)
+
+
 def _confirm_blocks(percent: int):
     """Sorted rows (bucket, bi, bj, sid, rep, items): links that span the components of each block pair."""
     import pyarrow as pa
@@ -268,7 +303,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     slots = scratch.write(keys.join(scratch.write(groups.drop("n"), "groups"), "bucket"), "slots")
     pairs = slots.where("sid != centre.sid").select(F.col("sid").alias("sa"), "rep", F.col("centre.sid").alias("sb"), F.col("centre.rep").alias("centre")).distinct()
     wanted = scratch.write(slots.select("sid", "rep").distinct(), "wanted")
-    texts = keyed(docs).join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    # by exchange at every size: the ids wanted grow with the documents
+    texts = keyed(docs).join(wanted.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(_sets(width), "n_shingles long, k1 long, k2 long, items array<long>").select(sid, "items")
     sets = scratch.write(sets.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
     side = lambda p: reps.select(F.col("sid").alias(f"s{p}"), *[F.col(f"s{w}").alias(f"{p}{w}") for w in range(4)])
@@ -276,28 +312,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     pairs = scratch.write(pairs.join(side("a"), "sa").join(side("b"), "sb").where(_agreement("a", "b") >= floor).select("sa", "sb", "rep", "centre"), "pairs")
     have = lambda p: sets.select(F.col("sid").alias(f"s{p}"), F.col("items").alias(f"{p}_items"))
     common = F.size(F.array_intersect("a_items", "b_items"))
-    links = pairs.join(have("a"), "sa").join(have("b"), "sb").where(100 * common >= percent * (F.size("a_items") + F.size("b_items") - common)).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-    links = scratch.write(links, "links")
-
-    # 4: buckets still apart
-    part = components(links, scratch)
-    held = slots.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "sid", "rep", F.coalesce("component", "rep").alias("component"))
-    held = scratch.write(held, "held")
-    # aggregates are written before they are joined back: a join of two plain exchanges can split hot keys
-    open_ = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.min("sid").alias("first"))
-    open_ = open_.where("lo < hi").groupBy("n", "x", "first").agg(F.min("bucket").alias("bucket"))  # equal buckets once
-    sizes = reps.select("sid", "n_shingles", "s0", "s1", "s2", "s3")
-    todo = scratch.write(held.join(scratch.write(open_.select("bucket"), "open"), "bucket").select("bucket", "sid", "rep", "component").join(sizes, "sid"), "todo")
-    weight = todo.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
-    weight = weight.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    todo = todo.drop("n_shingles").join(scratch.write(weight, "weight"), "bucket")
-    block = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks")).cast("int")
-    todo = todo.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    todo = todo.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("blocks", "block", "other")
-    pair = ["bucket", "bi", "bj"]
-    # the signatures meet first, so that only the sets of likely partners travel
-    todo = todo.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_likely(floor), "bucket long, bi int, bj int, sid long, rep long")
-    todo = scratch.write(todo, "likely").join(sets, "sid").drop("sid").repartition(*pair).sortWithinPartitions(*pair, "rep")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Links (a, b) of the pairs (sa, rep, sb, centre) whose full sets are alike."""
+        got = pairs.join(have("a"), "sa").join(have("b"), "sb").where(100 * common >= percent * (F.size("a_items") + F.size("b_items") - common))
+        return scratch.write(got.select(F.col("rep").alias("a"), F.col("centre").alias("b")), name)
+
+    links = confirmed(pairs, "links")
+
+    # 4: buckets still apart; aggregates are written before they are joined back: a join of two plain exchanges can split hot keys
+    place, sign = ["bucket", "bi", "bj"], reps.select("sid", "n_shingles", "s0", "s1", "s2", "s3")
+
+    def apart(links: DataFrame, blocks, name: str) -> DataFrame:
+        """Members of buckets in several components, with signatures, dealt into pairs of blocks: sorted by place."""
+        part = components(links, scratch)
+        held = slots.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "sid", "rep", F.coalesce("component", "rep").alias("component"))
+        held = scratch.write(held, f"held{name}")
+        open_ = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.min("sid").alias("first"))
+        open_ = open_.where("lo < hi").groupBy("n", "x", "first").agg(F.min("bucket").alias("bucket"))  # equal buckets once
+        todo = scratch.write(held.join(scratch.write(open_.select("bucket"), f"open{name}"), "bucket").join(sign, "sid"), f"todo{name}")
+        weight = todo.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items")).select("bucket", blocks.cast("int").alias("blocks"))
+        todo = todo.drop("n_shingles").join(scratch.write(weight, f"weight{name}"), "bucket")
+        todo = todo.withColumn("block", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        todo = todo.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("blocks", "block", "other")
+        return todo.repartition(*place).sortWithinPartitions(*place)
+
+    # 4a: each member's likeliest partner by signature, confirmed like the stars
+    near = apart(links, F.ceil(F.col("n") / SIGN_ROWS), "1").mapInArrow(_best(floor), "sa long, rep long, sb long, centre long, misses int")
+    near = near.groupBy("sa", "rep").agg(F.min(F.struct("misses", "sb", "centre")).alias("to")).select("sa", "rep", "to.sb", "to.centre")
+    links = links.union(confirmed(scratch.write(near, "near_pairs"), "links2"))
+
+    # 4b: what is still apart
+    todo = apart(links, F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("items") / BLOCK_ITEMS)), "2")
+    todo = scratch.write(todo.mapInArrow(_likely(floor), "bucket long, bi int, bj int, sid long, rep long"), "likely")
+    todo = todo.join(sets, "sid").drop("sid").repartition(*place).sortWithinPartitions(*place, "rep")
     more = scratch.write(todo.mapInArrow(_confirm_blocks(percent), "a long, b long"), "more")
 
     # 5: all links
