@@ -40,8 +40,11 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Cells:
     """Pivots, rings and who meets whom; a few numbers a ring, on the driver and broadcast."""
 
-    def __init__(self, points: DataFrame, others: DataFrame, n: int, reach: float | None = None, k: int = 0):
-        """Rings of `points`; each meets the `others` within `reach`, or within the bound of its k nearest others (k + 1 if itself is among them)."""
+    def __init__(self, points: DataFrame, others: DataFrame, n: int, reach: float | None = None, k: int = 0, probes: int | None = None):
+        """Rings of `points`; each meets the `others` within `reach`, or within the bound of its k nearest others (k + 1 if itself is among them).
+
+        With `probes` it meets the others of that many cells only, the nearest by pivot: the result is approximate.
+        """
         few = min(PIVOTS, max(1, math.ceil(n / CELL)))
         pivots = others.select("x", uniform(42, "pivot").alias("u"), "id").orderBy("u", "id").limit(few).collect()
         self.p = np.array([r["x"] for r in pivots], float).reshape(len(pivots), -1)
@@ -64,6 +67,10 @@ class Cells:
             reach_of = hi + bound[self.cell]
         else:
             reach_of = np.full(len(own), reach)
+        self.allowed = None
+        if probes is not None:
+            rank = far.argsort(1).argsort(1)  # of each cell by distance, for each cell
+            self.allowed = (rank[self.cell] < probes).T
         slack = 1e-9 * (1 + hi + reach_of)  # distances are rounded
         self.least, self.most = lo - reach_of - slack, hi + reach_of + slack
         met = np.zeros(len(own))
@@ -115,7 +122,8 @@ class Cells:
                         g = np.array([me.number[c] for c in zip(cell.tolist(), ring.tolist(), strict=True)], np.int64)
                         row = np.arange(len(ids))
                     else:
-                        row, g = np.nonzero((d[:, me.cell] >= me.least) & (d[:, me.cell] <= me.most))
+                        meets = (d[:, me.cell] >= me.least) & (d[:, me.cell] <= me.most)
+                        row, g = np.nonzero(meets if me.allowed is None else meets & me.allowed[cell])
                     mine, other = (me.own_blocks, me.met_blocks) if query else (me.met_blocks, me.own_blocks)
                     at, many = spread[row] % mine[g], other[g]
                     again = np.repeat(np.arange(len(row)), many)
@@ -143,8 +151,11 @@ def _blocks(pdf: pd.DataFrame, rows: int = 512):
         yield part["id"].to_numpy(), rid, exact(np.stack(part["x"].to_numpy()), m)
 
 
-def knn(points: DataFrame, k: int, max_k: int | None = 500, others: DataFrame | None = None, n: int | None = None) -> DataFrame:
-    """(id, j, rank, d): the k nearest other points, ties by j; k is at most n - 1 and max_k.  n: number of `others`, if it is known."""
+def knn(points: DataFrame, k: int, max_k: int | None = 500, others: DataFrame | None = None, n: int | None = None, probes: int | None = None) -> DataFrame:
+    """(id, j, rank, d): the k nearest other points, ties by j; k is at most n - 1 and max_k.  n: number of `others`, if it is known.
+
+    `probes` makes it approximate: only points of that many cells about each point's own are compared.
+    """
     own = others is None
     others = points if own else others
     n = others.count() if n is None else n
@@ -167,11 +178,20 @@ def knn(points: DataFrame, k: int, max_k: int | None = 500, others: DataFrame |
             out.append((qid[row[keep]], rid[col[keep]], val[keep]))
         return pd.DataFrame(dict(zip(("id", "j", "d2"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    best = Cells(points, others, n, k=k + own).met(points, others).groupBy("g", "bi", "bj").applyInPandas(nearest, "id long, j long, d2 double")
+    best = Cells(points, others, n, k=k + own, probes=probes).met(points, others).groupBy("g", "bi", "bj").applyInPandas(nearest, "id long, j long, d2 double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "j"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "j", "rank", F.sqrt("d2").alias("d"))
 
 
+def knn_landmarks(points: DataFrame, k: int, size: int = 10_000, seed: int = 42) -> DataFrame:
+    """knn against `size` hash-drawn landmarks other than the point itself: an approximation with linear work."""
+    marks = points.select("id", "x", uniform(seed, "landmarks").alias("u")).orderBy("u", "id").limit(size).select("id", "x")
+    marks = select.Scratch(points.sparkSession).write(marks, "landmarks")
+    near = knn(points, k + 1, None, others=marks).where("id != j")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def minmax(points: DataFrame, max_anchors: int = 10_000, seed: int = 42) -> DataFrame:
     """(min_d, max_d): least and largest non-zero distance of the points to min(n, max_anchors) hash-drawn anchors."""
     anchors = points.select("id", "x", uniform(seed, "minmax").alias("u")).orderBy("u", "id").limit(max_anchors)

@@ -160,6 +160,12 @@ def knn_k(spark, sf_dir):
     return N.knn(src.parts(spark, sf_dir), 5)
 
 
+@query(f"WITH {P_SQL}, m AS MATERIALIZED (SELECT * FROM p ORDER BY {_u('landmarks')}, id LIMIT 300), d AS (SELECT a.id, b.id AS j, (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) AS d2, sqrt(d2) AS d FROM p a JOIN m b ON a.id <> b.id), {_P_RANKED} SELECT id, j, rank::INTEGER AS rank, d FROM k WHERE rank <= 3")
+def knn_landmarks(spark, sf_dir):
+    """The nearest of 300 landmarks."""
+    return N.knn_landmarks(src.parts(spark, sf_dir), 3, 300)
+
+
 @query(f"WITH {E_SQL}, {_E_PAIRS}, {_RANKED} SELECT id, round(d, 5) AS score FROM k WHERE rank = 10")
 def knn_radius(spark, sf_dir):
     return N.radius(src.embeddings(spark, sf_dir), 10).select("id", F.round("score", 5).alias("score"))
@@ -488,6 +494,46 @@ def solution_round_trip(spark, sf_dir):
     return solution.read_solution(spark, path).assignments.select("id", "cluster", F.round("d2", 6).alias("d2"), "is_outlier")
 
 
+def _lines(spark, df: DataFrame, line, name: str, **options) -> str:
+    """A text file of one line a row, in the shared folder."""
+    path = f"{select.Scratch(spark).base}/{name}"
+    df.select(line.alias("value")).write.options(**options).text(path)
+    return path
+
+
+_CODED = f"WITH {P_SQL}, q AS (SELECT *, (id % 9)::INTEGER AS code FROM p)"
+
+
+@query(f"{_CODED} SELECT x0, x1, code::VARCHAR AS label FROM q")
+def scan_spaced(spark, sf_dir):
+    """White-space separated numbers, label last, from compressed text; a line that is no numbers is dropped."""
+    p = src.parts(spark, sf_dir)
+    line = F.when(F.col("id") < 0, F.lit("x y z")).otherwise(F.concat_ws("  ", F.col("x")[0].cast("string"), F.col("x")[1].cast("string"), (F.col("id") % 9).cast("string")))
+    odd = spark.createDataFrame([(-1, [0.0, 0.0])], "id long, x array<double>")
+    return _x(src.read_spaced(spark, _lines(spark, p.select("id", "x").union(odd), line, "spaced", compression="gzip")), 2)
+
+
+@query(f"{_CODED} SELECT x0, x1, code::VARCHAR AS label FROM q")
+def scan_csv(spark, sf_dir):
+    """Headerless CSV, label first."""
+    p = src.parts(spark, sf_dir)
+    line = F.concat_ws(",", (F.col("id") % 9).cast("double").cast("string"), F.col("x")[0].cast("string"), F.col("x")[1].cast("string"))
+    return _x(src.read_csv(spark, _lines(spark, p, line, "csv"), 3), 2)
+
+
+@query(f"{_CODED} SELECT x0, x1, round(x0 + x1 + 34 * code, 6) AS total, label FROM q")
+def scan_connections(spark, sf_dir):
+    """42-column records: numbers that do not parse are 0, short lines are dropped, the label loses its full stop."""
+    p = src.parts(spark, sf_dir)
+    cells = [F.col("x")[0].cast("string"), *[F.lit("name")] * 3, F.col("x")[1].cast("string"), F.lit("oops"), *[F.lit("1")] * 0]
+    code = (F.col("id") % 9).cast("string")
+    line = F.concat_ws(",", *cells, *[code] * 35, F.concat("label", F.lit(".")))
+    short = spark.createDataFrame([(-1, [0.0, 0.0], "short")], "id long, x array<double>, label string")
+    raw = src.read_connections(spark, _lines(spark, p.select("id", "x", "label").union(short), F.when(F.col("id") < 0, F.lit("1,2")).otherwise(line), "records"))
+    total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
+    return raw.select(F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), F.round(total, 6).alias("total"), "label")
+
+
 _Z2 = "s AS (SELECT avg(x0) AS m0, stddev_pop(x0) AS s0, avg(x1) AS m1, stddev_pop(x1) AS s1 FROM p)"
 
 
@@ -560,6 +606,16 @@ def _cube_sql(keys: str) -> str:
     return f"SELECT {keys}, count(*) AS n_runs, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in report.FIELDS) + f" FROM r WHERE status = 'completed' GROUP BY {keys}"
 
 
+@query(f"WITH {_RESULT_SQL} SELECT task_id, dataset, algorithm, status, cost, nmi, 'v' || c AS note FROM r WHERE task_id < 400")
+def scan_results(spark, sf_dir):
+    """A result file with its header, written as one JSON document and read back; NaN becomes null."""
+    rows = _results(spark, sf_dir).where("task_id < 400").withColumn("nmi", F.coalesce("nmi", F.lit(float("nan")))).withColumn("extra", F.create_map(F.lit("note"), F.concat(F.lit("v"), F.col("c").cast("string"))))
+    whole = rows.agg(F.collect_list(F.struct(*[c for c in rows.columns if c in src.RESULT.names])).alias("results"))
+    path = f"{select.Scratch(spark).base}/results"
+    whole.select(F.lit("host").alias("system_info"), "results").write.json(path)
+    return src.read_results(spark, path).select("task_id", "dataset", "algorithm", "status", "cost", "nmi", F.col("extra")["note"].alias("note"))
+
+
 @query(f"WITH {_RESULT_SQL} {_cube_sql('dataset, algorithm')}")
 def stats_cube(spark, sf_dir):
     return report.cube(_results(spark, sf_dir), "dataset", "algorithm")

@@ -245,6 +245,16 @@ def test_cells_lose_no_neighbour(spark, monkeypatch, dims, cell):
     assert N.far_from(p, near.limit(0), 1.7).count() == len(xs)
 
 
+def test_probed_cells_find_most_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL", 40)
+    xs = np.random.default_rng(3).normal(size=(800, 2))
+    p = points(spark, xs.tolist()).persist()
+    exact, some, all_ = ({(r["id"], r["j"]) for r in N.knn(p, 5, probes=probes).collect()} for probes in (None, 5, 20))
+    assert all_ == exact and 0.9 <= len(some & exact) / len(exact) < 1
+    near = N.knn_landmarks(p, 2, 50).collect()
+    assert len(near) == 1600 and all(r["id"] != r["j"] for r in near) and len({r["j"] for r in near}) <= 50
+
+
 def test_distances_kept_from_round_to_round(spark, monkeypatch):
     monkeypatch.setattr(A.Reach, "CUT", 2)
     rng = np.random.default_rng(6)
