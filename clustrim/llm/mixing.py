@@ -25,6 +25,8 @@ from .common import Scratch, fresh, ranked
 WORD = r"[^\x20\x09-\x0D]+"
 #: Share of a target by which a constraint may be off, and steps after which that is an error.
 SETTLED, MAX_STEPS = 1e-11, 500
+#: Multipliers of a margin that the driver holds between steps at most; more are written.
+FEW = 10_000
 #: Bits of the hash order, and of one histogram level.
 BITS, LEVEL = 52, 12
 
@@ -67,6 +69,8 @@ def balance(rows: DataFrame, margins: dict[str, DataFrame], scratch: Scratch) ->
     null = F.lit(None).cast("double")
     tilt = {c: scratch.write(t.select(c, "target", F.when(F.col("target") > 0, 0.0).otherwise(null).alias("m")), f"tilt_{c}") for c, t in margins.items()}
 
+    few = {c: t.limit(FEW + 1).count() <= FEW for c, t in tilt.items()}
+
     def tilted(df: DataFrame) -> DataFrame:
         for c in names:
             df = df.join(tilt[c].select(c, F.col("m").alias(f"m_{c}")), c)
@@ -79,9 +83,14 @@ def balance(rows: DataFrame, margins: dict[str, DataFrame], scratch: Scratch) ->
             step = F.least(F.lit(2.0), F.greatest(F.lit(-2.0), F.col("target") / F.col("mass") - 1))
             far = F.abs(F.col("mass") - F.col("target")) / F.col("target")
             new = tilt[c].join(now, c, "left").select(c, "target", F.when(F.col("mass") > 0, far).alias("far"), F.when(F.col("mass") > 0, F.when(far > SETTLED, F.col("m") + step).otherwise(F.col("m"))).alias("m"))
-            tilt[c] = scratch.write(new, f"tilt_{c}")
-            scratch.drop(f"tilt_{c}", keep=1)
-            off = max(off, tilt[c].agg(F.max("far")).first()[0] or 0.0)
+            if few[c]:
+                got = new.collect()
+                tilt[c] = rows.sparkSession.createDataFrame(got, new.schema)
+                off = max([off, *(r["far"] for r in got if r["far"] is not None)])
+            else:
+                tilt[c] = scratch.write(new, f"tilt_{c}")
+                scratch.drop(f"tilt_{c}", keep=1)
+                off = max(off, tilt[c].agg(F.max("far")).first()[0] or 0.0)
         if off <= SETTLED:
             break
     else:

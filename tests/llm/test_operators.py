@@ -698,8 +698,10 @@ def test_mixing(spark, docs, none):
     assert taken.columns == [*docs.columns, "copy"]
 
 
-def test_balance_with_two_margins(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_balance_with_two_margins(spark, monkeypatch, few):
     """Rates that meet the targets of two margins at once, against iterative scaling in NumPy."""
+    monkeypatch.setattr(mixing, "FEW", few)
     r = random.Random(4)
     data = [(r.choice("abc"), r.choice("xy"), r.randint(1, 50)) for _ in range(400)] + [("d", "x", 0)]
     cell = collections.Counter()
