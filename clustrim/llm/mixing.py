@@ -73,7 +73,8 @@ def balance(rows: DataFrame, margins: dict[str, DataFrame], scratch: Scratch) ->
 
     def tilted(df: DataFrame) -> DataFrame:
         for c in names:
-            df = df.join(tilt[c].select(c, F.col("m").alias(f"m_{c}")), c)
+            own = tilt[c].select(c, F.col("m").alias(f"m_{c}"))
+            df = df.join(F.broadcast(own) if few[c] else own, c)  # FEW rows at most, else an exchange that Spark can split
         return df.withColumn("rate", F.coalesce(F.exp(sum((F.col(f"m_{c}") for c in names), F.lit(0.0))), F.lit(0.0)))
 
     for _ in range(MAX_STEPS):
