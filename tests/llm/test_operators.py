@@ -907,3 +907,22 @@ def test_pipeline_removes_short_repeats(spark):
     data = [(1, prose(50, 82) + " " + short), (2, short + " " + prose(50, 83))]
     got = {r["doc_id"]: len(words(r["text"])) for r in cp.substring_dedup(spark, table(spark, data), SF).collect()}
     assert got == {1: 80, 2: 50}
+
+
+def test_edit_distance_stops_early():
+    from clustrim.llm import editprint
+    from clustrim.llm.leak import nearest_whole
+
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(rng.choice(list("abcd "), n))
+    for n in (1, 5, 40, 90):
+        for _ in range(40):
+            a = letters(n)
+            at = rng.random(n) < rng.choice([0.0, 0.05, 0.2, 1.0])
+            b = "".join(("", "x", c + "y")[rng.integers(3)] if e else c for c, e in zip(a, at, strict=True))
+            full = nearest_whole(a, b)
+            for most in (0, 2, n // 4, n):
+                got = nearest_whole(a, b, most)
+                assert got == full if full <= most else got > most
+            gap = editprint.pair_counts(a) - editprint.pair_counts(b)
+            assert max(np.maximum(gap, 0).sum(), np.maximum(-gap, 0).sum()) <= 2 * full
