@@ -926,3 +926,21 @@ def test_edit_distance_stops_early():
                 assert got == full if full <= most else got > most
             gap = editprint.pair_counts(a) - editprint.pair_counts(b)
             assert max(np.maximum(gap, 0).sum(), np.maximum(-gap, 0).sum()) <= 2 * full
+
+
+def test_near_groups_sends_texts_few_times(spark):
+    """Unlike texts that share many buckets go out once a cluster, not once a bucket."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    head = letters(400)
+    data = [(k, head + letters(5000)) for k in range(60)] + [(100, head + "b" * 5000), (101, head + "b" * 4990 + "c")]
+    df = table(spark, data).localCheckpoint()
+
+    def sent():
+        rows = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(rows.apply(k).totalShuffleWrite() for k in range(rows.size()))
+
+    before = sent()
+    got = dict(groups_got(df))
+    assert got == {i: 100 if i == 101 else i for i, _ in data}
+    assert sent() - before < 4 * sum(len(t) for _, t in data)
